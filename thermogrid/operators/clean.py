@@ -40,8 +40,11 @@ def clean_source(
     df: DataFrame, bounds: Bounds = CLEANING_BOUNDS, limit: int = FILL_LIMIT, chunk_hours: int = CHUNK_HOURS
 ) -> DataFrame:
     """One source to an hourly series: range, clamp, hourly mean, grid, fill, clamp."""
-    readings = clamp_dew(null_out_of_range(df.dropna(subset=[TS]), bounds)).dropna(how="all", subset=list(MEASURES))
-    return clamp_dew(reindex_and_fill(bucket_mean(readings), limit, MEASURES, chunk_hours))
+    readings = clamp_dew(null_out_of_range(df.dropna(subset=[TS]), bounds))
+    # Readings without any measure leave no trace in a mean, so dropping hours without any is the same as
+    # dropping such readings first. A filter below the aggregate would repeat the decoding in its predicate.
+    hourly = bucket_mean(readings).dropna(how="all", subset=list(MEASURES))
+    return clamp_dew(reindex_and_fill(hourly, limit, MEASURES, chunk_hours))
 
 
 def clean_series(
