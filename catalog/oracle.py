@@ -314,16 +314,19 @@ def stats_sql(src, by):
     FROM q JOIN o USING ({k})"""
 
 
-def box_sql(src, by, full=True):
+def box_sql(src, by, outliers_only=False):
     k = ", ".join(by)
     low, high = "q25 - 1.5 * (q75 - q25)", "q75 + 1.5 * (q75 - q25)"
-    five = f"n, {r('any_value(q25)', 'q25')}, {r('any_value(median)', 'median')}, {r('any_value(q75)', 'q75')}, " if full else ""
+    outs = f"count(*) FILTER (value < {low} OR value > {high})"
+    if outliers_only:
+        shown = f"{outs} AS outlier_count, {r(f'CAST({outs} AS DOUBLE) / any_value(n) * 100', 'outlier_pct')}"
+    else:
+        inside = f"FILTER (value >= {low} AND value <= {high})"
+        shown = f"""any_value(n) AS n, {r('any_value(q25)', 'q25')}, {r('any_value(median)', 'median')}, {r('any_value(q75)', 'q75')},
+          {outs} AS outlier_count, {r(f'min(value) {inside}', 'whisker_low')}, {r(f'max(value) {inside}', 'whisker_high')}"""
     return f"""q AS (SELECT {k}, count(value) AS n, quantile_cont(value, CAST(0.25 AS DOUBLE)) AS q25, quantile_cont(value, CAST(0.5 AS DOUBLE)) AS median,
       quantile_cont(value, CAST(0.75 AS DOUBLE)) AS q75 FROM {src} GROUP BY {k})
-    SELECT {k}, {five.replace('n, ', 'any_value(n) AS n, ', 1)}count(*) FILTER (value < {low} OR value > {high}) AS outlier_count,
-      {r(f'min(value) FILTER (value >= {low} AND value <= {high})', 'whisker_low')},
-      {r(f'max(value) FILTER (value >= {low} AND value <= {high})', 'whisker_high')}
-    FROM {src} JOIN q USING ({k}) GROUP BY {k}"""
+    SELECT {k}, {shown} FROM {src} JOIN q USING ({k}) GROUP BY {k}"""
 
 
 def hist_sql(src, by, range_by, bins=30):
@@ -347,7 +350,7 @@ SQL["column_stats"] = chain(
     ITEMS, f"l AS ({long_of('items', ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'nothing'], ['l_returnflag'])})",
 ) .rstrip() + ",\n" + stats_sql("l", ["l_returnflag", "variable"])
 OBS_LONG = f"l AS ({long_of('obs', ['temp', 'dew'], ['series_id'])})"
-SQL["iqr_outliers"] = chain(OBS, OBS_LONG).rstrip() + ",\n" + box_sql("l", ["series_id", "variable"], full=False)
+SQL["iqr_outliers"] = chain(OBS, OBS_LONG).rstrip() + ",\n" + box_sql("l", ["series_id", "variable"], outliers_only=True)
 SQL["box_plots"] = chain(DAILY, f"l AS ({long_of('daily', ['TMAX', 'TMIN', 'TAVG'], [])})").rstrip() + ",\n" + box_sql("l", ["variable"])
 
 
@@ -373,7 +376,7 @@ SQL["split_statistics"] = chain(
 SQL["split_histograms"] = chain(*SPLIT_ROWS, f"l AS ({long_of('s', ['temp', 'dew'], ['split'])})").rstrip() + ",\n" + hist_sql(
     "l", ["split", "variable"], ["variable"])
 SQL["split_periods"] = chain(*SPLIT_ROWS, f"b AS ({bad_sql('s', ['temp', 'dew'])})") + """
-SELECT b.*, p.* EXCLUDE (split) FROM b JOIN (SELECT split, count(*) AS records_count, strftime(min(ts), '%Y-%m-%d %H:%M') AS start_date,
+SELECT b.*, p.* EXCLUDE (split), total_records AS records_count FROM b JOIN (SELECT split, strftime(min(ts), '%Y-%m-%d %H:%M') AS start_date,
   strftime(max(ts), '%Y-%m-%d %H:%M') AS end_date FROM s GROUP BY split) p USING (split)"""
 SQL["missing_pct"] = chain(*DECODED, "l AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS variable, CAST(count(*) FILTER ({c} IS NULL) AS DOUBLE) / count(*) * 100 AS p FROM dec"

@@ -18,7 +18,7 @@ from thermogrid.models.restartable import LastStepLinear, RestartableLinear, las
 from thermogrid.models.trees import BoostedTrees
 from thermogrid.operators import clean, evaluate, features, grid, hist2d, history, profile, rate_policy, sliding, split
 from thermogrid.schema import HORIZON, KEY, SUMMARY_TARGETS, TS, feature_names, target_names
-from thermogrid.session import cut_lineage
+from thermogrid.session import materialise
 
 from .inputs import (
     BOUNDS, CHUNK_HOURS, DATES, clean_grid, decoded, encoded, feature_rows, observations, table, tidy,
@@ -293,8 +293,7 @@ def column_stats(spark, sf):
 @query
 def iqr_outliers(spark, sf):
     long = profile.to_long(observations(spark, sf), ["temp", "dew"], [KEY])
-    by = [KEY, "variable"]
-    return profile.outlier_counts(long, profile.exact_quantiles(long, by, "value", profile.QUARTILES), by)
+    return profile.outlier_counts(long, [KEY, "variable"])
 
 
 @query
@@ -327,18 +326,17 @@ def numeric_histograms(spark, sf):
 
 @query
 def split_statistics(spark, sf):
-    return profile.split_profile(feature_rows(spark, sf), bounds=BOUNDS)["statistics"]
+    return profile.column_stats(profile.profiled_values(feature_rows(spark, sf)), ["split", "variable"])
 
 
 @query
 def split_periods(spark, sf):
-    parts = profile.split_profile(feature_rows(spark, sf), bounds=BOUNDS)
-    return parts["period"].join(parts["bad_values"], "split")
+    return profile.split_periods(feature_rows(spark, sf), bounds=BOUNDS)
 
 
 @query
 def split_histograms(spark, sf):
-    return profile.split_profile(feature_rows(spark, sf), bounds=BOUNDS)["histograms"]
+    return profile.split_histograms(profile.profiled_values(feature_rows(spark, sf)))
 
 
 @query
@@ -429,7 +427,7 @@ def hist2d_frames(spark, sf):
 
 
 def _baselines(spark, sf):
-    series = clean_grid(spark, sf)
+    series = materialise(clean_grid(spark, sf))
     rows = split.time_split(features.feature_matrix(series, chunk_hours=CHUNK_HOURS), DATES)
     climatology = Climatology().fit(series.where(F.col(TS) < F.lit(DATES.test_start).cast("timestamp")))
     held_out = rows.where(F.col("split") != "train")
@@ -483,7 +481,7 @@ def residual_summary(spark, sf):
 
 @query
 def residual_histogram(spark, sf):
-    return profile.histogram(evaluate.residuals(_baselines(spark, sf)), ["model"], evaluate.RESIDUAL_BINS)
+    return profile.histogram(materialise(evaluate.residuals(_baselines(spark, sf))), ["model"], evaluate.RESIDUAL_BINS)
 
 
 @query
@@ -507,7 +505,7 @@ def last_profiles(spark, sf):
 
 
 def _split_rows(spark, sf):
-    rows = cut_lineage(feature_rows(spark, sf))
+    rows = materialise(feature_rows(spark, sf))
     return [rows.where(F.col("split") == s) for s in split.SPLITS]
 
 

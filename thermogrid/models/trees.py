@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rate_policy import RatePolicy, advance, start
 from ..schema import HORIZON, SUMMARY_TARGETS, feature_names
-from ..session import cut_lineage
+from ..session import materialise
 from .base import prediction, with_prediction
 
 
@@ -48,8 +48,8 @@ class BoostedTrees:
         return vector.transform(rows).select("features", *keep)
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> BoostedTrees:
-        data = cut_lineage(self._assemble(train, *self.targets))
-        held_out = None if val is None else cut_lineage(self._assemble(val, *self.targets))
+        data = materialise(self._assemble(train, *self.targets))
+        held_out = None if val is None else materialise(self._assemble(val, *self.targets))
         staged = held_out is not None and self.policy.enabled
         size = max(5, self.max_iter // 5) if staged else self.max_iter
         sizes = [size] * max(1, self.max_iter // size)

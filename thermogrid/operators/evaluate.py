@@ -36,26 +36,26 @@ def long_predictions(scored: DataFrame, models: Sequence[str], horizon: int = HO
     )
 
 
-def _regression(y: str, yhat: str, prefix: str = "") -> list[Column]:
-    error = F.col(yhat) - F.col(y)
-    relative = F.when(F.abs(F.col(y)) > MAPE_FLOOR, F.abs(error / F.col(y)))
+def _regression(y: Column, yhat: Column, prefix: str = "") -> list[Column]:
+    """Error aggregates over the rows where ``y`` is not NULL."""
+    error = yhat - y
+    relative = F.when(F.abs(y) > MAPE_FLOOR, F.abs(error / y))
     squares, spread = F.sum(error * error), F.var_pop(y) * F.count(y)
-    r2 = F.when(spread == 0, F.when(squares == 0, 1.0).otherwise(0.0)).otherwise(1.0 - squares / F.nullif(spread, F.lit(0.0)))
+    perfect = F.when(squares == 0, 1.0).otherwise(0.0)
     return [
         F.avg(F.abs(error)).alias(f"{prefix}mae"),
         F.sqrt(F.avg(error * error)).alias(f"{prefix}rmse"),
         F.coalesce(F.avg(relative) * 100.0, F.lit(0.0)).alias(f"{prefix}mape"),
-        r2.alias(f"{prefix}r2"),
+        F.when(spread == 0, perfect).otherwise(1.0 - squares / F.nullif(spread, F.lit(0.0))).alias(f"{prefix}r2"),
     ]
 
 
-def _tolerance(y: str, yhat: str) -> list[Column]:
-    error = F.abs(F.col(yhat) - F.col(y))
+def _tolerance(y: Column, yhat: Column) -> list[Column]:
+    error = F.abs(yhat - y)
     return [(F.avg((error <= k).cast("double")) * 100.0).alias(n) for n, k in TOLERANCES.items()]
 
 
-def _direction() -> list[Column]:
-    rises, predicted = F.element_at("y", -1) > F.col("now"), F.element_at("yhat", -1) > F.col("now")
+def _direction(rises: Column, predicted: Column) -> list[Column]:
     both, said, did = F.count_if(rises & predicted), F.count_if(predicted), F.count_if(rises)
     share = lambda part, whole: F.when(whole > 0, part / F.nullif(whole, F.lit(0)) * 100.0).otherwise(0.0)
     return [
@@ -68,16 +68,19 @@ def _direction() -> list[Column]:
 def evaluate(predictions: DataFrame) -> DataFrame:
     """One row per model with all scores, unrounded.
 
-    Two grouped aggregates with map-side combine: one over hours of the day ahead, one over rows. Only
-    one partial row per model leaves a task.
+    A single grouped aggregate with map-side combine over the hours of the day ahead; what counts once per
+    row (daily summaries, direction) is taken from its last hour. One partial row per model leaves a task.
     """
-    hours = predictions.select("model", F.explode(F.arrays_zip("y", "yhat")).alias("_h")).select("model", "_h.y", "_h.yhat")
-    hourly = hours.groupBy("model").agg(*_regression("y", "yhat"), *_tolerance("y", "yhat"))
-    daily = predictions.groupBy("model").agg(
-        F.count(F.lit(1)).alias("rows"), *_direction(),
-        *[e for s in SUMMARIES for e in _regression(f"actual_{s}", s, f"{s}_")],
+    daily = [c for s in SUMMARIES for c in (f"actual_{s}", s)]
+    hours = predictions.select("model", "now", *daily, (F.size("y") - 1).alias("_last"), F.posexplode(F.arrays_zip("y", "yhat")))
+    flat = hours.select("model", "now", "col.y", "col.yhat", *[F.when(F.col("pos") == F.col("_last"), F.col(c)).alias(c) for c in daily],
+                        (F.col("pos") == F.col("_last")).alias("_final"))
+    y, yhat, now, final = F.col("y"), F.col("yhat"), F.col("now"), F.col("_final")
+    return flat.groupBy("model").agg(
+        F.count_if(final).alias("rows"), *_regression(y, yhat), *_tolerance(y, yhat),
+        *_direction(final & (y > now), final & (yhat > now)),
+        *[e for s in SUMMARIES for e in _regression(F.col(f"actual_{s}"), F.col(s), f"{s}_")],
     )
-    return hourly.join(daily, "model")
 
 
 def metrics_report(scores: DataFrame) -> DataFrame:

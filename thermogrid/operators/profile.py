@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions import above_other, out_of_range
 from ..schema import PROFILE_BOUNDS, TS, Bounds
-from .quantiles import exact_quantiles
+from ..session import materialise
+from .quantiles import quantiles_of_counts, value_counts
 from .scalars import attach
 
 # Quartiles and the fence factor of the box-plot rule.
@@ -41,20 +42,28 @@ def _fences(low: Column, high: Column) -> tuple[Column, Column]:
     return low - reach, high + reach
 
 
-def outlier_counts(long: DataFrame, quartiles: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Values strictly outside the quartile fences, and the extremes of the values inside."""
+def outliers_of_counts(counts: DataFrame, quartiles: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Squared deviations, values strictly outside the quartile fences, and the extremes inside them."""
     low, high = _fences(F.col("q25"), F.col("q75"))
-    value = F.col("value")
+    value, times = F.col("_v"), F.col("_c")
     inside = value.between(low, high)
-    return (
-        long.where(value.isNotNull()).join(quartiles.select(*by, "q25", "q75"), list(by))
-        .groupBy(*by)
-        .agg(
-            F.count_if(~inside).alias("outlier_count"),
-            F.min(F.when(inside, value)).alias("whisker_low"),
-            F.max(F.when(inside, value)).alias("whisker_high"),
-        )
+    return attach(counts, quartiles, list(by)).groupBy(*by).agg(
+        F.sum(times * (value - F.col("mean")) * (value - F.col("mean"))).alias("m2"),
+        F.coalesce(F.sum(F.when(~inside, times)), F.lit(0)).alias("outlier_count"),
+        F.min(F.when(inside, value)).alias("whisker_low"),
+        F.max(F.when(inside, value)).alias("whisker_high"),
+    )
+
+
+def _summaries(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """All statistics of the groups that have values, from value counts alone."""
+    by = list(by)
+    plain = counts.groupBy(*by).agg(
+        (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max")
     )
+    located = attach(plain, quantiles_of_counts(counts, by, QUARTILES), by)
+    spread = outliers_of_counts(counts, located.select(*by, "mean", "q25", "q75"), by)
+    return attach(located, spread, by).withColumn("std", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))))
 
 
 def column_stats(long: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
@@ -63,17 +72,10 @@ def column_stats(long: DataFrame, by: Sequence[str] = ("variable",)) -> DataFram
     A group without values gets zeros and 100 % missing.
     """
     by = list(by)
-    moments = long.groupBy(*by).agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.count_if(F.col("value").isNull()).alias("nan_count"),
+    groups = long.groupBy(*by).agg(
+        F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("nan_count")
     )
-    quartiles = exact_quantiles(long, by, "value", QUARTILES)
-    outliers = outlier_counts(long, quartiles, by)
-    joined = moments.join(quartiles.drop("n"), by, "left").join(outliers, by, "left")
+    joined = groups.join(_summaries(value_counts(long, by, "value"), by), by, "left")
     empty = F.col("count") == 0
     zero = lambda c: F.when(empty, F.lit(0.0)).otherwise(F.col(c)).alias(c)
     share = F.col("nan_count") / (F.col("nan_count") + F.col("count")) * 100.0
@@ -86,17 +88,26 @@ def column_stats(long: DataFrame, by: Sequence[str] = ("variable",)) -> DataFram
     )
 
 
+def outlier_counts(long: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
+    """Values outside the fences of 1.5 quartile ranges, and their share in percent."""
+    summary = _summaries(value_counts(long, by, "value"), by)
+    return summary.select(*by, "outlier_count", (F.col("outlier_count") / F.col("n") * 100.0).alias("outlier_pct"))
+
+
 def box_plot(long: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
     """Five numbers of a box plot: whiskers inside the fences, quartiles, and the outliers beyond."""
-    by = list(by)
-    quartiles = exact_quantiles(long, by, "value", QUARTILES)
-    return quartiles.join(outlier_counts(long, quartiles, by), by).select(
+    return _summaries(value_counts(long, by, "value"), by).select(
         *by, "n", "whisker_low", "q25", "median", "q75", "whisker_high", "outlier_count"
     )
 
 
-def bad_values(df: DataFrame, bounds: Bounds = PROFILE_BOUNDS, by: Sequence[str] = ()) -> DataFrame:
-    """Rows with any missing cell, readings out of bounds, and dew points above temperature."""
+def bad_values(
+    df: DataFrame, bounds: Bounds = PROFILE_BOUNDS, by: Sequence[str] = (), also: Sequence[Column] = ()
+) -> DataFrame:
+    """Rows with any missing cell, readings out of bounds, and dew points above temperature.
+
+    ``also`` are further aggregates to take in the same pass.
+    """
     any_missing = F.expr(" or ".join(f"`{c}` is null" for c in df.columns if c not in by))
     outside = lambda m: F.count_if(out_of_range(F.col(m), *bounds.of(m))) if m in df.columns else F.lit(0)
     both = {"temp", "dew"} <= set(df.columns)
@@ -106,6 +117,7 @@ def bad_values(df: DataFrame, bounds: Bounds = PROFILE_BOUNDS, by: Sequence[str]
         outside("temp").alias("bad_temp_count"),
         outside("dew").alias("bad_dew_count"),
         (F.count_if(above_other(F.col("dew"), F.col("temp"))) if both else F.lit(0)).alias("dew_above_temp_count"),
+        *also,
     )
     share = F.col("nan_rows") / F.nullif(F.col("total_records"), F.lit(0)) * 100.0
     return counted.withColumn("nan_row_pct", F.coalesce(share, F.lit(0.0)))
@@ -147,7 +159,7 @@ def histogram(
         place(values).groupBy(*by, number.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    groups = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    groups = counted.groupBy(*by).agg(F.sum("count").alias("_n"))
     frame = place(groups).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("_hi") - F.col("_lo")) / bins
     return frame.join(counted, [*by, "bin"], "left").select(
@@ -236,26 +248,35 @@ def sanity_examples(df: DataFrame, order: Sequence[str], high: str = "TMAX", low
     return df.where(F.col(high) < F.col(low)).select(*order, high, low).orderBy(*order).limit(n)
 
 
-def split_profile(features: DataFrame, split: str = "split", bounds: Bounds = PROFILE_BOUNDS) -> dict[str, DataFrame]:
-    """Statistics, bad values, period and histograms of the key columns of each split, as long tables.
-
-    Histograms of one column share their range over all splits.
-    """
-    columns = [c for c in PROFILED if c in features.columns]
-    long = to_long(features.select(split, *[F.col(c).alias(PROFILED[c]) for c in columns]),
-                   [PROFILED[c] for c in columns], [split])
-    binned = long.where(F.col("variable").isin("temp", "dew"))
+def split_periods(features: DataFrame, split: str = "split", bounds: Bounds = PROFILE_BOUNDS) -> DataFrame:
+    """Rows, first and last instant, and bad values of each split, in one aggregate."""
     renamed = features.withColumnsRenamed({"temp_lag0": "temp", "dew_lag0": "dew"})
-    period = features.groupBy(split).agg(
-        F.count(F.lit(1)).alias("records_count"),
+    period = (
         F.date_format(F.min(TS), "yyyy-MM-dd HH:mm").alias("start_date"),
         F.date_format(F.max(TS), "yyyy-MM-dd HH:mm").alias("end_date"),
     )
+    return bad_values(renamed, bounds, [split], period).withColumn("records_count", F.col("total_records"))
+
+
+def profiled_values(features: DataFrame, split: str = "split") -> DataFrame:
+    """Long table of the key columns; written out, since statistics and histograms pass over it repeatedly."""
+    columns = {c: PROFILED[c] for c in PROFILED if c in features.columns}
+    narrow = materialise(features.select(split, *[F.col(c).alias(n) for c, n in columns.items()]))
+    return to_long(narrow, list(columns.values()), [split])
+
+
+def split_histograms(long: DataFrame, split: str = "split") -> DataFrame:
+    """Temperature and dew point; bin edges of one column are shared by all splits."""
+    return histogram(long.where(F.col("variable").isin("temp", "dew")), [split, "variable"], range_by=["variable"])
+
+
+def split_profile(features: DataFrame, split: str = "split", bounds: Bounds = PROFILE_BOUNDS) -> dict[str, DataFrame]:
+    """Periods, bad values, statistics and histograms of the key columns of each split, as long tables."""
+    long = profiled_values(features, split)
     return {
-        "period": period,
+        "periods": split_periods(features, split, bounds),
         "statistics": column_stats(long, [split, "variable"]),
-        "bad_values": bad_values(renamed, bounds, [split]),
-        "histograms": histogram(binned, [split, "variable"], range_by=["variable"]),
+        "histograms": split_histograms(long, split),
     }
 
 
@@ -281,10 +302,10 @@ def split_report(profile: dict[str, DataFrame], split: str = "split") -> DataFra
     as_map = lambda df, name: df.groupBy(split).agg(
         F.map_from_entries(F.collect_list(F.struct("variable", "entry"))).alias(name)
     )
-    bad = profile["bad_values"].withColumn("nan_row_pct", F.round("nan_row_pct", 2))
+    bad = ["total_records", "nan_rows", "nan_row_pct", "bad_temp_count", "bad_dew_count", "dew_above_temp_count"]
+    periods = profile["periods"].withColumn("nan_row_pct", F.round("nan_row_pct", 2))
     return (
-        profile["period"]
+        periods.select(split, "records_count", "start_date", "end_date", F.struct(*bad).alias("bad_values"))
         .join(as_map(stats, "statistics"), split)
-        .join(bad.select(split, F.struct(*[c for c in bad.columns if c != split]).alias("bad_values")), split)
         .join(as_map(bins, "histograms"), split)
     )

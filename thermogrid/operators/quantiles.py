@@ -12,11 +12,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .scalars import attach
 
 PARTS = 64
 
 
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``(*by, _v, _c)``: how often each value occurs in each group.
+
+    Written out, since every later pass reads it: it is all that is needed of the data, and a frequent
+    value takes one row of it.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v"))
+    return materialise(counts.agg(F.count(F.lit(1)).alias("_c")))
+
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], parts: int = PARTS
 ) -> DataFrame:
@@ -25,10 +36,12 @@ def exact_quantiles(
     ``shares`` maps output names to fractions, e.g. ``{"median": 0.5}``. NULL values are ignored; groups
     without values are absent.
     """
+    return quantiles_of_counts(value_counts(df, by, value), by, shares, parts)
+
+
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], shares: dict[str, float], parts: int = PARTS) -> DataFrame:
+    """Exact quantiles from the table of :func:`value_counts`."""
     by = list(by)
-    counts = (
-        df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    )
     cuts = [i / parts for i in range(1, parts)]
     bounds = counts.groupBy(*by).agg(
         F.percentile_approx("_v", cuts, 1000).alias("_cuts"), F.sum("_c").alias("n")

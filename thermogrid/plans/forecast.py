@@ -19,7 +19,7 @@ from ..operators.profile import split_profile, split_report
 from ..operators.rate_policy import RatePolicy
 from ..operators.split import time_split
 from ..schema import CHUNK_HOURS, PROFILE_BOUNDS, TS, Bounds, SplitDates
-from ..session import cut_lineage
+from ..session import materialise
 from ..sources.paths import exists
 from ..sources.writers import choose_mode, prepare_outputs, write_json
 
@@ -96,14 +96,16 @@ def consolidated_history(models: Sequence[ForecastModel], spark) -> DataFrame:
 def run_forecast(series: DataFrame, params: JobParams = JobParams(), outputs: str | None = None) -> dict[str, DataFrame]:
     """Whole job on a cleaned hourly series. With ``outputs`` also writes models and reports there.
 
-    Features feed several fits and the scoring, so they are written once to the shared folder.
+    The series and the features feed several fits and the scoring, so they are written once to the shared
+    folder.
     """
     spark = series.sparkSession
     mode = "reset"
     if outputs:
         mode = choose_mode(spark, outputs, [STATE[m] for m in params.models if m in STATE])
         prepare_outputs(spark, outputs, mode)
-    rows = cut_lineage(time_split(feature_matrix(series, chunk_hours=params.chunk_hours), params.dates))
+    series = materialise(series)
+    rows = materialise(time_split(feature_matrix(series, chunk_hours=params.chunk_hours), params.dates))
     profile = split_profile(rows, bounds=params.profile_bounds)
     models = fit_models(series, rows, params, outputs, mode)
     scored = score(models, rows.where(F.col("split") == "test"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,14 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files.
 
-    Used where several jobs read the same costly rows: a lost executor then costs a
-    re-read, not a recomputation from the source.
+    For costly rows that several jobs or passes read. A lost executor then costs a re-read, not a
+    recomputation from the source, and each reader takes only the columns it needs.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/thermogrid/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
