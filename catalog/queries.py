@@ -16,7 +16,7 @@ from thermogrid.models.baselines import Climatology, Persistence
 from thermogrid.models.linear import GradientRidge, Ridge
 from thermogrid.models.restartable import LastStepLinear, RestartableLinear, last_step_rows
 from thermogrid.models.trees import BoostedTrees
-from thermogrid.operators import clean, evaluate, features, grid, hist2d, history, profile, rate_policy, sliding, split
+from thermogrid.operators import chunks, clean, evaluate, features, grid, hist2d, history, profile, rate_policy, sliding, split
 from thermogrid.schema import HORIZON, KEY, SUMMARY_TARGETS, TS, feature_names, target_names
 from thermogrid.session import materialise
 
@@ -558,9 +558,7 @@ def _history(spark, sf):
     rows = table(spark, sf, "events").selectExpr(
         "cast(user_id as string) as series_id", "cast(ts as timestamp) as ts", "event_id", "value"
     )
-    from thermogrid.operators.chunks import with_position
-
-    placed = with_position(rows, ["event_id"], chunk_hours=24)
+    placed = chunks.with_position(rows, ["event_id"], unit_seconds=3600)
     return placed.selectExpr(
         "series_id as run_id", "pos + 1 as step", "value as val_mae", "value as val_loss",
         "value * 0.5D + event_id % 13 as train_loss",

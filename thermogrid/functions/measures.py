@@ -15,7 +15,6 @@ MISSING_CODES_STRICT = (9999, -9999)
 # Numbers that mean "no reading" in columns already in degrees.
 MISSING_CELSIUS = (9999.0, -9999.0, 999.9, -999.9)
 
-_INTEGER = r"^[+-]?[0-9]+(_[0-9]+)*$"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _BLANKS = " \t\n\r\f\x0b"
 
@@ -32,18 +31,17 @@ def parse_encoded(col: Column, strict: bool = False) -> Column:
     """
     text = col.cast("string")
     if not strict:
-        text = F.trim(text, F.lit(_BLANKS))
-    parts = F.split(text, ",", -1 if strict else 2)
-    digits = F.trim(parts.getItem(0), F.lit(_BLANKS))
-    flag = F.get(parts, F.lit(1))
-    value = F.when(digits.rlike(_INTEGER), F.regexp_replace(digits, "_", "").try_cast("double"))
+        text = F.btrim(text, F.lit(_BLANKS))
+    comma = F.instr(text, ",")
+    flag = F.substr(text, comma + 1)
+    # A cast to an integer rejects fractions and other text, and ignores blanks around the digits.
+    value = F.substring_index(text, ",", 1).try_cast("bigint")
     codes = MISSING_CODES_STRICT if strict else MISSING_CODES
-    usable = ~value.isin(*[float(c) for c in codes])
     if strict:
-        usable = usable & (F.size(parts) == 2) & ~flag.isin(*REJECTED_FLAGS)
+        accepted = (comma > 0) & (F.instr(flag, ",") == 0) & ~flag.isin(*REJECTED_FLAGS)
     else:
-        usable = usable & ~F.coalesce(flag, F.lit("1")).isin(*REJECTED_FLAGS)
-    return F.when(usable, value / 10.0)
+        accepted = (comma == 0) | ~flag.isin(*REJECTED_FLAGS)
+    return F.when(accepted & ~value.isin(*codes), value / 10.0)
 
 
 def parse_celsius(col: Column) -> Column:
@@ -54,7 +52,7 @@ def parse_celsius(col: Column) -> Column:
 
 def is_plain_number(col: Column) -> Column:
     """True where a text cell is a bare number, i.e. not ``value,flag``."""
-    return F.trim(col.cast("string"), F.lit(_BLANKS)).rlike(_NUMBER)
+    return F.btrim(col.cast("string"), F.lit(_BLANKS)).rlike(_NUMBER)
 
 
 def in_range(col: Column, low: float, high: float) -> Column:

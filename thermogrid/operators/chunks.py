@@ -15,6 +15,7 @@ from ..schema import KEY, TS
 
 CHUNK = "_chunk"
 CORE = "_core"
+_UNITS_PER_BLOCK = 1440
 
 
 def chunk_of(ts: Column, hours: int) -> Column:
@@ -48,27 +49,31 @@ def drop_halo(df: DataFrame) -> DataFrame:
 
 
 def with_position(
-    df: DataFrame, tie_break: list[str], chunk_hours: int = 1, position: str = "pos", total: str | None = None
+    df: DataFrame, tie_break: list[str], unit_seconds: int = 60, position: str = "pos", total: str | None = None
 ) -> DataFrame:
     """0-based row position of each row in its series by time, without one task per series.
 
-    Rows are counted per time chunk, the counts are summed up over the few chunks of a series, and
-    each row then needs only its rank inside its own chunk.
+    Rows are counted per short unit of time. The counts are summed up in two levels (units within a block,
+    blocks within a series), so that no window is long, and a row then needs only its rank inside its own
+    unit. A unit should hold what one task can sort.
     """
     rows = df.where(F.col(KEY).isNotNull() & F.col(TS).isNotNull())
-    rows = rows.withColumn(CHUNK, chunk_of(F.col(TS), chunk_hours))
-    per_chunk = rows.groupBy(KEY, CHUNK).agg(F.count(F.lit(1)).alias("_rows"))
-    by_series = Window.partitionBy(KEY)
-    before = by_series.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_chunk.select(
-        KEY, CHUNK,
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
-        F.sum("_rows").over(by_series).alias("_total"),
+    rows = rows.withColumn("_unit", F.floor(F.unix_seconds(TS) / unit_seconds))
+    units = (
+        rows.groupBy(KEY, "_unit").agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn(CHUNK, F.floor(F.col("_unit") / _UNITS_PER_BLOCK))
     )
-    inside = Window.partitionBy(KEY, CHUNK).orderBy(TS, *tie_break)
-    placed = rows.join(starts, [KEY, CHUNK]).withColumn(
-        position, F.col("_start") + F.row_number().over(inside) - 1
+    series = Window.partitionBy(KEY)
+    before = lambda w, order: w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = units.groupBy(KEY, CHUNK).agg(F.sum("_rows").alias("_rows")).select(
+        KEY, CHUNK, F.sum("_rows").over(before(series, CHUNK)).alias("_block_start"), F.sum("_rows").over(series).alias("_total")
     )
+    in_block = F.sum("_rows").over(before(Window.partitionBy(KEY, CHUNK), "_unit"))
+    starts = units.select(KEY, CHUNK, "_unit", in_block.alias("_in_block")).join(blocks, [KEY, CHUNK]).select(
+        KEY, "_unit", (F.coalesce("_block_start", F.lit(0)) + F.coalesce("_in_block", F.lit(0))).alias("_start"), "_total"
+    )
+    inside = Window.partitionBy(KEY, "_unit").orderBy(TS, *tie_break)
+    placed = rows.join(starts, [KEY, "_unit"]).withColumn(position, F.col("_start") + F.row_number().over(inside) - 1)
     if total:
         placed = placed.withColumn(total, F.col("_total"))
-    return placed.drop(CHUNK, "_start", "_total")
+    return placed.drop("_unit", "_start", "_total")

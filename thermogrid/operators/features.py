@@ -75,7 +75,7 @@ def _join_pieces(df: DataFrame, w: int, pieces: list[tuple[int, int]]) -> DataFr
 
 def _rolling_exprs(w: int) -> list[str]:
     enough = f"_n{w} >= {max(1, w // 2)}"
-    std = f"if(_n{w} > 1, sqrt(_m2{w} / (_n{w} - 1)), null)"
+    std = f"case when _n{w} < 2 then null when _lo{w} = _hi{w} then 0D else sqrt(_m2{w} / (_n{w} - 1)) end"
     stats = {"mean": f"_mean{w}", "min": f"_lo{w}", "max": f"_hi{w}", "std": std, "range": f"_hi{w} - _lo{w}"}
     out = [f"if({enough}, {e}, null) as temp_roll_{s}_{w}h" for s, e in stats.items()]
     return out + [f"if(_dn{w} >= {max(1, w // 2)}, _dmean{w}, null) as dew_roll_mean_{w}h"]

@@ -218,7 +218,9 @@ def document_columns(df: DataFrame, max_listed: int = MAX_LISTED_VALUES) -> Data
             df.select(*[F.col(c).cast("string").alias(c) for c in texts]).unpivot([], texts, "variable", "value")
             .where(F.col("value").isNotNull()).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("_c"))
         )
-        names = df.sparkSession.createDataFrame([(c,) for c in texts], "variable string")
+        # A global aggregate has one row even over no rows: every column is described.
+        listed_names = df.limit(0).agg(F.array(*[F.lit(c) for c in texts]).alias("_names"))
+        names = listed_names.select(F.explode("_names").alias("variable"))
         sizes = values.groupBy("variable").agg(F.count(F.lit(1)).alias("distinct"))
         short = F.broadcast(sizes.where(F.col("distinct") <= max_listed).select("variable"))
         listed = (

@@ -41,6 +41,8 @@ def exact_quantiles(
 
 def quantiles_of_counts(counts: DataFrame, by: Sequence[str], shares: dict[str, float], parts: int = PARTS) -> DataFrame:
     """Exact quantiles from the table of :func:`value_counts`."""
+    if parts < 2:
+        raise ValueError("values must be cut into at least two parts")
     by = list(by)
     cuts = [i / parts for i in range(1, parts)]
     bounds = counts.groupBy(*by).agg(

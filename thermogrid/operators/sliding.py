@@ -36,7 +36,7 @@ def sliding_windows(
     labels: Sequence[str],
     tie_break: list[str],
     chunk_rows: int = 4096,
-    chunk_hours: int = 1,
+    unit_seconds: int = 60,
 ) -> DataFrame:
     """One row per window start: ``inputs`` (array of structs) and ``labels`` (array of structs).
 
@@ -46,7 +46,7 @@ def sliding_windows(
     reach = shape.total - 1
     if reach > chunk_rows:
         raise ValueError("a block of rows must be at least as long as a window")
-    placed = with_position(df, tie_break, chunk_hours, "pos")
+    placed = with_position(df, tie_break, unit_seconds, "pos")
     own = F.floor(F.col("pos") / chunk_rows)
     homes = F.array_compact(F.array(own, F.when((F.col("pos") % chunk_rows < reach) & (own > 0), own - 1)))
     columns = list(dict.fromkeys([*features, *labels]))

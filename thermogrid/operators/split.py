@@ -33,10 +33,10 @@ def split_summary(df: DataFrame, split: str = "split", measures: Sequence[str] =
 
 
 def positional_split(
-    df: DataFrame, tie_break: list[str], train: float = 0.7, train_val: float = 0.9, chunk_hours: int = 1
+    df: DataFrame, tie_break: list[str], train: float = 0.7, train_val: float = 0.9, unit_seconds: int = 60
 ) -> DataFrame:
     """Label rows by their place in time order within the series: first 70 %, next 20 %, last 10 %."""
-    placed = with_position(df, tie_break, chunk_hours, "pos", "_n")
+    placed = with_position(df, tie_break, unit_seconds, "pos", "_n")
     cut = lambda share: F.floor(F.col("_n") * F.lit(float(share)))
     label = F.when(F.col("pos") < cut(train), "train").when(F.col("pos") < cut(train_val), "val").otherwise("test")
     return placed.withColumn("split", label).drop("_n")
@@ -72,8 +72,8 @@ def invert_scaling(df: DataFrame, scaler: DataFrame, columns: Sequence[str], by:
 
 
 def split_and_standardize(
-    df: DataFrame, columns: Sequence[str], tie_break: list[str], chunk_hours: int = 1
+    df: DataFrame, columns: Sequence[str], tie_break: list[str], unit_seconds: int = 60
 ) -> DataFrame:
     """Positional split, then scaling of all rows by the training rows of their series."""
-    split = positional_split(df, tie_break, chunk_hours=chunk_hours)
+    split = positional_split(df, tie_break, unit_seconds=unit_seconds)
     return standardize(split, fit_scaler(split.where(F.col("split") == "train"), columns, [KEY]), columns, [KEY])

@@ -196,7 +196,7 @@ def read_histories(spark: SparkSession, consolidated: str | None, single: dict[s
     """
     frames = []
     if consolidated and exists(spark, consolidated):
-        keyed = spark.read.option("wholetext", True).text(consolidated).select(
+        keyed = spark.read.text(consolidated, wholetext=True).select(
             F.inline(F.map_entries(F.from_json("value", T.MapType(T.StringType(), HISTORY_SCHEMA))))
         )
         frames.append(keyed.select(F.lit(0).alias("_place"), F.col("key").alias("model"), "value.*"))

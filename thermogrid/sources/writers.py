@@ -15,8 +15,8 @@ from .paths import delete, exists
 def write_series(df: DataFrame, path: str, by_year: bool = True) -> None:
     """Cleaned series as parquet, one folder per year, so that period filters prune files.
 
-    Rows are spread by series and year before writing: one file per series and year, and no task that
-    holds a whole series.
+    Rows are spread by series and year before writing, so a task adds one file to each year it holds and
+    no task holds a whole long series.
     """
     if not by_year:
         df.write.mode("overwrite").parquet(path)
