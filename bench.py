@@ -17,7 +17,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from catalog.queries import REGISTRY
-from thermogrid.session import local_session
+from thermogrid.session import local_session, release
 
 HEADLINES = (
     "hourly_mean", "hourly_grid", "interpolate_limited", "source_clean", "combined_dataset", "rolling_features",
@@ -39,6 +39,7 @@ def main() -> None:
             REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - began)
         seconds[name] = round(statistics.median(taken[1:]), 3)
+    release(spark)
     spark.stop()
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",

@@ -6,13 +6,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from thermogrid.session import local_session  # noqa: E402
+from thermogrid.session import local_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, shuffle_partitions=4)
     yield session
+    release(session)
     session.stop()
 
 

@@ -27,7 +27,7 @@ def groups():
     }
 
 
-@pytest.mark.parametrize("parts", [2, 7, 64])
+@pytest.mark.parametrize("parts", [2, 8, 64])
 def test_quantiles_are_exact(spark, parts):
     data = groups()
     shares = {"q25": 0.25, "median": 0.5, "q75": 0.75, "low": 0.0, "high": 1.0, "p99": 0.99}

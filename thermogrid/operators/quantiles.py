@@ -39,16 +39,25 @@ def exact_quantiles(
     return quantiles_of_counts(value_counts(df, by, value), by, shares, parts)
 
 
+def _place(df: DataFrame, parts: int) -> DataFrame:
+    """Replace the sorted ``parts - 1`` cuts by ``_part``, the number of cuts below ``_v``: a binary search."""
+    df, step = df.withColumn("_part", F.lit(0)), parts // 2
+    while step:
+        df = df.withColumn("_part", F.expr(f"_part + if(get(_cuts, _part + {step - 1}) < _v, {step}, 0)"))
+        step //= 2
+    return df.drop("_cuts")
+
+
 def quantiles_of_counts(counts: DataFrame, by: Sequence[str], shares: dict[str, float], parts: int = PARTS) -> DataFrame:
     """Exact quantiles from the table of :func:`value_counts`."""
-    if parts < 2:
-        raise ValueError("values must be cut into at least two parts")
+    if parts < 2 or parts & (parts - 1):
+        raise ValueError("the number of parts must be a power of two")
     by = list(by)
     cuts = [i / parts for i in range(1, parts)]
     bounds = counts.groupBy(*by).agg(
         F.percentile_approx("_v", cuts, 1000).alias("_cuts"), F.sum("_c").alias("n")
     )
-    placed = attach(counts, bounds, by).withColumn("_part", F.size(F.filter("_cuts", lambda b: b < F.col("_v")))).drop("_cuts")
+    placed = _place(attach(counts, bounds, by), parts)
 
     order = Window.partitionBy(*by).orderBy("_part")
     ranks = F.array_distinct(F.flatten(F.array(*[

@@ -8,6 +8,10 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.paths import delete
+
+_WRITTEN: list[str] = []
+
 
 def use_utc(spark: SparkSession) -> SparkSession:
     """Station clocks carry no zone; a UTC session keeps every hour of the year."""
@@ -26,6 +30,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
@@ -58,4 +63,11 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/thermogrid/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables :func:`materialise` wrote in this process; call it when their readers are done."""
+    while _WRITTEN:
+        delete(spark, _WRITTEN.pop())
