@@ -245,6 +245,15 @@ def summary_sql(label, source):
 
 SQL["dataset_summary"] = chain(*CLEAN) + summary_sql("series_id", "clean")
 
+# --- files ----------------------------------------------------------------------------------------------
+
+SQL["csv_encoded"] = chain(*DECODED) + f"SELECT 'all' AS series_id, ts, {rs('temp', 'dew')} FROM dec"
+POOL = tuple(f"{n}_all AS (SELECT 'all' AS series_id, ts, temp, dew FROM {n})" for n in ("early", "late"))
+SQL["folder_load"] = chain(
+    *DECODED, *TWO, *POOL, *cleaned("early_all", "e"), *cleaned("late_all", "l"), MERGE.format(a="e", b="l"), *recleaned("merged", "x")
+) + SERIES + "x"
+SQL["cleaned_table"] = chain(*CLEAN) + SERIES + "clean"
+
 # --- features -------------------------------------------------------------------------------------------
 
 
@@ -279,6 +288,8 @@ SQL["target_scaler"] = chain(*MATRIX) + f"""SELECT {r('avg(y)', 'y_mean')}, {r('
 FROM (SELECT unnest([{', '.join(target_names())}]) AS y FROM matrix)"""
 SQL["standardize"] = chain(OBS, PLACED, PARTS, SCALER) + f"""SELECT series_id, event_id, ts, {r('(temp - temp_mean) / temp_std', 'temp')},
   {r('(dew - dew_mean) / dew_std', 'dew')}, split FROM parts JOIN scaler USING (series_id)"""
+SQL["split_files"] = chain(OBS, PLACED, PARTS, SCALER) + f"""SELECT series_id, event_id, {r('(temp - temp_mean) / temp_std', 'temp')}, split
+FROM parts JOIN scaler USING (series_id)"""
 _W = f"(PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW.total - 1} FOLLOWING)"
 SQL["sliding_windows"] = chain(OBS, PLACED, f"""w AS (SELECT series_id, pos, ts,
   list(CAST(round(temp * 100) AS BIGINT)) OVER {_W} AS temps, list(dew) OVER {_W} AS dews FROM placed)""") + f"""
@@ -441,6 +452,8 @@ SQL["hist2d_normalised"] = HIST + f"""SELECT hour, strftime(TIMESTAMP '1999-01-0
 SQL["hist2d_frames"] = HIST + """SELECT h.hour, coalesce(string_agg(concat_ws(':', x, y, cnt), ' ' ORDER BY x, y), '') AS cells
 FROM (SELECT CAST(unnest(generate_series(0, 8759)) AS INTEGER) AS hour) h LEFT JOIN cells USING (hour) GROUP BY h.hour"""
 
+SQL["frame_files"] = SQL["hist2d_frames"]
+
 # --- forecasts and scores -------------------------------------------------------------------------------
 
 CLIM = (

@@ -18,7 +18,8 @@ from thermogrid.models.restartable import LastStepLinear, RestartableLinear, las
 from thermogrid.models.trees import BoostedTrees
 from thermogrid.operators import chunks, clean, evaluate, features, grid, hist2d, history, profile, rate_policy, sliding, split
 from thermogrid.schema import HORIZON, KEY, SUMMARY_TARGETS, TS, feature_names, target_names
-from thermogrid.session import materialise
+from thermogrid.session import materialise, scratch_path
+from thermogrid.sources import readers, writers
 
 from .inputs import (
     BOUNDS, CHUNK_HOURS, DATES, clean_grid, decoded, encoded, feature_rows, observations, table, tidy,
@@ -186,6 +187,61 @@ def dataset_summary(spark, sf):
     return split.split_summary(clean_grid(spark, sf), KEY)
 
 
+# --- files ----------------------------------------------------------------------------------------------
+
+
+@query
+def csv_encoded(spark, sf):
+    """Comma-separated file with encoded readings, written from the events and read back."""
+    path = scratch_path(spark)
+    stamped = encoded(spark, sf).withColumn("DATE", F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    stamped.select("event_id", "DATE", "TMP", "DEW").write.option("header", True).csv(path)
+    return readers.read_observations(spark, readers.RawSource(path))
+
+
+@query
+def folder_load(spark, sf):
+    """A folder with an encoded and a semicolon file of plain degrees that overlap, cleaned and merged."""
+    folder = scratch_path(spark)
+    early = F.col(TS) < F.lit("2024-01-20").cast("timestamp")
+    late = F.col(TS) >= F.lit("2024-01-10").cast("timestamp")
+    stamp = F.date_format(TS, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("DATE")
+    encoded(spark, sf).where(early).select(stamp, "TMP", "DEW").write.option("header", True).csv(f"{folder}/old")
+    plain = observations(spark, sf).where(late)
+    plain.select(stamp, F.col("temp").alias("temperature"), F.col("dew").alias("dew_point_temperature")).write.option(
+        "header", True).option("sep", ";").csv(f"{folder}/new")
+    sources = [readers.RawSource("old"), readers.RawSource("new", sep=";"), readers.RawSource("absent")]
+    return readers.load_observations(spark, folder, sources, bounds=BOUNDS, chunk_hours=CHUNK_HOURS)
+
+
+@query
+def cleaned_table(spark, sf):
+    """Cleaned series written by year and read back."""
+    path = scratch_path(spark)
+    writers.write_series(clean_grid(spark, sf), path)
+    return readers.read_cleaned(spark, path)
+
+
+@query
+def split_files(spark, sf):
+    path = scratch_path(spark)
+    rows = split.split_and_standardize(observations(spark, sf), ["temp", "dew"], ["event_id"])
+    writers.write_splits(rows.select(KEY, "event_id", "temp", "split"), path)
+    parts = readers.read_splits(spark, path)
+    out = [parts[s].withColumn("split", F.lit(s)) for s in split.SPLITS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query
+def frame_files(spark, sf):
+    path = scratch_path(spark)
+    ship = _shipments(spark, sf)
+    writers.write_frames(_cells(spark, sf), hist2d.axis_bounds(hist2d.usable_pairs(ship, "ts", "l_quantity", "l_extendedprice")), path)
+    frames = spark.read.schema("hour int, frame array<array<bigint>>").json(f"{path}/frames")
+    one = lambda c: F.array_join(c.cast("array<string>"), ":")
+    return frames.select("hour", F.array_join(F.transform("frame", one), " ").alias("cells"))
+
+
 # --- features -------------------------------------------------------------------------------------------
 
 

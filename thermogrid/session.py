@@ -54,6 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder(spark.sparkContext.applicationId)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new name in the shared folder, to be deleted by :func:`release`."""
+    path = f"{shared_dir(spark)}/thermogrid/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files.
 
@@ -61,13 +68,12 @@ def materialise(df: DataFrame) -> DataFrame:
     recomputation from the source, and each reader takes only the columns it needs.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/thermogrid/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables :func:`materialise` wrote in this process; call it when their readers are done."""
+    """Delete what this process wrote under :func:`scratch_path`; call it when its readers are done."""
     while _WRITTEN:
         delete(spark, _WRITTEN.pop())
