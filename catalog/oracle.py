@@ -346,8 +346,10 @@ def hist_sql(src, by, range_by, bins=30):
     return f"""ends AS (SELECT {e + ',' if e else ''} CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
       CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi FROM {src} {group}),
     groups AS (SELECT {k}, count(value) AS n FROM {src} GROUP BY {k} HAVING count(value) > 0),
-    counted AS (SELECT {k}, least(floor((value - lo) / (hi - lo) * {bins}), {bins - 1}) AS bin, count(*) AS cnt
-      FROM {src} JOIN ends USING ({e}) WHERE value IS NOT NULL GROUP BY ALL),
+    guessed AS (SELECT {k}, value, lo, (hi - lo) / {bins} AS step, least(floor((value - lo) / (hi - lo) * {bins}), {bins - 1}) AS g
+      FROM {src} JOIN ends USING ({e}) WHERE value IS NOT NULL),
+    counted AS (SELECT {k}, CASE WHEN value < lo + g * step THEN g - 1 WHEN value >= lo + (g + 1) * step AND g < {bins - 1} THEN g + 1 ELSE g END AS bin,
+      count(*) AS cnt FROM guessed GROUP BY ALL),
     bins AS (SELECT CAST(unnest(generate_series(0, {bins - 1})) AS INTEGER) AS bin)
     SELECT {', '.join('f.' + b for b in by)}, f.bin, {r('lo + (f.bin + CAST(0.5 AS DOUBLE)) * ((hi - lo) / ' + str(bins) + ')', 'center')},
       coalesce(cnt, 0) AS count, {r('CAST(coalesce(cnt, 0) AS DOUBLE) / n', 'density')}

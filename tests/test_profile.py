@@ -73,6 +73,16 @@ def test_histogram_edges(spark):
     assert sum(r.density for r in out) == pytest.approx(1.0)
 
 
+def test_histogram_agrees_with_numpy_on_edge_values(spark):
+    data = {f"k{k}": [round(i * 0.1, 1) for i in range(k)] for k in (7, 31, 61, 100)}
+    data["lines"] = [float(1 + i % 7) for i in range(70)]
+    got = {}
+    for r in profile.histogram(long(spark, data)).collect():
+        got.setdefault(r.variable, {})[r.bin] = r["count"]
+    for name, values in data.items():
+        assert [got[name][b] for b in range(30)] == np.histogram(values, bins=30)[0].tolist(), name
+
+
 def test_histogram_of_constant_and_empty(spark):
     out = profile.histogram(long(spark, {"x": [3.0, 3.0], "none": [N]}), bins=4).orderBy("bin").collect()
     want, _ = np.histogram([3.0, 3.0], bins=4)

@@ -121,10 +121,14 @@ def calendar_features(df: DataFrame) -> DataFrame:
 
 def summarise_targets(df: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """Highest, lowest and mean target of the day ahead, over the targets present."""
-    day = F.array_compact(F.array(*target_names(horizon)))
-    mean = F.aggregate(day, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(day), F.lit(0))
-    return df.withColumns(
-        {"target_tmax": F.array_max(day), "target_tmin": F.array_min(day), "target_tavg": mean}
+    names = target_names(horizon)
+    total = " + ".join(f"coalesce({c}, 0D)" for c in names)
+    present = " + ".join(f"int({c} is not null)" for c in names)
+    # A name twice serves a horizon of one: both functions skip NULLs and want two arguments.
+    every = ", ".join([*names, names[0]])
+    return df.selectExpr(
+        "*", f"greatest({every}) as target_tmax", f"least({every}) as target_tmin",
+        f"try_divide({total}, {present}) as target_tavg",
     )
 
 

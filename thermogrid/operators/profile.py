@@ -152,11 +152,15 @@ def histogram(
         F.when(flat, F.col("_b") + 0.5).otherwise(F.col("_b")).alias("_hi"),
     )
     place = lambda left: attach(left, ends, range_by)
-    number = F.least(
-        F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)
+    # The scaled place can be off by one next to an edge; the edges themselves decide.
+    edge = lambda i: F.col("_lo") + i * ((F.col("_hi") - F.col("_lo")) / bins)
+    guess = F.least(F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+    at, value = F.col("_at"), F.col("value")
+    number = (
+        F.when(value < edge(at), at - 1).when((value >= edge(at + 1)) & (at != bins - 1), at + 1).otherwise(at)
     )
     counted = (
-        place(values).groupBy(*by, number.cast("int").alias("bin"))
+        place(values).withColumn("_at", guess).groupBy(*by, number.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
     groups = counted.groupBy(*by).agg(F.sum("count").alias("_n"))
