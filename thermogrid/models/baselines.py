@@ -33,10 +33,12 @@ class Climatology:
     name = "climatology"
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> Climatology:
+        # Both tables read the same sums and counts and the same filters, so the data is aggregated once.
+        known = F.col(KEY).isNotNull() & F.col("doy").isNotNull() & F.col("hour").isNotNull()
         slots = train.groupBy(KEY, F.dayofyear(TS).alias("doy"), F.hour(TS).alias("hour")).agg(
-            F.avg("temp").alias("mean"), F.sum("temp").alias("_sum"), F.count("temp").alias("_n")
-        )
-        self.means = slots.select(KEY, "doy", "hour", "mean")
+            F.sum("temp").alias("_sum"), F.count("temp").alias("_n")
+        ).where(known)
+        self.means = slots.select(KEY, "doy", "hour", (F.col("_sum") / F.nullif(F.col("_n"), F.lit(0))).alias("mean"))
         self.overall = slots.groupBy(KEY).agg((F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("overall"))
         return self
 

@@ -57,11 +57,12 @@ def with_position(
     blocks within a series), so that no window is long, and a row then needs only its rank inside its own
     unit. A unit should hold what one task can sort.
     """
+    # The filters are those that the joins would infer; stated early, both readers of the counts share a plan.
     rows = df.where(F.col(KEY).isNotNull() & F.col(TS).isNotNull())
-    rows = rows.withColumn("_unit", F.floor(F.unix_seconds(TS) / unit_seconds))
+    rows = rows.withColumn("_unit", F.floor(F.unix_seconds(TS) / unit_seconds)).where(F.col("_unit").isNotNull())
     units = (
         rows.groupBy(KEY, "_unit").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn(CHUNK, F.floor(F.col("_unit") / _UNITS_PER_BLOCK))
+        .withColumn(CHUNK, F.floor(F.col("_unit") / _UNITS_PER_BLOCK)).where(F.col(CHUNK).isNotNull())
     )
     series = Window.partitionBy(KEY)
     before = lambda w, order: w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
