@@ -528,6 +528,13 @@ JOIN (SELECT DISTINCT series_id, ts FROM days ORDER BY ts DESC, series_id LIMIT
 SQL["last_profiles"] = chain(*STEPS) + f"""SELECT model, ts AS last_ts, h - 1 AS h, {r('yhat')} FROM (
   SELECT *, rank() OVER (PARTITION BY model ORDER BY ts DESC, series_id DESC) AS k FROM hours) WHERE k = 1"""
 
+SQL["evaluation_export"] = chain(*STEPS) + f"""SELECT model, strftime(max(ts) OVER (), '%Y-%m-%d %H:%M') AS last_timestamp,
+  CAST(row_number() OVER (PARTITION BY model ORDER BY ts, series_id) - 1 AS INTEGER) AS place, strftime(ts, '%Y-%m-%d %H:%M') AS timestamps,
+  {r('now', 'actual_current_temp')}, {r('actual_tmin', 'actual_next24_tmin')}, {r('tmin')} FROM days
+JOIN (SELECT DISTINCT series_id, ts FROM days ORDER BY ts DESC, series_id LIMIT 100) USING (series_id, ts)"""
+SQL["metrics_report"] = chain(*SCORES) + f"""SELECT model AS model_name, {r('round(mae, 4)', 'mae')}, {r('round(acc_2, 2)', 'acc_2')},
+  {r('round(directional_f1, 2)', 'directional_f1')}, {r('round(tmax_rmse, 4)', 'tmax_rmse')}, {r('round(tavg_r2, 4)', 'tavg_r2')} FROM scores"""
+
 # --- training histories ---------------------------------------------------------------------------------
 
 RUNS = """runs AS (SELECT CAST(user_id AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
@@ -545,6 +552,13 @@ SQL["history_status"] = chain(RUNS, BEST) + f"""SELECT run_id, {r('min(best_so_f
 SQL["history_best_run"] = chain(RUNS) + f"""SELECT count(*) AS models, {r('min(m)', 'best_val_mae')},
   arg_min(run_id, (m, run_id)) AS best_model FROM (SELECT run_id, min(value) AS m FROM runs GROUP BY 1)"""
 
+SQL["history_summary"] = f"""SELECT CAST(o_custkey AS VARCHAR) AS model, CAST(count(*) AS INTEGER) AS steps,
+  CAST(count(*) FILTER (o_totalprice > 250000) AS INTEGER) AS rate_events, CASE WHEN max(o_orderstatus) = 'P' THEN 'Completed' ELSE max(o_orderstatus) END AS final_status,
+  CASE max(o_orderstatus) WHEN 'O' THEN 'overfit' WHEN 'P' THEN 'underfit' ELSE 'good' END AS fit, {r('CAST(1 AS DOUBLE)', 'target_mae')},
+  {r('min(o_totalprice)', 'best_val_mae')}, CAST(arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS INTEGER) AS best_epoch FROM orders GROUP BY o_custkey"""
+SQL["history_epochs"] = f"""SELECT CAST(o_custkey AS VARCHAR) AS model, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS epoch,
+  {r('o_totalprice', 'val_mae')} FROM orders"""
+
 P = PLATEAU
 REPLAY = f"""WITH RECURSIVE {RUNS},
 state AS (

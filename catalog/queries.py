@@ -548,7 +548,7 @@ def error_boxplot(spark, sf):
 
 @query
 def tail_sample(spark, sf):
-    return evaluate.tail_rows(_baselines(spark, sf), 200).select(KEY, TS, "model", "now", "actual_tmax", "tmax")
+    return evaluate.tail_rows(materialise(_baselines(spark, sf)), 200).select(KEY, TS, "model", "now", "actual_tmax", "tmax")
 
 
 @query
@@ -557,6 +557,22 @@ def last_profiles(spark, sf):
     return last.select("model", "last_ts", F.posexplode("profile").alias("h", "yhat"))
 
 
+@query
+def evaluation_export(spark, sf):
+    export = evaluate.evaluation_export(materialise(_baselines(spark, sf)), 100)
+    zipped = F.arrays_zip("timestamps", "actual_current_temp", "actual_next24_tmin", "tmin")
+    return export.select("model", "last_timestamp", F.posexplode(zipped).alias("place", "_e")).select("model", "last_timestamp", "place", "_e.*")
+
+
+@query
+def metrics_report(spark, sf):
+    report = evaluate.metrics_report(evaluate.evaluate(_baselines(spark, sf)))
+    return report.select(
+        "model_name", F.col("hourly_24h.mae").alias("mae"), F.col("hourly_24h")["acc_2.0C"].alias("acc_2"),
+        F.col("hourly_24h.directional_f1").alias("directional_f1"), F.col("tmax.rmse").alias("tmax_rmse"), F.col("tavg.r2").alias("tavg_r2"),
+    )
+
+
 # --- fitted models: no SQL counterpart, checked in tests -------------------------------------------------
 
 
@@ -642,6 +658,32 @@ def history_best_run(spark, sf):
     return history.best_over_runs(runs, name="run_id")
 
 
+def _records(spark, sf):
+    """A nested history record per customer: their orders as epochs, some as over- or underfitted runs."""
+    orders = table(spark, sf, "orders")
+    runs = orders.groupBy(F.col("o_custkey").cast("string").alias("model")).agg(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("_o"),
+        F.min("o_totalprice").alias("best_val_mae"), F.max("o_orderstatus").alias("status"),
+        F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).cast("int").alias("best_epoch"),
+    )
+    return runs.selectExpr(
+        "model", "transform(_o, (o, i) -> named_struct('epoch', i + 1, 'val_mae', o.o_totalprice)) as epochs",
+        "cast(null as array<struct<stage:int>>) as stages", "filter(_o, o -> o.o_totalprice > 250000) as lr_decay_events",
+        "0 as total_epochs", "best_val_mae", "best_epoch", "cast(null as double) as target_mae", "cast(null as string) as final_status",
+        "if(status = 'P', null, status) as status", "status = 'O' as overfitting_detected", "status = 'P' as underfitting_detected",
+    )
+
+
+@query
+def history_summary(spark, sf):
+    return history.history_summary(_records(spark, sf))
+
+
+@query
+def history_epochs(spark, sf):
+    return history.epoch_rows(_records(spark, sf))
+
+
 @query
 def policy_replay(spark, sf):
     return rate_policy.replay(_history(spark, sf), PLATEAU)

@@ -84,14 +84,14 @@ def evaluate(predictions: DataFrame) -> DataFrame:
 
 
 def metrics_report(scores: DataFrame) -> DataFrame:
-    """Nested, rounded record per model for the JSON sink."""
-    rounded = lambda c, d: F.round(c, d).alias(c.split("_", 1)[1] if c.split("_")[0] in SUMMARIES else c)
+    """Nested, rounded record per model for the JSON sink; ties round to even."""
+    rounded = lambda c, d: F.bround(c, d).alias(c.split("_", 1)[1] if c.split("_")[0] in SUMMARIES else c)
     regression = lambda p: [rounded(f"{p}mae", 4), rounded(f"{p}rmse", 4), rounded(f"{p}mape", 2), rounded(f"{p}r2", 4)]
     return scores.select(
         F.col("model").alias("model_name"),
         F.struct(
-            *regression(""), F.round("acc_1", 2).alias("acc_1.0C"), F.round("acc_2", 2).alias("acc_2.0C"),
-            *[F.round(c, 2).alias(c) for c in ("directional_precision", "directional_recall", "directional_f1")],
+            *regression(""), F.bround("acc_1", 2).alias("acc_1.0C"), F.bround("acc_2", 2).alias("acc_2.0C"),
+            *[F.bround(c, 2).alias(c) for c in ("directional_precision", "directional_recall", "directional_f1")],
         ).alias("hourly_24h"),
         *[F.struct(*regression(f"{s}_")).alias(s) for s in SUMMARIES],
     )
@@ -139,7 +139,10 @@ def last_profiles(predictions: DataFrame) -> DataFrame:
 
 
 def evaluation_export(predictions: DataFrame, n: int = 200) -> DataFrame:
-    """Per model the last ``n`` daily summaries as arrays in time order, with the last 24-hour profile."""
+    """Per model the last ``n`` daily summaries as arrays in time order, with the last 24-hour profile.
+
+    Reads ``predictions`` three times: pass a written table.
+    """
     entry = F.struct(TS, KEY, *[f for s in SUMMARIES for f in (s, f"actual_{s}")], "now")
     tail = tail_rows(predictions, n).groupBy("model").agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
     series = lambda f: F.transform("_rows", lambda r: r[f])

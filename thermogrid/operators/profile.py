@@ -226,6 +226,7 @@ def document_columns(df: DataFrame, max_listed: int = MAX_LISTED_VALUES) -> Data
         listed_names = df.limit(0).agg(F.array(*[F.lit(c) for c in texts]).alias("_names"))
         names = listed_names.select(F.explode("_names").alias("variable"))
         sizes = values.groupBy("variable").agg(F.count(F.lit(1)).alias("distinct"))
+        # At most one row per column of the table.
         short = F.broadcast(sizes.where(F.col("distinct") <= max_listed).select("variable"))
         listed = (
             values.join(short, "variable").groupBy("variable")
@@ -289,9 +290,9 @@ def split_profile(features: DataFrame, split: str = "split", bounds: Bounds = PR
 def split_report(profile: dict[str, DataFrame], split: str = "split") -> DataFrame:
     """One nested row per split from the tables of :func:`split_profile`, for the JSON sink.
 
-    Numbers are rounded as reports show them: two decimals, four for densities.
+    Numbers are rounded as reports show them: two decimals, four for densities, ties to even.
     """
-    two = lambda c: F.round(c, 2).alias(c)
+    two = lambda c: F.bround(c, 2).alias(c)
     stats = profile["statistics"].select(
         split, "variable", F.struct(
             "count", *[two(c) for c in ("mean", "std", "min", "q25", "median", "q75", "max")],
@@ -301,15 +302,15 @@ def split_report(profile: dict[str, DataFrame], split: str = "split") -> DataFra
     bins = profile["histograms"].groupBy(split, "variable").agg(
         F.array_sort(F.collect_list(F.struct("bin", "center", "count", "density"))).alias("_bins")
     ).select(split, "variable", F.struct(
-        F.transform("_bins", lambda b: F.round(b["center"], 2)).alias("bin_centers"),
+        F.transform("_bins", lambda b: F.bround(b["center"], 2)).alias("bin_centers"),
         F.transform("_bins", lambda b: b["count"]).alias("counts"),
-        F.transform("_bins", lambda b: F.round(b["density"], 4)).alias("density"),
+        F.transform("_bins", lambda b: F.bround(b["density"], 4)).alias("density"),
     ).alias("entry"))
     as_map = lambda df, name: df.groupBy(split).agg(
         F.map_from_entries(F.collect_list(F.struct("variable", "entry"))).alias(name)
     )
     bad = ["total_records", "nan_rows", "nan_row_pct", "bad_temp_count", "bad_dew_count", "dew_above_temp_count"]
-    periods = profile["periods"].withColumn("nan_row_pct", F.round("nan_row_pct", 2))
+    periods = profile["periods"].withColumn("nan_row_pct", F.bround("nan_row_pct", 2))
     return (
         periods.select(split, "records_count", "start_date", "end_date", F.struct(*bad).alias("bad_values"))
         .join(as_map(stats, "statistics"), split)

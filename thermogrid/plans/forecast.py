@@ -96,8 +96,7 @@ def consolidated_history(models: Sequence[ForecastModel], spark) -> DataFrame:
 def run_forecast(series: DataFrame, params: JobParams = JobParams(), outputs: str | None = None) -> dict[str, DataFrame]:
     """Whole job on a cleaned hourly series. With ``outputs`` also writes models and reports there.
 
-    The series and the features feed several fits and the scoring, so they are written once to the shared
-    folder.
+    Series, features and predictions have several readers, so each is written once to the shared folder.
     """
     spark = series.sparkSession
     mode = "reset"
@@ -109,7 +108,7 @@ def run_forecast(series: DataFrame, params: JobParams = JobParams(), outputs: st
     profile = split_profile(rows, bounds=params.profile_bounds)
     models = fit_models(series, rows, params, outputs, mode)
     scored = score(models, rows.where(F.col("split") == "test"))
-    predictions = long_predictions(scored, [m.name for m in models])
+    predictions = materialise(long_predictions(scored, [m.name for m in models]))
     scores = evaluate(predictions)
     out = {
         "profile": split_report(profile), "predictions": predictions, "scores": scores,
