@@ -116,8 +116,8 @@ def test_position_equals_row_number_with_a_hot_hour(spark, unit):
     assert (want.groupby("series_id").id.transform("size") == want.n).all()
 
 
-def test_row_exchange_is_shared_by_grid_and_chunk_table(series):
+def test_rows_are_exchanged_once_without_a_join(series):
     out = grid.reindex_and_fill(grid.bucket_mean(series([float(i) for i in range(60)], skip=range(10, 20))), chunk_hours=24)
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert "ReusedExchange" in plan
+    assert "Join" not in plan and "ReusedExchange" in plan and plan.count("REPARTITION_BY_COL") == 1
