@@ -29,7 +29,7 @@ HEADLINES = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = local_session(cores, shuffle_partitions=int(cores) if cores.isdigit() else 8)
     seconds = {}
     for name in HEADLINES:
