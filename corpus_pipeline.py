@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermogrid.llm import bpe, decontam, lang_id, secrets, simhash
+from thermogrid.llm import bpe, decontam, lang_id, secret_scan, simhash
 from thermogrid.llm.queries import table, vocabulary
 from thermogrid.llm.support import Store, fresh
 from thermogrid.session import scratch_path
@@ -40,7 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask secrets in the texts; every document stays."""
-    out = secrets.redact(docs, secrets.train(secrets.labelled_samples(docs)))
+    out = secret_scan.redact(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

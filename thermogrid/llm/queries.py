@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lang_id, secrets, simhash
+from thermogrid.session import scratch_path
+
+from . import bpe, decontam, lang_id, nndescent, passages, ppm, secret_scan, simhash
 from .support import Store
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,24 +23,49 @@ def vocabulary(name: str = VOCABULARY) -> dict:
     return bpe.load(public_tokenizers.path(name))
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ppm.score(docs, lang_id.fold(F.col("doc_id"), 7) == 2, Store(spark)).withColumnRenamed("id", "doc_id")
+
+
+def op2_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nndescent.near_duplicates(vectors, Store(spark))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), Store(spark))
     return out.select(F.col("id").alias("doc_id"), simhash.hex_text("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"), Store(spark))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secrets.report(docs, secrets.train(secrets.labelled_samples(docs)))
+    return secret_scan.report(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = scratch_path(spark)
+    warc.write(pages, path, Store(spark))
+    return warc.page_report(spark, path)
+
+
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), Store(spark)).withColumnRenamed("id", "doc_id")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = lang_id.fold(F.col("doc_id"), 4) == 2
@@ -48,10 +75,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ppm": op1_ppm,
+    "op2_nndescent": op2_nndescent,
     "op3_simhash": op3_simhash,
+    "op4_chat": op4_chat,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
     "op7_bpe": op7_bpe,
+    "op8_warc": op8_warc,
+    "op9_passages": op9_passages,
     "op10_language": op10_language,
 }
 
