@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thermogrid.session import scratch_path
 
-from . import bpe, decontam, lang_id, nndescent, passages, ppm, secret_scan, simhash
+from . import bpe, chat, decontam, lang_id, nndescent, passages, ppm, secret_scan, simhash, warc
 from .support import Store
 
 VOCABULARY = "byte_bpe_50k.json"
