@@ -164,11 +164,12 @@ def _mapped(df: DataFrame, tables: dict, text: str, added: list[tuple[str, T.Dat
     at = df.columns.index(text)
     fields = [f for f in df.schema.fields if not (drop and f.name == text)]
     shared = spark.sparkContext.broadcast(tables)
+    kind_of = df.schema[text].dataType
 
     def run(batches):
         tables = shared.value  # one object per worker process, so that later tasks find what earlier ones remembered
         codec = tables.get("codec") or tables.setdefault("codec", Codec(tables))
-        for batch in pieces(batches, at):
+        for batch in pieces(batches, at) if isinstance(kind_of, T.StringType) else batches:
             rows = [work(codec, t) for t in batch.column(at).to_pylist()]
             kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if not (drop and n == text)]
             made = [pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(added)]

@@ -43,6 +43,7 @@ class SecretParams:
     ordinary_rows: int = 2_000  # rows of which all words count as ordinary
     random_prior: float = 2.0
     ordinary_prior: float = 0.2
+    backoff: float = 5.0
     clip: float = 4.0
 
 
@@ -126,10 +127,15 @@ def train(labelled: DataFrame, params: SecretParams = SecretParams()) -> list[fl
     if not counts[0] or not counts[1]:
         return table
     total = {(label, a): sum(counts[label].get(a + b, 0) for b in letters) for label in (0, 1) for a in letters}
+    size = len(letters)
+    seconds = {b: sum(counts[0].get(a + b, 0) for a in letters) for b in letters}
+    # random strings fall back on equal letters, ordinary ones on how frequent a letter is among them
+    plain = {b: (seconds[b] + params.ordinary_prior) / (sum(seconds.values()) + params.ordinary_prior * size) for b in letters}
     for a in letters:
         for b in letters:
-            logs = [math.log((counts[k].get(a + b, 0) + prior) / (total[k, a] + prior * len(letters))) for k, prior in ((1, params.random_prior), (0, params.ordinary_prior))]
-            table[ord(a) * CODES + ord(b)] = round(max(-params.clip, min(params.clip, logs[0] - logs[1])), 6)
+            drawn = (counts[1].get(a + b, 0) + params.random_prior) / (total[1, a] + params.random_prior * size)
+            said = (counts[0].get(a + b, 0) + params.backoff * plain[b]) / (total[0, a] + params.backoff)
+            table[ord(a) * CODES + ord(b)] = round(max(-params.clip, min(params.clip, math.log(drawn / said))), 6)
     return table
 
 

@@ -136,6 +136,7 @@ def ball(width: int, radius: int) -> np.ndarray:
 
 def plan(sample: np.ndarray, total: int, params: SimHashParams) -> tuple[list[list[int]], list[int]]:
     """Groups and thresholds of least estimated cost for ``total`` fingerprints."""
+    sample = sample if len(sample) else np.zeros(1, np.uint64)
     rng = np.random.default_rng(1)
     pairs = min(200_000, len(sample) ** 2)
     left, right = (sample[rng.integers(0, len(sample), pairs)] for _ in range(2)) if len(sample) else (sample, sample)

@@ -201,7 +201,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, inner = open_fs(self.path)
-        files = sorted((i.path, i.size or 0) for i in fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True)) if i.path.endswith((".warc", ".warc.gz")))
+        files = sorted((i.path, i.size or 0) for i in fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True)) if i.path.endswith((".warc", ".warc.gz")) and not i.base_name.startswith(("_", ".")))
         out, size = [], 0
         for path, n in files:
             if not out or size + n > self.partition_bytes:
