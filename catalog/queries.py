@@ -196,7 +196,7 @@ def csv_encoded(spark, sf):
     path = scratch_path(spark)
     stamped = encoded(spark, sf).withColumn("DATE", F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     stamped.select("event_id", "DATE", "TMP", "DEW").write.option("header", True).csv(path)
-    return readers.read_observations(spark, readers.RawSource(path))
+    return readers.read_observations(spark, readers.RawSource(path, encoding="tenths"))
 
 
 @query
@@ -210,7 +210,7 @@ def folder_load(spark, sf):
     plain = observations(spark, sf).where(late)
     plain.select(stamp, F.col("temp").alias("temperature"), F.col("dew").alias("dew_point_temperature")).write.option(
         "header", True).option("sep", ";").csv(f"{folder}/new")
-    sources = [readers.RawSource("old"), readers.RawSource("new", sep=";"), readers.RawSource("absent")]
+    sources = [readers.RawSource("old", encoding="tenths"), readers.RawSource("new", sep=";", encoding="celsius"), readers.RawSource("absent", encoding="auto")]
     return readers.load_observations(spark, folder, sources, bounds=BOUNDS, chunk_hours=CHUNK_HOURS)
 
 
@@ -606,7 +606,7 @@ def restartable_fit(spark, sf):
 @query
 def boosted_trees(spark, sf):
     train, val, test = _split_rows(spark, sf)
-    return _scored(BoostedTrees(horizons=(1, 24), max_iter=5, max_depth=3).fit(train, val), test)
+    return _scored(BoostedTrees(max_iter=2, max_depth=3).fit(train, val), test)
 
 
 @query
@@ -617,7 +617,7 @@ def last_step_linear(spark, sf):
         windows = sliding.sliding_windows(
             rows.where(F.col("split") == part), WINDOW, ["temp", "dew"], ["temp"], ["event_id"]
         )
-        flat[part], x, y = last_step_rows(windows, ["temp", "dew"], "temp")
+        flat[part], x, y = last_step_rows(windows, ["temp", "dew"], "temp", WINDOW.label_width)
     model = LastStepLinear(x, y).fit(flat["train"], flat["val"])
     return spark.createDataFrame(model.history).withColumn("model", F.lit(model.name))
 

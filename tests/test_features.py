@@ -27,22 +27,22 @@ def test_column_set():
     assert len(feature_names()) == 73 and len(target_names()) == 24
 
 
-def twin(frame):
-    """The same features in pandas."""
-    out = {}
-    frame = frame.assign(dew_depression=frame.temp - frame.dew)
-    for c in ("temp", "dew", "dew_depression"):
-        for k in LAGS:
-            out[f"{c}_lag{k}"] = frame[c].shift(k)
-    for w in ROLLING_WIDTHS:
-        past = frame.temp.shift(1).rolling(w, min_periods=max(1, w // 2))
-        for s in ("mean", "min", "max", "std"):
-            out[f"temp_roll_{s}_{w}h"] = getattr(past, s)()
-        out[f"temp_roll_range_{w}h"] = past.max() - past.min()
-        out[f"dew_roll_mean_{w}h"] = frame.dew.shift(1).rolling(w, min_periods=max(1, w // 2)).mean()
-    for h in range(1, 25):
-        out[f"target_h{h}"] = frame.temp.shift(-h)
-    return pd.DataFrame(out)
+def by_hand(temp, dew, i):
+    """The features and targets of hour ``i``, from slices of the raw lists."""
+    at = lambda values, k: values[k] if 0 <= k < len(values) else None
+    present = lambda values, width: [v for v in values[max(0, i - width):i] if v is not None]
+    spread = [None if t is None or d is None else t - d for t, d in zip(temp, dew)]
+    out = {f"{name}_lag{k}": at(values, i - k) for name, values in (("temp", temp), ("dew", dew), ("dew_depression", spread)) for k in LAGS}
+    for width in ROLLING_WIDTHS:
+        t, d = present(temp, width), present(dew, width)
+        enough = len(t) >= max(1, width // 2)
+        mean = sum(t) / len(t) if enough else None
+        out[f"temp_roll_mean_{width}h"] = mean
+        out[f"temp_roll_min_{width}h"], out[f"temp_roll_max_{width}h"] = (min(t), max(t)) if enough else (None, None)
+        out[f"temp_roll_range_{width}h"] = max(t) - min(t) if enough else None
+        out[f"temp_roll_std_{width}h"] = math.sqrt(sum((v - mean) ** 2 for v in t) / (len(t) - 1)) if enough and len(t) > 1 else None
+        out[f"dew_roll_mean_{width}h"] = sum(d) / len(d) if len(d) >= max(1, width // 2) else None
+    return out | {f"target_h{h}": at(temp, i + h) for h in range(1, 25)}
 
 
 @pytest.mark.parametrize("chunk_hours", [168, 200, 2048])
@@ -54,7 +54,7 @@ def test_features_equal_pandas_with_gaps(spark, chunk_hours):
         temp[500:560] = [7.0] * 60
         dew = [None if rng.random() < 0.2 else rng.uniform(-9, 5) for _ in temp]
         rows += [(key, ts, t, d) for ts, t, d in zip(hours(700), temp, dew)]
-        want.append(twin(pd.DataFrame({"temp": temp, "dew": dew}, dtype=float)))
+        want.append(pd.DataFrame([by_hand(temp, dew, i) for i in range(700)], dtype=float))
     got = features.feature_matrix(spark.createDataFrame(rows, SERIES), chunk_hours=chunk_hours, complete_only=False)
     got = got.toPandas().sort_values(["series_id", "ts"]).reset_index(drop=True)
     want = pd.concat(want).reset_index(drop=True)

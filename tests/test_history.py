@@ -1,4 +1,8 @@
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -9,6 +13,9 @@ N = None
 SCHEMA = "run_id string, step int, val_mae double, val_loss double, train_loss double"
 
 
+ROOT = Path(__file__).resolve().parents[1]
+
+
 def runs(spark, metrics, train=None):
     rows = [
         (k, i, v, v, (train or {}).get(k, [1.0] * len(values))[i - 1])
@@ -83,7 +90,12 @@ def test_cyclic():
     assert second[5][0] == 0.5
 
 
+def test_missing_metric_is_a_step_without_gain():
+    assert walk(RatePolicy(initial_lr=0.1, patience=2), [5.0, None, None, 4.0])[2:] == [(0.05, "plateau"), (0.05, N)]
+
+
 @pytest.mark.parametrize("policy", [
+    RatePolicy(patience=3, min_lr=0.05, initial_lr=0.1, restart_patience=4, min_delta=0.3), RatePolicy(policy="step_plateau", patience=2, factor=0.3, initial_lr=0.1, restart_patience=0),
     RatePolicy(patience=1, cooldown=1, min_lr=0.01, initial_lr=0.1, restart_patience=2), RatePolicy(policy="cyclic", initial_lr=0.1),
     RatePolicy(policy="cyclic", cyclic_mode="exp_range", initial_lr=0.1, max_lr=0.3), RatePolicy(enabled=False),
 ])
@@ -102,3 +114,17 @@ def test_replay_equals_stepping(spark, policy):
 def test_best_over_runs(spark):
     df = spark.createDataFrame([("a", 0.0), ("b", 0.7), ("c", 0.4), ("d", N)], "model string, best_val_mae double")
     assert tuple(history.best_over_runs(df).first()) == (4, 0.4, "c")
+
+
+def test_replay_needs_no_installed_package(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from thermogrid.session import local_session
+from thermogrid.operators.rate_policy import RatePolicy, replay
+spark = local_session(1, shuffle_partitions=1)
+df = spark.createDataFrame([("a", i, 1.0) for i in range(4)], "run_id string, step long, val_loss double")
+print("LR", [r.lr for r in replay(df, RatePolicy(initial_lr=0.1, patience=1)).orderBy("step").collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "LR [0.1, 0.05, 0.025, 0.0125]" in out.stdout, out.stderr[-800:]

@@ -10,8 +10,8 @@ from thermogrid.models.baselines import Climatology, Persistence
 from thermogrid.models.linear import GradientRidge, Ridge
 from thermogrid.models.moments import absolute_errors, cross_products
 from thermogrid.models.restartable import LastStepLinear, RestartableLinear, last_step_rows
-from thermogrid.models.trees import BoostedTrees
 from thermogrid.operators import evaluate, features, sliding, split
+from thermogrid.models.trees import BoostedTrees, stage_sizes
 from thermogrid.operators.rate_policy import RatePolicy
 from thermogrid.schema import SUMMARY_TARGETS, SplitDates, feature_names, target_names
 from thermogrid.session import materialise
@@ -144,7 +144,7 @@ def test_last_step_model_learns_and_stops(series):
     flat = {}
     for name in ("train", "val"):
         windows = sliding.sliding_windows(part(scaled, name), shape, ["temp", "dew"], ["temp"], ["temp"])
-        flat[name], x, y = last_step_rows(windows, ["temp", "dew"], "temp")
+        flat[name], x, y = last_step_rows(windows, ["temp", "dew"], "temp", shape.label_width)
     assert (x, y) == (["x_temp", "x_dew"], ["y_1", "y_2", "y_3"])
     model = LastStepLinear(x, y, epochs=30, learning_rate=0.01).fit(flat["train"], flat["val"])
     losses = [h["val_loss"] for h in model.history]
@@ -168,3 +168,22 @@ def test_trees_learn_save_and_load(rows, tmp_path):
     again = BoostedTrees.load(str(tmp_path / "trees"))
     pick = lambda m: m.predict(test).orderBy("series_id", "ts").select("pred_trees.yhat").first()[0]
     assert pick(again) == pick(model) and len(pick(model)) == 24
+
+
+def test_stages_hold_exactly_the_trees_asked_for():
+    for trees in (1, 4, 5, 9, 13, 25, 40, 43):
+        sizes = stage_sizes(trees)
+        assert sum(sizes) == trees and len(sizes) <= 5
+
+
+def test_rate_counts_for_the_first_tree_of_later_stages(series):
+    temp, dew = wavy(500)
+    rows = split.time_split(features.feature_matrix(series(temp, dew)), SplitDates("2024-01-12", "2024-01-16"))
+    train, val = (rows.where(F.col("split") == s) for s in ("train", "val"))
+    mae = {}
+    for rate in (0.1, 1.0):
+        policy = RatePolicy(initial_lr=rate, patience=99, min_lr=1e-6)
+        model = BoostedTrees(horizons=(1,), max_iter=10, max_depth=2, learning_rate=rate, policy=policy, features=["temp_lag1", "temp_lag24"]).fit(train, val)
+        assert [h["trees_fitted"] for h in model.history] == [5, 10] and model.rates == [rate, rate]
+        mae[rate] = [h["val_mae"] for h in model.history]
+    assert mae[0.1][1] != pytest.approx(mae[1.0][1], rel=1e-6)

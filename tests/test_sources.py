@@ -24,13 +24,13 @@ def folder(tmp_path):
     return tmp_path
 
 
-SOURCES = [RawSource("old.csv"), RawSource("new.csv", sep=";"), RawSource("absent.csv", sep=";")]
+SOURCES = [RawSource("old.csv", encoding="auto"), RawSource("new.csv", sep=";", encoding="auto"), RawSource("absent.csv", sep=";", encoding="auto")]
 
 
 def test_raw_files_are_decoded_by_content(spark, folder):
-    old = readers.read_observations(spark, RawSource(str(folder / "old.csv")))
+    old = readers.read_observations(spark, RawSource(str(folder / "old.csv"), encoding="tenths"))
     assert column(old, "temp") == [10.0, 12.0, 14.0] and column(old, "dew") == [5.0, N, 6.0]
-    new = readers.read_observations(spark, RawSource(str(folder / "new.csv"), sep=";"))
+    new = readers.read_observations(spark, RawSource(str(folder / "new.csv"), sep=";", encoding="auto"))
     assert column(new, "temp") == [20.0, N, 16.0]
     plan = old._jdf.queryExecution().executedPlan().toString()
     assert "STATION" not in plan.split("ReadSchema")[1]
@@ -41,7 +41,7 @@ def test_missing_columns_are_errors(spark, tmp_path):
     (tmp_path / "y.csv").write_text("DATE,DEW\n1,2\n")
     for name in ("x", "y"):
         with pytest.raises(ValueError):
-            readers.read_observations(spark, RawSource(str(tmp_path / f"{name}.csv")))
+            readers.read_observations(spark, RawSource(str(tmp_path / f"{name}.csv"), encoding="auto"))
 
 
 def test_folder_is_merged_then_preferred_when_cleaned(spark, folder):
@@ -81,6 +81,23 @@ def test_station_files(spark, tmp_path):
     assert readers.read_station_files(spark, f"{tmp_path}/*.txt").count() == 0
 
 
+def test_station_columns_go_by_their_names(spark, tmp_path):
+    names = list(readers.STATION_COLUMNS)
+    line = dict(zip(names, ["2024-01-01 00:00:00", "0.5", "10.5", "50", "1000", "90", "3"]))
+    orders = {"weather_1": names, "weather_2": names[::-1], "weather_3": [n for n in names if n != "Humedad (%)"]}
+    for name, order in orders.items():
+        (tmp_path / f"{name}.csv").write_text(",".join(order) + "\n" + ",".join(line[c] for c in order) + "\n", encoding="latin-1")
+    with (tmp_path / "weather_1.csv").open("a", encoding="latin-1") as f:
+        f.write(",".join(["x"] * 9) + "\nshort,1\n")
+    raw = readers.read_station_files(spark, f"{tmp_path}/*.csv")
+    rows = {r[KEY]: r for r in readers.clean_stations(raw).collect()}
+    assert all(rows[f"station_{i}"].temperature_celsius == 10.5 and rows[f"station_{i}"].precipitation_mm == 0.5 for i in (1, 2, 3))
+    assert rows["station_3"].humidity_percent is None and rows["station_2"].humidity_percent == 50
+    assert {raw.count(), len(raw.select("station_id").collect()), len(raw.select(*names[:2]).collect()), len(raw.collect())} == {3}
+    audit = {r.station_id: (r.n_lines, r.n_bad) for r in readers.audit_station_files(spark, f"{tmp_path}/*.csv").collect()}
+    assert audit == {"station_1": (3, 2), "station_2": (1, 0), "station_3": (1, 0)}
+
+
 def test_station_preparation_and_window_model(spark, tmp_path):
     rows = [f"{t:%Y-%m-%d %H:%M:%S},{i % 3},{10 + i % 24},{40 + i % 7},{1000 + i % 5},{(i * 37) % 360},{i % 4}" for i, t in enumerate(hours(200))]
     station_file(tmp_path / "weather_1.csv", rows)

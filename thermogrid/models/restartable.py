@@ -180,10 +180,9 @@ class LastStepLinear(LinearBase):
         return self
 
 
-def last_step_rows(windows: DataFrame, features: list[str], label: str) -> tuple[DataFrame, list[str], list[str]]:
-    """Flat training rows from sliding windows: the last input step and one column per label step."""
-    width = F.size("labels")
-    x_names, steps = [f"x_{c}" for c in features], windows.select(F.max(width)).first()[0] or 0
+def last_step_rows(windows: DataFrame, features: list[str], label: str, steps: int) -> tuple[DataFrame, list[str], list[str]]:
+    """Flat training rows from sliding windows: the last input step and one column for each of the ``steps`` label steps."""
+    x_names = [f"x_{c}" for c in features]
     y_names = [f"y_{i}" for i in range(1, steps + 1)]
     last = F.element_at("inputs", -1)
     flat = windows.select(

@@ -21,6 +21,13 @@ from ..session import materialise
 from .base import prediction, with_prediction
 
 
+def stage_sizes(trees: int, stages: int = 5, least: int = 5) -> list[int]:
+    """Trees of each stage: about equal, at least ``least``, the last one taking what is left; exactly ``trees`` in all."""
+    size = max(least, trees // stages)
+    full = max(1, trees // size)
+    return [size] * (full - 1) + [trees - size * (full - 1)]
+
+
 class BoostedTrees:
     """``horizons`` are the hours fitted; hours between them are read off the straight line.
 
@@ -40,6 +47,7 @@ class BoostedTrees:
         self.features = list(features or feature_names())
         self.targets = [f"target_h{h}" for h in horizons] + list(SUMMARY_TARGETS)
         self.stages: dict[str, list[GBTRegressionModel]] = {t: [] for t in self.targets}
+        self.rates: list[float] = []
         self.history: list[dict] = []
         self.rate_events: list[dict] = []
 
@@ -51,19 +59,20 @@ class BoostedTrees:
         data = materialise(self._assemble(train, *self.targets))
         held_out = None if val is None else materialise(self._assemble(val, *self.targets))
         staged = held_out is not None and self.policy.enabled
-        size = max(5, self.max_iter // 5) if staged else self.max_iter
-        sizes = [size] * max(1, self.max_iter // size)
-        state = start(self.policy)
+        sizes = stage_sizes(self.max_iter) if staged else [self.max_iter]
+        state, done = start(self.policy), 0
         for number, trees in enumerate(sizes, 1):
             with ThreadPoolExecutor(self.parallel) as pool:
                 grown = list(pool.map(lambda t: self._grow(data, t, trees, state.lr), self.targets))
             for target, model in zip(self.targets, grown):
                 self.stages[target].append(model)
+            self.rates.append(state.lr)
+            done += trees
             if not staged:
                 break
             error, used = self._hourly_mae(held_out), state.lr
             state = advance(self.policy, state, error, number)
-            self.history.append({"stage": number, "trees_fitted": number * size, "val_mae": error, "learning_rate": used})
+            self.history.append({"stage": number, "trees_fitted": done, "val_mae": error, "learning_rate": used})
             if state.event:
                 self.rate_events.append({"step": number, "old_lr": used, "new_lr": state.lr, "policy": state.event})
         return self
@@ -71,11 +80,15 @@ class BoostedTrees:
     def _sum_of_stages(self, rows: DataFrame, target: str) -> DataFrame:
         """Add ``_hat_<target>``: the sum of the target's stage predictions."""
         total = F.lit(0.0)
+        added = []
         for i, model in enumerate(self.stages[target]):
             name = f"_p{i}_{target}"
             rows = model.setPredictionCol(name).transform(rows)
-            total = total + F.col(name)
-        return rows.withColumn(f"_hat_{target}", total).drop(*[f"_p{i}_{target}" for i in range(len(self.stages[target]))])
+            total, added = total + F.col(name), [*added, name]
+            if i:  # the library gives an ensemble's first tree full weight; in later stages it counts at the stage's rate too
+                rows = model.trees[0].setPredictionCol(f"{name}_first").transform(rows)
+                total, added = total - F.col(f"{name}_first") * (1.0 - self.rates[i]), [*added, f"{name}_first"]
+        return rows.withColumn(f"_hat_{target}", total).drop(*added)
 
     def _grow(self, data: DataFrame, target: str, trees: int, lr: float) -> GBTRegressionModel:
         left = self._sum_of_stages(data.select("features", target), target).select(
@@ -116,7 +129,7 @@ class BoostedTrees:
         for target, models in self.stages.items():
             for i, model in enumerate(models):
                 model.write().overwrite().save(f"{path}/{target}/{i}")
-        config = {"horizons": list(self.horizons), "features": self.features, "stages": len(next(iter(self.stages.values())))}
+        config = {"horizons": list(self.horizons), "features": self.features, "rates": self.rates}
         spark.createDataFrame([(json.dumps(config),)], "config string").coalesce(1).write.mode("overwrite").json(f"{path}/config")
 
     @classmethod
@@ -125,5 +138,6 @@ class BoostedTrees:
         config = json.loads(spark.read.schema("config string").json(f"{path}/config").first()[0])
         model = cls(horizons=tuple(config["horizons"]), features=config["features"])
         for target in model.targets:
-            model.stages[target] = [GBTRegressionModel.load(f"{path}/{target}/{i}") for i in range(config["stages"])]
+            model.stages[target] = [GBTRegressionModel.load(f"{path}/{target}/{i}") for i in range(len(config["rates"]))]
+        model.rates = config["rates"]
         return model

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from ..operators.features import feature_matrix
 from ..operators.profile import split_profile, split_report
 from ..operators.rate_policy import RatePolicy
 from ..operators.split import time_split
-from ..schema import CHUNK_HOURS, PROFILE_BOUNDS, TS, Bounds, SplitDates
+from ..schema import CHUNK_HOURS, HORIZON, PROFILE_BOUNDS, TS, Bounds, SplitDates
 from ..session import materialise
 from ..sources.paths import exists
 from ..sources.writers import choose_mode, prepare_outputs, write_json
@@ -39,16 +39,21 @@ class JobParams:
     epochs_per_iter: int = 5
     max_iters: int = 3
     target_mae: float = 1.0
-    tree_horizons: tuple[int, ...] = (1, 6, 12, 18, 24)
+    learning_rate: float | None = None  # None: each model's own
+    tree_horizons: tuple[int, ...] = tuple(range(1, HORIZON + 1))
     tree_iterations: int = 40
     sample_size: int = 200
 
+    def rated_policy(self) -> RatePolicy:
+        return self.policy if self.learning_rate is None else replace(self.policy, initial_lr=self.learning_rate)
+
 
 def fit_models(series: DataFrame, rows: DataFrame, params: JobParams, outputs: str | None, mode: str) -> list[ForecastModel]:
     """Fit (or, on resume, load) the chosen models. ``rows`` are feature rows with a ``split`` column."""
     spark = rows.sparkSession
     train, val = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val")
     before_test = series.where(F.col(TS) < F.lit(params.dates.test_start).cast("timestamp"))
+    rate = {} if params.learning_rate is None else {"learning_rate": params.learning_rate}
     fitted: list[ForecastModel] = []
     for name in params.models:
         path = f"{outputs}/{STATE[name]}" if outputs and name in STATE else None
@@ -59,19 +64,19 @@ def fit_models(series: DataFrame, rows: DataFrame, params: JobParams, outputs: s
         elif name == "linear":
             model = RestartableLinear(
                 policy=params.policy, epochs_per_iter=params.epochs_per_iter, max_iters=params.max_iters,
-                target_mae=params.target_mae,
+                target_mae=params.target_mae, **rate,
             )
             fitted.append(model.fit(train, val, run_path=path, reset=mode == "reset"))
         elif name == "trees":
             if path and mode == "resume" and exists(spark, path):
                 fitted.append(BoostedTrees.load(path))
                 continue
-            model = BoostedTrees(params.tree_horizons, params.tree_iterations).fit(train, val)
+            model = BoostedTrees(params.tree_horizons, params.tree_iterations, policy=params.policy, **rate).fit(train, val)
             if path:
                 model.save(path)
             fitted.append(model)
         elif name in ("ridge", "ridge_gradient"):
-            model: LinearBase = Ridge(params.alpha) if name == "ridge" else GradientRidge(params.alpha)
+            model: LinearBase = Ridge(params.alpha) if name == "ridge" else GradientRidge(params.alpha, policy=params.rated_policy())
             model.fit(train, val)
             if path:
                 model.save(spark, path)
@@ -89,7 +94,7 @@ def consolidated_history(models: Sequence[ForecastModel], spark) -> DataFrame:
             rows += [(model.name, e[1], e[5], e[6]) for e in model.epochs]
         else:
             for i, h in enumerate(getattr(model, "history", []), 1):
-                rows.append((model.name, h.get("epoch", h.get("stage", i)), h["val_mae"], h["learning_rate"]))
+                rows.append((model.name, h.get("epoch", h.get("stage", i)), h.get("val_mae"), h.get("learning_rate")))
     return spark.createDataFrame(rows, "run_id string, step int, val_mae double, lr double")
 
 

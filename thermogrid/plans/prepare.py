@@ -67,5 +67,5 @@ def train_last_step(
     flat = {}
     for name in ("train", "val"):
         windows = sliding_windows(parts[name], shape, features, [label], list(features))
-        flat[name], x_names, y_names = last_step_rows(windows, list(features), label)
+        flat[name], x_names, y_names = last_step_rows(windows, list(features), label, shape.label_width)
     return LastStepLinear(x_names, y_names, epochs, patience).fit(flat["train"], flat["val"])

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,13 +67,13 @@ HISTORY_SCHEMA = T.StructType([
 class RawSource:
     """One raw file or folder of files of one kind.
 
-    ``encoding``: ``tenths`` for ``value,flag`` text, ``celsius`` for plain degrees, ``auto`` to decide per
-    column: text if any cell is more than a bare number.
+    ``encoding``, which has no default: ``tenths`` for ``value,flag`` text, ``celsius`` for plain degrees, ``auto`` to decide per
+    column: text if any cell is more than a bare number. ``auto`` reads the file once more, for both columns together.
     """
 
     path: str
     sep: str = ","
-    encoding: str = "auto"
+    encoding: str = field(kw_only=True)
     series_id: str = "all"
 
 
@@ -88,10 +89,21 @@ def read_text_csv(spark: SparkSession, path: str, sep: str = ",", charset: str =
     return spark.read.option("header", True).option("sep", sep).option("encoding", charset).csv(path)
 
 
-def _decode(df: DataFrame, column: str, encoding: str):
-    if encoding == "auto":
-        odd = df.where(F.col(column).isNotNull() & ~is_plain_number(F.col(column))).limit(1).count()
-        encoding = "tenths" if odd else "celsius"
+STATION_CHARSET = "ISO-8859-1"
+ENCODINGS = ("tenths", "celsius", "auto")
+
+
+def _encodings(df: DataFrame, columns: Sequence[str], encoding: str) -> list[str]:
+    """The encoding of each column, by one aggregate over all of them where it isn't given."""
+    if encoding not in ENCODINGS:
+        raise ValueError(f"encoding must be one of {', '.join(ENCODINGS)}")
+    if encoding != "auto":
+        return [encoding] * len(columns)
+    odd = df.agg(*[F.max(F.col(c).isNotNull() & ~is_plain_number(F.col(c))).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return ["tenths" if x else "celsius" for x in odd]
+
+
+def _decode(column: str, encoding: str):
     return parse_encoded(F.col(column)) if encoding == "tenths" else parse_celsius(F.col(column))
 
 
@@ -103,9 +115,10 @@ def read_observations(spark: SparkSession, source: RawSource, formats: Sequence[
     temp = first_present(raw.columns, TEMP_COLUMNS, "temperature")
     dew = first_present(raw.columns, DEW_COLUMNS, "dew point")
     kept = raw.select(time, temp, dew)
+    of_temp, of_dew = _encodings(kept, (temp, dew), source.encoding)
     return kept.select(
         F.lit(source.series_id).alias(KEY), parse_timestamp(F.col(time), formats).alias(TS),
-        _decode(kept, temp, source.encoding).alias("temp"), _decode(kept, dew, source.encoding).alias("dew"),
+        _decode(temp, of_temp).alias("temp"), _decode(dew, of_dew).alias("dew"),
     ).dropna(subset=[TS])
 
 
@@ -140,7 +153,7 @@ def load_observations(
             if exists(spark, name):
                 return clean_series(read_cleaned(spark, name), bounds, limit, chunk_hours)
     frames = [
-        read_observations(spark, RawSource(f"{folder}/{s.path}", s.sep, s.encoding, s.series_id))
+        read_observations(spark, replace(s, path=f"{folder}/{s.path}"))
         for s in sources if exists(spark, f"{folder}/{s.path}")
     ]
     if not frames:
@@ -148,21 +161,47 @@ def load_observations(
     return combine_sources(frames, bounds, limit, chunk_hours)
 
 
-def read_station_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """Many station CSVs in one read; the station is named by its file (``weather_1`` is ``station_1``).
+def _station_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """All lines of the station files, each by the header of its own file, with ``bad_line`` set where the cells don't fit it.
 
-    Columns are matched by position against the fixed header. Broken files are skipped, broken lines
-    dropped; with no file at all the result is empty.
+    Files are grouped by header line; a group is one read, by name, and columns that a group lacks are missing. Only first
+    lines are read to form the groups. Lines are parsed whole whatever columns are asked for, so every projection
+    has the same rows.
     """
     use_utc(spark)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in STATION_COLUMNS])
-    if not matching(spark, pattern):
-        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("station_id", T.StringType())]))
-    read = (
-        spark.read.schema(schema).option("header", True).option("encoding", "ISO-8859-1")
-        .option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", True).csv(pattern)
-    )
-    return read.withColumn("station_id", station_of(F.col("_metadata.file_name")))
+    text = T.StringType()
+    wanted = [*STATION_COLUMNS, "station_id", "bad_line"]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    paths = matching(spark, pattern)
+    with ThreadPoolExecutor(8) as pool:
+        for path, names in zip(paths, pool.map(lambda p: tuple(read_text_csv(spark, p, charset=STATION_CHARSET).columns), paths)):
+            groups.setdefault(names, []).append(path)
+    out = spark.createDataFrame([], T.StructType([T.StructField(c, text) for c in wanted]))
+    for names, files in groups.items():
+        schema = T.StructType([T.StructField(n, text) for n in (*names, "bad_line")])
+        lines = (
+            spark.read.schema(schema).option("header", True).option("encoding", STATION_CHARSET).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "bad_line").option("columnPruning", False).csv(files)
+        )
+        kept = [F.col(f"`{c}`") for c in STATION_COLUMNS if c in names]
+        # always true: the reader wants a cell to be asked for beside the line itself
+        bad = F.when(F.coalesce(F.length(F.col(f"`{names[0]}`")), F.lit(0)) >= 0, F.col("bad_line")).alias("bad_line") if names else F.lit(None).cast(text).alias("bad_line")
+        out = out.unionByName(lines.select(*kept, station_of(F.col("_metadata.file_name")).alias("station_id"), bad), allowMissingColumns=True)
+    return out
+
+
+def read_station_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """Many station CSVs, their columns by name; the station is named by its file (``weather_1`` is ``station_1``).
+
+    Lines whose cells don't fit the header are left out, and counted by :func:`audit_station_files`; a file that
+    can't be read is an error. With no file at all the result is empty.
+    """
+    return _station_lines(spark, pattern).where("bad_line is null").drop("bad_line")
+
+
+def audit_station_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(station_id, n_lines, n_bad)`` of the files that have lines."""
+    return _station_lines(spark, pattern).groupBy("station_id").agg(F.count("*").alias("n_lines"), F.count("bad_line").alias("n_bad"))
 
 
 def station_of(file_name):
