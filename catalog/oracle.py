@@ -535,6 +535,8 @@ JOIN (SELECT DISTINCT series_id, ts FROM days ORDER BY ts DESC, series_id LIMIT
 SQL["metrics_report"] = chain(*SCORES) + f"""SELECT model AS model_name, {r('round(mae, 4)', 'mae')}, {r('round(acc_2, 2)', 'acc_2')},
   {r('round(directional_f1, 2)', 'directional_f1')}, {r('round(tmax_rmse, 4)', 'tmax_rmse')}, {r('round(tavg_r2, 4)', 'tavg_r2')} FROM scores"""
 
+SQL["report_files"] = SQL["metrics_report"]
+
 # --- training histories ---------------------------------------------------------------------------------
 
 RUNS = """runs AS (SELECT CAST(user_id AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
@@ -594,3 +596,9 @@ FROM (SELECT run_id, step, floor(1 + CAST(step AS DOUBLE) / 10) AS cycle FROM ru
 SQL["policy_triangular"] = cyclic_sql("")
 SQL["policy_triangular2"] = cyclic_sql("/ pow(2, cycle - 1)")
 SQL["policy_exp_range"] = cyclic_sql("* pow(CAST(0.99 AS DOUBLE), step)")
+
+STATIONS = f"""SELECT 'station_' || (event_id % 3 + 1) AS series_id, date_trunc('second', CAST(ts AS TIMESTAMP)) AS ts,
+  {r('0.5', 'precipitation_mm')}, {r('value', 'temperature_celsius')}, {r('CASE WHEN event_id % 3 <> 2 THEN event_id % 100 END', 'humidity_percent')},
+  {r('1000', 'pressure_hpa')}, {r('3', 'wind_speed_ms')} FROM events"""
+SQL["station_files"] = f"SELECT * EXCLUDE (wind_speed_ms) FROM ({STATIONS})"
+SQL["station_subset"] = f"SELECT series_id, ts, temperature_celsius, wind_speed_ms FROM ({STATIONS}) WHERE series_id <> 'station_2'"

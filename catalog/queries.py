@@ -17,9 +17,11 @@ from thermogrid.models.linear import GradientRidge, Ridge
 from thermogrid.models.restartable import LastStepLinear, RestartableLinear, last_step_rows
 from thermogrid.models.trees import BoostedTrees
 from thermogrid.operators import chunks, clean, evaluate, features, grid, hist2d, history, profile, rate_policy, sliding, split
+from thermogrid.plans.prepare import station_subset as station_subset_of
 from thermogrid.schema import HORIZON, KEY, SUMMARY_TARGETS, TS, feature_names, target_names
 from thermogrid.session import materialise, scratch_path
 from thermogrid.sources import readers, writers
+from thermogrid.sources.paths import matching, rename
 
 from .inputs import (
     BOUNDS, CHUNK_HOURS, DATES, clean_grid, decoded, encoded, feature_rows, observations, table, tidy,
@@ -199,6 +201,33 @@ def csv_encoded(spark, sf):
     return readers.read_observations(spark, readers.RawSource(path, encoding="tenths"))
 
 
+STATION_ORDERS = (1, -1, 0)  # header as fixed, reversed, and without one column
+
+
+def _station_files(spark, sf):
+    """Three station files of the events, with columns in different orders, one file without humidity."""
+    folder, names = scratch_path(spark), list(readers.STATION_COLUMNS)
+    cells = [F.date_format(TS, "yyyy-MM-dd HH:mm:ss"), F.lit("0.5"), F.col("temp"), F.col("event_id") % 100, F.lit("1000"), F.lit("90"), F.lit("3")]
+    rows = observations(spark, sf).select("event_id", *[c.cast("string").alias(n) for n, c in zip(names, cells)])
+    for k, order in enumerate(STATION_ORDERS):
+        kept = names[::order] if order else [n for n in names if n != "Humedad (%)"]
+        part = f"{folder}/part{k}"
+        rows.where(F.col("event_id") % 3 == k).select(*[F.col(f"`{n}`") for n in kept]).coalesce(1).write.option("header", True).option(
+            "encoding", readers.STATION_CHARSET).csv(part)
+        rename(spark, matching(spark, f"{part}/part-*")[0], f"{folder}/weather_{k + 1}.csv")
+    return readers.clean_stations(readers.read_station_files(spark, f"{folder}/*.csv"))
+
+
+@query
+def station_files(spark, sf):
+    return _station_files(spark, sf).select("series_id", TS, "precipitation_mm", "temperature_celsius", "humidity_percent", "pressure_hpa")
+
+
+@query
+def station_subset(spark, sf):
+    return station_subset_of(_station_files(spark, sf), ("station_1", "station_3")).select("series_id", TS, "temperature_celsius", "wind_speed_ms")
+
+
 @query
 def folder_load(spark, sf):
     """A folder with an encoded and a semicolon file of plain degrees that overlap, cleaned and merged."""
@@ -573,6 +602,17 @@ def metrics_report(spark, sf):
     )
 
 
+@query
+def report_files(spark, sf):
+    """The metrics report, written as JSON and read back."""
+    report, path = evaluate.metrics_report(evaluate.evaluate(_baselines(spark, sf))), scratch_path(spark)
+    writers.write_json(report, path)
+    return spark.read.schema(report.schema).json(path).select(
+        "model_name", F.col("hourly_24h.mae").alias("mae"), F.col("hourly_24h")["acc_2.0C"].alias("acc_2"),
+        F.col("hourly_24h.directional_f1").alias("directional_f1"), F.col("tmax.rmse").alias("tmax_rmse"), F.col("tavg.r2").alias("tavg_r2"),
+    )
+
+
 # --- fitted models: no SQL counterpart, checked in tests -------------------------------------------------
 
 

@@ -49,11 +49,14 @@ def hour_of_year_histogram(df: DataFrame, ts: str, x: str, y: str, output: str |
     return cells
 
 
+def station_subset(cleaned: DataFrame, stations: Sequence[str] | None) -> DataFrame:
+    """Rows of the given stations, or of all."""
+    return cleaned.where(F.col(KEY).isin(*stations)) if stations else cleaned
+
+
 def prepare_stations(spark: SparkSession, pattern: str, output: str, stations: Sequence[str] | None = None) -> None:
     """Station files to standardised train / val / test rows, split by position within each station."""
-    cleaned = clean_stations(read_station_files(spark, pattern))
-    if stations:
-        cleaned = cleaned.where(F.col(KEY).isin(*stations))
+    cleaned = station_subset(clean_stations(read_station_files(spark, pattern)), stations)
     usable = cleaned.dropna(subset=[TS])
     write_splits(split_and_standardize(usable, WINDOW_FEATURES, list(WINDOW_FEATURES)), output)
 

@@ -23,3 +23,9 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     fs, where = _file_system(spark, path)
     fs.delete(where, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, where = _file_system(spark, path)
+    if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"can't rename {path} to {to}")
