@@ -404,6 +404,12 @@ COLUMNS = {
     "orders": {"o_orderkey": "n", "o_custkey": "n", "o_orderstatus": "t", "o_totalprice": "n", "o_orderdate": "d", "o_orderpriority": "t"},
     "lineitem": {**{c: "n" for c in _NUMERIC}, "l_returnflag": "t", "l_linestatus": "t", "l_shipdate": "d"},
     "events": {"event_id": "n", "ts": "d", "user_id": "n", "event_type": "t", "value": "n", "props": "t"},
+    "documents": {"doc_id": "n", "text": "t", "lang": "t", "source": "t", "n_chars": "n"},
+    "embeddings": {"vec_id": "n", "embedding": "a", "label": "n"},
+    "pages": {"page_id": "n", "url": "t", "html": "t"},
+    "benchmark": {"item_id": "n", "text": "t"},
+    "labels": {"doc_id": "n", "quality": "n", "toxic": "n"},
+    "conversations": {"conv_id": "n", "turn": "n", "role": "t", "text": "t"},
 }
 
 
@@ -411,12 +417,12 @@ def doc_sql(source, column, kind):
     none = lambda t: f"CAST(NULL AS {t})"
     number = [f"CAST({f}({column}) AS DOUBLE)" if kind == "n" else none("DOUBLE") for f in ("min", "max")]
     date = [f"strftime({f}({column}), '%Y-%m-%d')" if kind == "d" else none("VARCHAR") for f in ("min", "max")]
-    distinct = f"count(DISTINCT {column})" if kind == "t" else none("BIGINT")
+    distinct = f"count(DISTINCT {column})" if kind in "ta" else none("BIGINT")
     listed = (
         f"CASE WHEN count(DISTINCT {column}) <= 10 THEN array_to_string(list_sort(list(DISTINCT {column})), ', ') END"
         if kind == "t" else none("VARCHAR")
     )
-    name = {"n": "numeric", "d": "date", "t": "text"}[kind]
+    name = {"n": "numeric", "d": "date", "t": "text", "a": "text"}[kind]
     return f"""SELECT '{source}' AS source, '{column}' AS variable, '{name}' AS kind, {r(number[0], 'low')}, {r(number[1], 'high')},
       {date[0]} AS first_day, {date[1]} AS last_day, {distinct} AS "distinct", {listed} AS listed FROM {source}"""
 

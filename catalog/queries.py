@@ -34,7 +34,10 @@ WINDOW = sliding.WindowShape(input_width=24, label_width=6, shift=8)
 PLATEAU = rate_policy.RatePolicy(
     factor=0.5, patience=2, min_lr=0.01, min_delta=1e-4, cooldown=1, restart_patience=3, initial_lr=0.1
 )
-PROFILE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+PROFILE_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 def query(make: Query) -> Query:
@@ -377,13 +380,13 @@ def column_stats(spark, sf):
 
 @query
 def iqr_outliers(spark, sf):
-    long = profile.to_long(observations(spark, sf), ["temp", "dew"], [KEY])
+    long = profile.to_long(materialise(observations(spark, sf).select(KEY, "temp", "dew")), ["temp", "dew"], [KEY])
     return profile.outlier_counts(long, [KEY, "variable"])
 
 
 @query
 def box_plots(spark, sf):
-    return profile.box_plot(profile.to_long(_daily(spark, sf), ["TMAX", "TMIN", "TAVG"]))
+    return profile.box_plot(profile.to_long(materialise(_daily(spark, sf)), ["TMAX", "TMIN", "TAVG"]))
 
 
 @query
@@ -572,23 +575,23 @@ def residual_histogram(spark, sf):
 @query
 def error_boxplot(spark, sf):
     errors = evaluate.residuals(_baselines(spark, sf)).select("model", F.col("abs_error").alias("value"))
-    return profile.box_plot(errors, ["model"])
+    return profile.box_plot(materialise(errors), ["model"])
 
 
 @query
 def tail_sample(spark, sf):
-    return evaluate.tail_rows(materialise(_baselines(spark, sf)), 200).select(KEY, TS, "model", "now", "actual_tmax", "tmax")
+    return evaluate.tail_rows(materialise(_baselines(spark, sf)), 200, models=2).select(KEY, TS, "model", "now", "actual_tmax", "tmax")
 
 
 @query
 def last_profiles(spark, sf):
-    last = evaluate.last_profiles(_baselines(spark, sf))
+    last = evaluate.last_profiles(materialise(_baselines(spark, sf)))
     return last.select("model", "last_ts", F.posexplode("profile").alias("h", "yhat"))
 
 
 @query
 def evaluation_export(spark, sf):
-    export = evaluate.evaluation_export(materialise(_baselines(spark, sf)), 100)
+    export = evaluate.evaluation_export(materialise(_baselines(spark, sf)), 100, models=2)
     zipped = F.arrays_zip("timestamps", "actual_current_temp", "actual_next24_tmin", "tmin")
     return export.select("model", "last_timestamp", F.posexplode(zipped).alias("place", "_e")).select("model", "last_timestamp", "place", "_e.*")
 

@@ -78,4 +78,7 @@ def test_residuals_tail_and_export(spark):
     assert export.timestamps[0] == "2024-01-01 06:00" and export.last_timestamp == "2024-01-01 09:00"
     assert export.tmax == [8.0, 9.0, 10.0, 11.0] and export.sample_24h_profile == [9.5, 11.0] and export.actual_last_24h_profile == [9.0, 10.0]
     assert evaluate.tail_rows(table, 500).count() == 20
+    assert sorted(map(str, evaluate.tail_rows(table, 3, 2).collect())) == sorted(map(str, tail))
+    plan = evaluate.last_profiles(table)._jdf.queryExecution().executedPlan().toString()
+    assert "last_ts" in plan and "max_by(yhat" not in plan
     assert {r.val_mae for r in evaluate.validation_mae(table).collect()} == {0.75}

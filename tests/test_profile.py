@@ -3,8 +3,10 @@ from datetime import date, datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import column
+from thermogrid import session
 from thermogrid.operators import features, hist2d, profile, quantiles, split
 from thermogrid.schema import Bounds, SplitDates
 
@@ -59,6 +61,19 @@ def test_column_stats_equal_numpy(spark):
     assert (empty["count"], empty["mean"], empty["std"], empty.nan_count, empty.nan_pct, empty.outlier_count) == (0, 0, 0, 2, 100, 0)
 
 
+def test_no_part_over_the_bound(spark):
+    n, bound = 1_000_000, 2_000
+    rows = spark.range(n).select(F.lit("x").alias("variable"), ((F.col("id") * 7919) % n).cast("double").alias("value"))
+    rows = rows.unionByName(spark.range(n // 2).select(F.lit("y").alias("variable"), F.lit(3.0).alias("value")))
+    shares = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    heads = session.materialise(rows.groupBy("variable").agg(F.count("value").alias("n"), quantiles.cut_points("value").alias("_cuts")))
+    live, cells = quantiles.sorted_cells(rows, heads, ["variable"], "value", shares, 64, bound)
+    sizes = [r["count"] for r in live.groupBy("variable", "_cell").count().collect()]
+    assert max(sizes) <= bound and cells.count() == len(sizes)
+    got = {r.variable: tuple(r)[1:] for r in quantiles.quantiles_of_groups(rows, heads, ["variable"], "value", shares, bound=bound).collect()}
+    assert got == {"x": (n, *np.quantile(np.arange(n), [0.25, 0.5, 0.75])), "y": (n // 2, 3.0, 3.0, 3.0)}
+
+
 def test_box_plot(spark):
     row = profile.box_plot(long(spark, {"x": [1.0, 2.0, 3.0, 4.0, 100.0]})).first()
     assert (row.whisker_low, row.q25, row["median"], row.q75, row.whisker_high, row.outlier_count) == (1, 2, 3, 4, 4, 1)

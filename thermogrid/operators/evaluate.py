@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import HORIZON, KEY, SUMMARY_TARGETS, TS, target_names
+from .scalars import attach
 
 # Tolerances in degrees and the size below which a value is left out of MAPE.
 TOLERANCES = {"acc_1": 1.0, "acc_2": 2.0}
@@ -124,27 +125,39 @@ def residual_summary(residual: DataFrame) -> DataFrame:
     )
 
 
-def tail_rows(predictions: DataFrame, n: int = 200) -> DataFrame:
-    """Predictions at the last ``n`` reference instants: a top-k on time, then a semi-join."""
-    last = predictions.select(KEY, TS).distinct().orderBy(F.desc(TS), KEY).limit(n)
-    return predictions.join(last, [KEY, TS], "left_semi")
+def tail_rows(predictions: DataFrame, n: int = 200, models: int | None = None) -> DataFrame:
+    """Predictions at the last ``n`` reference instants: a top-k on time, then a semi-join.
+
+    ``models`` is the largest number of rows an instant of a series can have. With it the top-k comes first, without a
+    shuffle of all instants; without it they are made distinct first.
+    """
+    newest = (F.desc(TS), F.col(KEY))
+    instants = predictions.select(KEY, TS)
+    if models:
+        instants = instants.orderBy(*newest).limit(n * models)
+    return predictions.join(instants.distinct().orderBy(*newest).limit(n), [KEY, TS], "left_semi")
 
 
 def last_profiles(predictions: DataFrame) -> DataFrame:
-    """The forecast and the truth at the last instant of each model."""
-    newest = F.struct(TS, F.col(KEY))
-    return predictions.groupBy("model").agg(
-        F.max(TS).alias("last_ts"), F.max_by("yhat", newest).alias("profile"), F.max_by("y", newest).alias("actual")
+    """The forecast and the truth at the last instant of each model, of the series with the largest key.
+
+    The instant is found by a plain aggregate; only the rows at it carry their arrays further. Reads ``predictions`` twice.
+    """
+    last = predictions.groupBy("model").agg(F.max(TS).alias("last_ts"))
+    at = attach(predictions.select("model", KEY, TS, "yhat", "y"), last, ["model"]).where(F.col(TS) == F.col("last_ts"))
+    row = F.max_by(F.struct("yhat", "y"), KEY)
+    return at.groupBy("model", "last_ts").agg(row.alias("_row")).select(
+        "model", "last_ts", F.col("_row.yhat").alias("profile"), F.col("_row.y").alias("actual")
     )
 
 
-def evaluation_export(predictions: DataFrame, n: int = 200) -> DataFrame:
+def evaluation_export(predictions: DataFrame, n: int = 200, models: int | None = None) -> DataFrame:
     """Per model the last ``n`` daily summaries as arrays in time order, with the last 24-hour profile.
 
-    Reads ``predictions`` three times: pass a written table.
+    Reads ``predictions`` four times: pass a written table. ``models`` as in :func:`tail_rows`.
     """
     entry = F.struct(TS, KEY, *[f for s in SUMMARIES for f in (s, f"actual_{s}")], "now")
-    tail = tail_rows(predictions, n).groupBy("model").agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
+    tail = tail_rows(predictions, n, models).groupBy("model").agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
     series = lambda f: F.transform("_rows", lambda r: r[f])
     stamps = F.transform("_rows", lambda r: F.date_format(r[TS], "yyyy-MM-dd HH:mm"))
     return tail.join(last_profiles(predictions), "model").select(

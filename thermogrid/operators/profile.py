@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from ..functions import above_other, out_of_range
 from ..schema import PROFILE_BOUNDS, TS, Bounds
 from ..session import materialise
-from .quantiles import quantiles_of_counts, value_counts
-from .scalars import attach
+from .quantiles import cut_points, quantiles_of_groups
+from .scalars import attach, attach_row
 
 # Quartiles and the fence factor of the box-plot rule.
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
@@ -24,6 +24,7 @@ PROFILED = {
 }
 HISTOGRAM_BINS = 30
 MAX_LISTED_VALUES = 10
+DIGEST_LENGTH = 60
 
 
 def to_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -42,28 +43,33 @@ def _fences(low: Column, high: Column) -> tuple[Column, Column]:
     return low - reach, high + reach
 
 
-def outliers_of_counts(counts: DataFrame, quartiles: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Squared deviations, values strictly outside the quartile fences, and the extremes inside them."""
+def _outliers(long: DataFrame, quartiles: DataFrame, by: list[str]) -> DataFrame:
+    """Values strictly outside the quartile fences, and the extremes inside them."""
     low, high = _fences(F.col("q25"), F.col("q75"))
-    value, times = F.col("_v"), F.col("_c")
+    value = F.col("value")
     inside = value.between(low, high)
-    return attach(counts, quartiles, list(by)).groupBy(*by).agg(
-        F.sum(times * (value - F.col("mean")) * (value - F.col("mean"))).alias("m2"),
-        F.coalesce(F.sum(F.when(~inside, times)), F.lit(0)).alias("outlier_count"),
+    return attach(long, quartiles, by).groupBy(*by).agg(
+        F.count_if(~inside).alias("outlier_count"),
         F.min(F.when(inside, value)).alias("whisker_low"),
         F.max(F.when(inside, value)).alias("whisker_high"),
     )
 
 
-def _summaries(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """All statistics of the groups that have values, from value counts alone."""
+def _summaries(long: DataFrame, by: Sequence[str]) -> DataFrame:
+    """All statistics of each group of a long table.
+
+    Four passes of map-side aggregates: moments and cuts, ranks of parts, the few values to sort, fences. Rows aren't exchanged, so
+    pass a table, or rows that were written out.
+    """
     by = list(by)
-    plain = counts.groupBy(*by).agg(
-        (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max")
-    )
-    located = attach(plain, quantiles_of_counts(counts, by, QUARTILES), by)
-    spread = outliers_of_counts(counts, located.select(*by, "mean", "q25", "q75"), by)
-    return attach(located, spread, by).withColumn("std", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))))
+    heads = materialise(long.groupBy(*by).agg(
+        F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("nan_count"),
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
+        cut_points("value").alias("_cuts"),
+    ))
+    quartiles = materialise(quantiles_of_groups(long, heads, by, "value", QUARTILES).drop("n"))
+    located = heads.drop("_cuts").join(quartiles, by, "left") if by else attach_row(heads.drop("_cuts"), quartiles)
+    return attach(located, _outliers(long, quartiles, by), by, "left")
 
 
 def column_stats(long: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
@@ -72,31 +78,28 @@ def column_stats(long: DataFrame, by: Sequence[str] = ("variable",)) -> DataFram
     A group without values gets zeros and 100 % missing.
     """
     by = list(by)
-    groups = long.groupBy(*by).agg(
-        F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("nan_count")
-    )
-    joined = groups.join(_summaries(value_counts(long, by, "value"), by), by, "left")
-    empty = F.col("count") == 0
+    empty = F.col("n") == 0
     zero = lambda c: F.when(empty, F.lit(0.0)).otherwise(F.col(c)).alias(c)
-    share = F.col("nan_count") / (F.col("nan_count") + F.col("count")) * 100.0
-    return joined.select(
-        *by, "count", zero("mean"), zero("std"), zero("min"), zero("q25"), zero("median"), zero("q75"), zero("max"),
+    share = F.col("nan_count") / F.nullif(F.col("nan_count") + F.col("n"), F.lit(0)) * 100.0
+    return _summaries(long, by).select(
+        *by, F.col("n").alias("count"),
+        zero("mean"), zero("std"), zero("min"), zero("q25"), zero("median"), zero("q75"), zero("max"),
         "nan_count", F.when(empty, F.lit(100.0)).otherwise(share).alias("nan_pct"),
         F.coalesce("outlier_count", F.lit(0)).alias("outlier_count"),
-        F.when(empty, F.lit(0.0)).otherwise(F.col("outlier_count") / F.nullif(F.col("count"), F.lit(0)) * 100.0)
+        F.when(empty, F.lit(0.0)).otherwise(F.col("outlier_count") / F.nullif(F.col("n"), F.lit(0)) * 100.0)
         .alias("outlier_pct"),
     )
 
 
 def outlier_counts(long: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
     """Values outside the fences of 1.5 quartile ranges, and their share in percent."""
-    summary = _summaries(value_counts(long, by, "value"), by)
+    summary = _summaries(long, by).where("n > 0")
     return summary.select(*by, "outlier_count", (F.col("outlier_count") / F.col("n") * 100.0).alias("outlier_pct"))
 
 
 def box_plot(long: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
     """Five numbers of a box plot: whiskers inside the fences, quartiles, and the outliers beyond."""
-    return _summaries(value_counts(long, by, "value"), by).select(
+    return _summaries(long, by).where("n > 0").select(
         *by, "n", "whisker_low", "q25", "median", "q75", "whisker_high", "outlier_count"
     )
 
@@ -193,7 +196,7 @@ def document_columns(df: DataFrame, max_listed: int = MAX_LISTED_VALUES) -> Data
 
     Numbers and dates get their range. Other columns get their number of values, and the values
     themselves (sorted, joined) where there are at most ``max_listed``; those lists are only collected
-    after counting.
+    after counting. Long values are counted by their digest, so that whole texts aren't exchanged.
     """
     kind = {}
     for f in df.schema.fields:
@@ -218,10 +221,13 @@ def document_columns(df: DataFrame, max_listed: int = MAX_LISTED_VALUES) -> Data
             "*", F.lit(None).cast("long").alias("distinct"), F.lit(None).cast("string").alias("listed")
         )
     if texts:
-        values = (
+        cells = (
             df.select(*[F.col(c).cast("string").alias(c) for c in texts]).unpivot([], texts, "variable", "value")
-            .where(F.col("value").isNotNull()).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("_c"))
+            .where(F.col("value").isNotNull())
         )
+        digest = F.when(F.length("value") > DIGEST_LENGTH, F.sha2(F.col("value").cast("binary"), 256)).otherwise(F.col("value"))
+        # a digest is longer than any value that stands for itself
+        values = cells.select("variable", digest.alias("value")).distinct()
         # A global aggregate has one row even over no rows: every column is described.
         listed_names = df.limit(0).agg(F.array(*[F.lit(c) for c in texts]).alias("_names"))
         names = listed_names.select(F.explode("_names").alias("variable"))
@@ -229,7 +235,7 @@ def document_columns(df: DataFrame, max_listed: int = MAX_LISTED_VALUES) -> Data
         # At most one row per column of the table.
         short = F.broadcast(sizes.where(F.col("distinct") <= max_listed).select("variable"))
         listed = (
-            values.join(short, "variable").groupBy("variable")
+            cells.join(short, "variable").distinct().groupBy("variable")
             .agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("listed"))
         )
         described = names.join(sizes, "variable", "left").join(listed, "variable", "left").select(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY, TS, SplitDates
+from ..session import materialise
 from .chunks import with_position
 from .scalars import attach
 
@@ -74,6 +75,9 @@ def invert_scaling(df: DataFrame, scaler: DataFrame, columns: Sequence[str], by:
 def split_and_standardize(
     df: DataFrame, columns: Sequence[str], tie_break: list[str], unit_seconds: int = 60
 ) -> DataFrame:
-    """Positional split, then scaling of all rows by the training rows of their series."""
-    split = positional_split(df, tie_break, unit_seconds=unit_seconds)
+    """Positional split, then scaling of all rows by the training rows of their series.
+
+    The split rows have two readers and are written once.
+    """
+    split = materialise(positional_split(df, tie_break, unit_seconds=unit_seconds))
     return standardize(split, fit_scaler(split.where(F.col("split") == "train"), columns, [KEY]), columns, [KEY])

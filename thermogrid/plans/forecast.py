@@ -122,6 +122,6 @@ def run_forecast(series: DataFrame, params: JobParams = JobParams(), outputs: st
     if outputs:
         write_json(out["profile"], f"{outputs}/data_properties")
         write_json(metrics_report(scores), f"{outputs}/model_metrics")
-        write_json(evaluation_export(predictions, params.sample_size), f"{outputs}/test_predictions")
+        write_json(evaluation_export(predictions, params.sample_size, len(models)), f"{outputs}/test_predictions")
         write_json(out["history"], f"{outputs}/training_histories")
     return out

@@ -44,12 +44,15 @@ def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_frames(cells: DataFrame, bounds: DataFrame, path: str, size: int = GRID_SIZE) -> None:
-    """Sparse 2-D histogram: 8760 frames (empty ones included) in hour order, and the axis ends."""
+def write_frames(cells: DataFrame, bounds: DataFrame, path: str, size: int = GRID_SIZE, files: int = 16) -> None:
+    """Sparse 2-D histogram: 8760 frames (empty ones included) in hour order, and the axis ends.
+
+    Each file holds a range of hours; file names follow the hours.
+    """
     packed = frames(cells).select(
         "hour", F.transform("cells", lambda c: F.array(c["x"], c["y"], c["cnt"])).alias("frame")
     )
-    packed.repartitionByRange(1, "hour").sortWithinPartitions("hour").write.mode("overwrite").json(f"{path}/frames")
+    packed.repartitionByRange(files, "hour").sortWithinPartitions("hour").write.mode("overwrite").json(f"{path}/frames")
     write_json(bounds.select(F.lit(size).alias("grid_size"), "*"), f"{path}/meta")
 
 
