@@ -69,9 +69,9 @@ def test_climatology_equals_lookup(spark):
 
 def test_cross_products_and_errors(rows):
     table = rows.toPandas()
-    sums = cross_products(rows, ["temp_lag0", "dew_lag0", "target_h1"], "split")
+    sums, shift = cross_products(rows, ["temp_lag0", "dew_lag0", "target_h1"], "split")
     for name, group in table.groupby("split"):
-        z = np.column_stack([np.ones(len(group)), group.temp_lag0, group.dew_lag0, group.target_h1])
+        z = np.column_stack([np.ones(len(group)), *(group[["temp_lag0", "dew_lag0", "target_h1"]].to_numpy() - shift).T])
         np.testing.assert_allclose(sums[name], z.T @ z, rtol=1e-9)
     w = [np.array([[1.0], [0.5]]), np.array([[0.0], [1.0]])]
     errors = absolute_errors(rows, ["temp_lag0"], ["target_h1"], w, "split")
@@ -128,6 +128,24 @@ def test_restart_grows_and_reset_starts_again(spark, rows, tmp_path):
     assert len(trained(rows, path, True, max_iters=1).epochs) == 2
 
 
+def test_resumed_run_equals_one_long_run(rows, tmp_path):
+    path = str(tmp_path / "run")
+    trained(rows, path, True)
+    halves, whole = trained(rows, path, False), trained(rows, None, True, max_iters=4)
+    np.testing.assert_allclose([e[2:] for e in halves.epochs], [e[2:] for e in whole.epochs])
+    np.testing.assert_allclose(halves.weights, whole.weights)
+
+
+def test_large_means_and_small_units_keep_their_digits(spark):
+    rng = np.random.default_rng(2)
+    x, tiny = rng.normal(0, 1, 400), rng.normal(0, 1, 400)
+    y = 3 * x - 2 * tiny
+    data = [(1e9 + float(a), float(b) * 1e-12, 7.0, float(c), *[float(c)] * 3) for a, b, c in zip(x, tiny, y)]
+    frame = spark.createDataFrame(data, ["far", "tiny", "constant", "y", *SUMMARY_TARGETS])
+    weights = Ridge(1e-9, ["far", "tiny", "constant"], ["y"]).fit(frame).weights[1:, 0]
+    np.testing.assert_allclose(weights, [3.0, -2e12, 0.0], rtol=1e-5, atol=1e-9)
+
+
 def test_stop_rules(rows):
     assert trained(rows, None, False, target_mae=100.0).status == "adequate"
     model = RestartableLinear(target_mae=0.0)

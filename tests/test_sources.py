@@ -170,6 +170,10 @@ def test_whole_forecast_job_and_resume(spark, series, tmp_path):
     assert first["history"].where("run_id = 'linear'").count() == 2
     for name in ("data_properties", "model_metrics", "test_predictions", "training_histories"):
         assert spark.read.json(f"{out}/{name}").count() > 0
+    records = {r.model: r for r in readers.read_histories(spark, f"{out}/training_histories", {}).collect()}
+    assert set(records) == {"linear"} and records["linear"].final_status == "underfit" and records["linear"].underfitting_detected
+    assert [e.epoch for e in records["linear"].epochs] == [1, 2] and all(e.train_loss and e.val_loss for e in records["linear"].epochs)
+    assert [i.status for i in records["linear"].iterations] == ["continue", "continue"]
     second = forecast.run_forecast(series(temp), params, out)
     assert second["history"].where("run_id = 'linear'").count() == 4
     with pytest.raises(ValueError):

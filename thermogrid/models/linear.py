@@ -28,18 +28,22 @@ def _with_split(train: DataFrame, val: DataFrame | None) -> DataFrame:
 
 @dataclass
 class Scaling:
-    """Shifts and scales of features and targets, and maps back to raw units."""
+    """Shifts and scales of features and targets, and maps back to raw units.
+
+    ``shift`` is what the cross-products were taken around; the means are in raw units.
+    """
 
     mean_x: np.ndarray
     std_x: np.ndarray
     mean_y: np.ndarray
     std_y: np.ndarray
+    shift: np.ndarray
 
     @classmethod
-    def fit(cls, moments: np.ndarray, n_x: int, blocks: list[int]) -> Scaling:
+    def fit(cls, moments: np.ndarray, n_x: int, blocks: list[int], shift: np.ndarray) -> Scaling:
         """``blocks`` are sizes of target groups: a group of 24 shares one mean and deviation."""
-        n, means = moments[0, 0], moments[0, 1:] / moments[0, 0]
-        var = np.maximum(np.diag(moments)[1:] / n - means**2, 0.0)
+        n, offset = moments[0, 0], moments[0, 1:] / moments[0, 0]
+        var, means = np.maximum(np.diag(moments)[1:] / n - offset**2, 0.0), offset + shift
         std_x = np.sqrt(var[:n_x] * n / max(n - 1, 1))
         mean_y, std_y, at = [], [], n_x
         for size in blocks:
@@ -49,11 +53,12 @@ class Scaling:
             mean_y += [centre] * size
             std_y += [spread] * size
             at += size
-        return cls(means[:n_x], _no_zero(std_x), np.array(mean_y), _no_zero(np.array(std_y)))
+        mean_x, mean_y = means[:n_x], np.array(mean_y)
+        return cls(mean_x, _no_zero(std_x, mean_x), mean_y, _no_zero(np.array(std_y), mean_y), shift)
 
     def change(self) -> np.ndarray:
-        shift = np.concatenate([self.mean_x, self.mean_y])
-        return affine(len(shift) + 1, shift, np.concatenate([self.std_x, self.std_y]))
+        centre = np.concatenate([self.mean_x, self.mean_y]) - self.shift
+        return affine(len(centre) + 1, centre, np.concatenate([self.std_x, self.std_y]))
 
     def raw_weights(self, weights: np.ndarray) -> np.ndarray:
         """Weights on scaled data (first row: intercept) to weights on raw data."""
@@ -62,9 +67,9 @@ class Scaling:
         return np.vstack([intercept, slopes])
 
 
-def _no_zero(values: np.ndarray) -> np.ndarray:
-    scale = np.abs(values).max(initial=0.0)
-    return np.where(values <= 1e-9 * max(scale, 1e-300), 1.0, values)
+def _no_zero(deviations: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Deviations, with 1 for columns that are constant: each is held against its own mean, whatever its unit."""
+    return np.where(deviations <= 1e-12 * np.abs(means), 1.0, deviations)
 
 
 class Problem:
@@ -74,6 +79,9 @@ class Problem:
         change = scaling.change()
         scaled = change @ moments @ change.T
         self.n, edge = scaled[0, 0], n_x + 1
+        # Means of scaled columns that are rounding alone: Adam would blow them up to whole steps of the intercept.
+        means = np.where(np.abs(scaled[0, 1:]) <= 1e-10 * self.n, 0.0, scaled[0, 1:])
+        scaled[0, 1:] = scaled[1:, 0] = means
         self.xx, self.xy, self.yy = scaled[:edge, :edge], scaled[:edge, edge:], np.diag(scaled)[edge:]
 
     def gradient(self, w: np.ndarray) -> np.ndarray:
@@ -149,14 +157,14 @@ class Ridge(LinearBase):
         super().__init__(features, targets)
         self.alpha = alpha
 
-    def _moments(self, train: DataFrame, val: DataFrame | None) -> dict[str, np.ndarray]:
+    def _moments(self, train: DataFrame, val: DataFrame | None) -> tuple[dict[str, np.ndarray], np.ndarray]:
         return cross_products(_with_split(train, val), [*self.features, *self.targets, *SUMMARY_TARGETS], "_part")
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> Ridge:
-        moments = self._moments(train, None)["train"]
+        moments, shift = self._moments(train, None)
         n_x = len(self.features)
-        scaling = Scaling.fit(moments, n_x, [len(self.targets), 1, 1, 1])
-        self.weights = scaling.raw_weights(Problem(moments, n_x, scaling).ridge(self.alpha))
+        scaling = Scaling.fit(moments["train"], n_x, [len(self.targets), 1, 1, 1], shift)
+        self.weights = scaling.raw_weights(Problem(moments["train"], n_x, scaling).ridge(self.alpha))
         return self
 
 
@@ -174,18 +182,20 @@ class GradientRidge(Ridge):
     max_epochs: int = 15
     steps_per_epoch: int = 2
     block: int = 5
+    features: list[str] | None = None
+    targets: list[str] | None = None
 
     name = "ridge_gradient"
 
     def __post_init__(self):
-        LinearBase.__init__(self)
+        LinearBase.__init__(self, self.features, self.targets)
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> GradientRidge:
         if val is None or not self.policy.enabled:
             return super().fit(train)
-        moments = self._moments(train, val)
+        moments, shift = self._moments(train, val)
         n_x, targets = len(self.features), [*self.targets, *SUMMARY_TARGETS]
-        scaling = Scaling.fit(moments["train"], n_x, [len(self.targets), 1, 1, 1])
+        scaling = Scaling.fit(moments["train"], n_x, [len(self.targets), 1, 1, 1], shift)
         problem = Problem(moments["train"], n_x, scaling)
         held_out = val.withColumn("_part", F.lit("val"))
         weights, state = np.zeros((n_x + 1, len(targets))), start(self.policy)

@@ -14,20 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cross_products(df: DataFrame, columns: Sequence[str], split: str) -> dict[str, np.ndarray]:
-    """``{split value: symmetric matrix}`` over ``[1, *columns]``.
+def cross_products(df: DataFrame, columns: Sequence[str], split: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """``{split value: symmetric matrix}`` over ``[1, *columns - shift]``, and the ``shift``: the columns' means over all rows.
 
-    Each task adds up its batches with one matrix product per batch and emits one upper triangle per
-    split; triangles are then added cell by cell in a grouped aggregate.
+    A first pass takes the means, so that a column of large mean and small spread keeps its digits. In the second each
+    task adds up its batches with one matrix product per batch and emits one upper triangle per
+    split; triangles are then added cell by cell in a grouped aggregate. Reads ``df`` twice.
     """
     size = len(columns) + 1
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    shift = np.array([0.0 if m is None else m for m in means])
     upper = np.triu_indices(size)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             block = np.column_stack([
-                np.ones(batch.num_rows), *[batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, size)]
+                np.ones(batch.num_rows),
+                *[batch.column(i).to_numpy(zero_copy_only=False) - shift[i - 1] for i in range(1, size)],
             ])
             labels = np.asarray(batch.column(0).to_pylist(), dtype=object)
             for label in set(labels.tolist()):
@@ -50,7 +54,7 @@ def cross_products(df: DataFrame, columns: Sequence[str], split: str) -> dict[st
         matrix = np.zeros((size, size))
         matrix[upper[0][part["cell"]], upper[1][part["cell"]]] = part["total"]
         out[label] = matrix + np.triu(matrix, 1).T
-    return out
+    return out, shift
 
 
 def affine(size: int, shift: np.ndarray, scale: np.ndarray) -> np.ndarray:

@@ -22,7 +22,8 @@ EPOCHS_SCHEMA = (
 )
 BLOCKS_SCHEMA = (
     "iteration int, epochs_run int, val_mae double, best_val_mae double, best_epoch int, status string, "
-    "weights array<array<double>>, best_weights array<array<double>>"
+    "weights array<array<double>>, best_weights array<array<double>>, optimiser_steps int, "
+    "optimiser_mean array<array<double>>, optimiser_square array<array<double>>"
 )
 
 
@@ -58,9 +59,9 @@ class RestartableLinear(LinearBase):
         spark = train.sparkSession
         val = train if val is None else val
         both = _with_split(train, val)
-        moments = cross_products(both, [*self.features, *self.targets], "_part")
+        moments, shift = cross_products(both, [*self.features, *self.targets], "_part")
         n_x = len(self.features)
-        scaling = Scaling.fit(moments["train"], n_x, [len(self.targets)])
+        scaling = Scaling.fit(moments["train"], n_x, [len(self.targets)], shift)
         learn = Problem(moments["train"], n_x, scaling)
         # An empty validation period is scored on the training rows.
         check = Problem(moments.get("val", moments["train"]), n_x, scaling)
@@ -74,7 +75,8 @@ class RestartableLinear(LinearBase):
         best_weights = past["best_weights"] if past else weights
         first_iteration = past["iteration"] + 1 if past else 1
 
-        optimiser, state = Adam(weights.shape), start(self.policy)
+        # A resumed run goes on with the optimiser's stored moments; its policy starts afresh at the given rate.
+        optimiser, state = past["optimiser"] if past else Adam(weights.shape), start(self.policy)
         self.status, self.rate_events, self.blocks = "In Progress", [], []
         for iteration in range(first_iteration, first_iteration + self.max_iters):
             block, done = [], len(epochs)
@@ -97,7 +99,8 @@ class RestartableLinear(LinearBase):
             status = self._verdict(epochs, best_mae)
             self.blocks.append((iteration, len(epochs), float(val_mae[-1]), best_mae, best_epoch, status))
             if run_path:
-                marker = (*self.blocks[-1], weights.tolist(), best_weights.tolist())
+                marker = (*self.blocks[-1], weights.tolist(), best_weights.tolist(),
+                          optimiser.count, optimiser.mean.tolist(), optimiser.square.tolist())
                 self._write(spark, run_path, rows, marker, "append")
             if status != "continue":
                 break
@@ -133,8 +136,11 @@ class RestartableLinear(LinearBase):
         published = spark.read.schema(EPOCHS_SCHEMA).parquet(f"{path}/epochs").join(
             blocks.select("iteration"), "iteration", "left_semi"
         )
+        optimiser = Adam(np.shape(row["weights"]))
+        optimiser.count = row["optimiser_steps"]
+        optimiser.mean, optimiser.square = np.array(row["optimiser_mean"]), np.array(row["optimiser_square"])
         return {
-            "epochs": [tuple(r) for r in published.orderBy("epoch").collect()],
+            "optimiser": optimiser, "epochs": [tuple(r) for r in published.orderBy("epoch").collect()],
             "weights": np.array(row["weights"]), "best_weights": np.array(row["best_weights"]),
             "best_val_mae": row["best_val_mae"], "best_epoch": row["best_epoch"], "iteration": row["iteration"],
         }
@@ -160,10 +166,10 @@ class LastStepLinear(LinearBase):
         self.steps_per_epoch = steps_per_epoch
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> LastStepLinear:
-        moments = cross_products(_with_split(train, val), [*self.features, *self.targets], "_part")
+        moments, shift = cross_products(_with_split(train, val), [*self.features, *self.targets], "_part")
         n_x, n_y = len(self.features), len(self.targets)
         # Inputs and labels arrive standardised, so no scaling is learned here.
-        plain = Scaling(np.zeros(n_x), np.ones(n_x), np.zeros(n_y), np.ones(n_y))
+        plain = Scaling(np.zeros(n_x), np.ones(n_x), np.zeros(n_y), np.ones(n_y), shift)
         learn = Problem(moments["train"], n_x, plain)
         check = Problem(moments.get("val", moments["train"]), n_x, plain)
         weights, best, waited = np.zeros((n_x + 1, n_y)), np.inf, 0

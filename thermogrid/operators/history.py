@@ -71,6 +71,12 @@ def overfit_flags(
     return flagged.withColumn("overfit", overfit)
 
 
+def overfit_stops(flags: DataFrame, every: int) -> DataFrame:
+    """First step at which a run judged only at the end of each block of ``every`` steps is found over-fitted; other runs have no row."""
+    ends = flags.where(F.col("overfit") & (F.col("steps_done") % every == 0))
+    return ends.groupBy(RUN).agg(F.min(STEP).alias("stopped_at"))
+
+
 def fit_status(best: DataFrame, target: float, metric: str = "val_mae") -> DataFrame:
     """Per run: ``adequate`` once the best metric reaches the target, else ``underfit``."""
     per_run = best.groupBy(RUN).agg(

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..models.base import ForecastModel, score
 from ..models.baselines import Climatology, Persistence
@@ -21,7 +22,8 @@ from ..operators.split import time_split
 from ..schema import CHUNK_HOURS, HORIZON, PROFILE_BOUNDS, TS, Bounds, SplitDates
 from ..session import materialise
 from ..sources.paths import exists
-from ..sources.writers import choose_mode, prepare_outputs, write_json
+from ..sources.readers import HISTORY_SCHEMA
+from ..sources.writers import choose_mode, prepare_outputs, write_histories, write_json
 
 # Run state of each model in the output folder.
 STATE = {"ridge": "models/ridge", "ridge_gradient": "models/ridge_gradient", "linear": "runs/linear", "trees": "models/trees"}
@@ -98,6 +100,44 @@ def consolidated_history(models: Sequence[ForecastModel], spark) -> DataFrame:
     return spark.createDataFrame(rows, "run_id string, step int, val_mae double, lr double")
 
 
+def training_records(models: Sequence[ForecastModel], spark) -> DataFrame:
+    """The whole record of each model that learns step by step: epochs, blocks, stages, rate changes, best step and status.
+
+    ``final_learning_rate`` is the rate after the last recorded step.
+    """
+    records = []
+    for model in models:
+        events = [{**e, "reason": _watched(model)} for e in getattr(model, "rate_events", [])]
+        if isinstance(model, RestartableLinear):
+            names = ("iteration", "epoch", "train_loss", "val_loss", "train_mae", "val_mae", "lr")
+            record = {
+                "epochs": [dict(zip(names, e)) for e in model.epochs],
+                "iterations": [{"iteration": b[0], "epochs_run": b[1], "val_mae_c": b[2], "status": b[5]} for b in model.blocks],
+                "total_epochs": len(model.epochs), "best_epoch": model.best_epoch, "best_val_mae": model.best_val_mae,
+                "target_mae": model.target_mae, "final_status": model.status, "is_adequate": model.status == "adequate",
+                "overfitting_detected": model.status == "overfit", "underfitting_detected": model.status == "underfit",
+            }
+        elif getattr(model, "history", None):
+            steps = model.history
+            kind = "stages" if "stage" in steps[0] else "epochs"
+            errors = [(s["val_mae"], s[kind[:-1]]) for s in steps if s.get("val_mae") is not None]
+            best = min(errors, default=(None, None))
+            record = {kind: steps, "total_epochs": len(steps) if kind == "epochs" else 0, "best_val_mae": best[0],
+                      "best_epoch": best[1], "status": "Completed"}
+        else:
+            continue
+        last = (record.get("epochs") or record.get("stages"))[-1]
+        rate = events[-1]["new_lr"] if events else last.get("lr", last.get("learning_rate"))
+        records.append({"model": model.name, **record, "lr_decay_events": events, "final_learning_rate": rate})
+    schema = T.StructType([T.StructField("model", T.StringType()), *HISTORY_SCHEMA.fields])
+    return spark.createDataFrame(records, schema)
+
+
+def _watched(model: ForecastModel) -> str:
+    """What the rate policy of a model watches."""
+    return "val_loss" if isinstance(model, RestartableLinear) else "val_mae"
+
+
 def run_forecast(series: DataFrame, params: JobParams = JobParams(), outputs: str | None = None) -> dict[str, DataFrame]:
     """Whole job on a cleaned hourly series. With ``outputs`` also writes models and reports there.
 
@@ -123,5 +163,5 @@ def run_forecast(series: DataFrame, params: JobParams = JobParams(), outputs: st
         write_json(out["profile"], f"{outputs}/data_properties")
         write_json(metrics_report(scores), f"{outputs}/model_metrics")
         write_json(evaluation_export(predictions, params.sample_size, len(models)), f"{outputs}/test_predictions")
-        write_json(out["history"], f"{outputs}/training_histories")
+        write_histories(training_records(models, spark), f"{outputs}/training_histories")
     return out

@@ -44,6 +44,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_histories(records: DataFrame, path: str) -> None:
+    """Training records (a row per model, fields of ``readers.HISTORY_SCHEMA``) as one JSON object keyed by model.
+
+    For the models of a job: the file holds all of them, so their number is bounded by the caller.
+    """
+    fields = [c for c in records.columns if c != "model"]
+    entries = F.array_sort(F.collect_list(F.struct("model", F.struct(*fields).alias("record"))))
+    records.agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_frames(cells: DataFrame, bounds: DataFrame, path: str, size: int = GRID_SIZE, files: int = 16) -> None:
     """Sparse 2-D histogram: 8760 frames (empty ones included) in hour order, and the axis ends.
 
