@@ -200,6 +200,30 @@ def test_benchmark_blocks_give_the_same(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, bench, params=params).collect()} == {(i, i) for i in range(9)}
 
 
+def test_excerpts_of_an_item_that_leaked_a_thousand_times_are_found(spark):
+    item = invented(300, 50).split()
+    edited = [w if k % 4 < 3 else "changed" for k, w in enumerate(item)]  # no four words in a row
+    texts = [(i, f"{invented(i, 20)} {' '.join(item)}") for i in range(1000)]
+    texts += [(1000 + i, f"{invented(2000 + i, 30)} {' '.join(part)} {invented(3000 + i, 30)}") for i, part in enumerate([item[20:], item[:30], item[10:40], edited])]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.matches(docs, bench).collect()}
+    assert set(got) == set(range(1004)) and all(got[i] == 1 for i in range(1000))
+    assert all(got[i] >= 0.6 for i in (1000, 1001, 1002)) and got[1003] >= 0.5
+
+
+def test_stretches_that_are_left_out_could_not_reach_the_score(monkeypatch):
+    monkeypatch.setattr(decontam, "GATHERED", 64)
+    rng, params = random.Random(8), decontam.DecontamParams()
+    items = [(i, np.array([rng.randint(1, 30) for _ in range(12)], np.uint64)) for i in range(8)]
+    rows = [np.array([w for _ in range(6) for w in (items[rng.randrange(8)][1][rng.randrange(6):rng.randrange(6, 13)].tolist() + [rng.randint(1, 40)])], np.uint64) for _ in range(40)]
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    seeds = decontam.Seeds(items, *decontam.item_grams(items, 3))
+    found = decontam.find(np.concatenate(rows), bounds, seeds, params)
+    monkeypatch.setattr(decontam.Seeds, "shared_words", lambda self, words, item, low, high: self.size_of[item])
+    assert found == decontam.find(np.concatenate(rows), bounds, seeds, params) and sum(map(len, found)) > 10
+
+
 # --- secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

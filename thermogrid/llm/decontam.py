@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare word n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: word n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits (any non-ASCII byte counts as a letter), A-Z as a-z. A first pass over all texts counts how often each
-benchmark n-gram occurs; an item's seeds are its n-grams rarer than a share of the corpus words, and in any case its
-``least_seeds`` rarest ones, so an item that leaked into many texts keeps seeds. A second pass looks up every n-gram
-of every text among the seeds; each hit names a stretch of the text on its diagonal, touching stretches are joined, and
-local alignment of the item with the stretch, over words, gives a score from 0 to 1 (1: the whole item, word by word). Substituted,
+Words are runs of letters and digits (any non-ASCII byte counts as a letter), A-Z as a-z. Every n-gram of an item is a seed, however
+frequent it is, so that what is found in a text doesn't depend on how often the item or parts of it occur in others. Every
+n-gram of every text is looked up among the seeds; each hit names a stretch of the text on its diagonal, and touching stretches are joined.
+A stretch with fewer words of the item than ``least_score`` needs can't reach it and is left out; hits of everyday n-grams end here.
+Local alignment of the item with the others, over words, gives a score from 0 to 1 (1: the whole item, word by word). Substituted,
 inserted and missing words only lower it. A pair is reported from ``least_score`` on.
 
 The benchmark is taken in blocks of ``block_items`` items, and only a block's n-grams are broadcast, so their size has a
-bound however large the benchmark grows. Both passes are map-only; what is shuffled are counts of benchmark n-grams.
+bound however large the benchmark grows. A block is one map-only pass over the texts; nothing is shuffled.
 
 Defined results: null or empty texts and items match nothing; items of fewer words than ``n`` are one seed; repeated
 items and rows are each reported; null ids are kept as null; an empty table gives an empty result.
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import Table, row_counts, run_hashes, word_bounds, word_hashes
-from .support import fresh, pieces, record, ship, small_batches, text_buffers
+from .kernels import BASE, Table, mix, row_counts, run_hashes, word_bounds, word_hashes
+from .support import fresh, pieces, ship, small_batches, text_buffers
 
 HIT = T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
@@ -37,8 +37,6 @@ HIT = T.StructType([
 @dataclass(frozen=True)
 class DecontamParams:
     n: int = 3
-    rare_share: float = 1e-6  # of all corpus words
-    least_seeds: int = 16  # the rarest of an item stay seeds whatever their count
     least_score: float = 0.5
     match: float = 1.0
     mismatch: float = -0.5
@@ -47,6 +45,8 @@ class DecontamParams:
     block_items: int = 20_000
 
 
+GATHERED = 1 << 20  # words of stretches looked up at once
+
 def text_words(column) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts of a string array, and each text's bounds among them."""
     data, bounds = text_buffers(column)
@@ -84,6 +84,31 @@ class Seeds:
         self.keys, self.first, self.size = np.unique(grams[order], return_index=True, return_counts=True)
         self.table = Table(self.keys)
         self.short = min((len(w) for _, w in items), default=0)
+        self.size_of = np.array([len(w) for _, w in items], np.int64)
+        own = _words_of(np.concatenate([w for _, w in items]), np.repeat(np.arange(len(items)), self.size_of)) if items else np.zeros(0, np.uint64)
+        self.words = Table(np.unique(own))
+
+    def shared_words(self, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many words of each stretch are words of its item."""
+        out = np.zeros(len(item), np.int64)
+        sizes = high - low
+        total = np.cumsum(sizes)
+        first = 0
+        while first < len(item):
+            last = max(int(np.searchsorted(total, total[first] - sizes[first] + GATHERED, "right")), first + 1)
+            size = sizes[first:last]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(low[first:last], size)
+            known = self.words.find(_words_of(words[at], np.repeat(item[first:last], size))) >= 0
+            sums = np.concatenate([[0], np.cumsum(known)])
+            out[first:last] = sums[ends] - sums[ends - size]
+            first = last
+        return out
+
+
+def _words_of(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """One key for a word and an item."""
+    return mix(words + (item + 1).astype(np.uint64) * np.uint64(BASE))
 
 
 def item_grams(items: list[tuple[int, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +151,7 @@ def find(words: np.ndarray, bounds: np.ndarray, seeds: Seeds, params: DecontamPa
     if not hits:
         return out
     row, item, at, inner = np.concatenate(hits, axis=1)
-    size = np.array([len(w) for _, w in seeds.items])
+    size = seeds.size_of
     low = np.maximum(at - inner - params.slack, bounds[row])
     high = np.minimum(at - inner + size[item] + params.slack, bounds[row + 1])
     order = np.lexsort((low, item, row))
@@ -140,6 +165,9 @@ def find(words: np.ndarray, bounds: np.ndarray, seeds: Seeds, params: DecontamPa
     first = np.flatnonzero(group)
     row, item, low = row[first], item[first], low[first]
     high, count = np.maximum.reduceat(high, first), np.diff(np.append(first, len(group)))
+    # a score takes at most the stretch's words that the item has
+    able = params.match * seeds.shared_words(words, item, low, high) >= params.least_score * params.match * size[item]
+    row, item, low, high, count = row[able], item[able], low[able], high[able], count[able]
     best: dict[tuple[int, int], tuple] = {}
     for i in np.unique(item):
         mine = np.flatnonzero(item == i)
@@ -173,36 +201,6 @@ def _blocks(benchmark: DataFrame, text: str, item: str, params: DecontamParams):
         yield [(i, words[s:e]) for i, s, e in zip(got.column(0).to_pylist(), bounds[:-1], bounds[1:]) if e > s]
 
 
-def choose_seeds(docs: DataFrame, text: str, items: list[tuple[int, np.ndarray]], params: DecontamParams) -> tuple:
-    """Items with the grams that serve as seeds, by counts over all of ``docs``."""
-    spark = docs.sparkSession
-    grams, owner, at = item_grams(items, params.n)
-    known = spark.sparkContext.broadcast(np.unique(grams))
-    lengths = sorted({min(params.n, len(w)) for _, w in items})
-
-    def count(batches):
-        keys = known.value
-        table, total, words_seen = Table(keys), np.zeros(len(keys), np.int64), 0
-        for batch in pieces(batches):
-            words, bounds = text_words(batch.column(0))
-            words_seen += len(words)
-            for n in lengths:
-                place = table.find(text_grams(words, bounds, n)[0])
-                total += np.bincount(place[place >= 0], minlength=len(keys))
-        seen = np.flatnonzero(total)
-        yield record(pa.schema([("key", pa.int64()), ("n", pa.int64())]), np.append(keys[seen], np.uint64(0)).view(np.int64), np.append(total[seen], words_seen))
-
-    counts = docs.select(text).mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    times = dict(zip(counts["key"].to_numpy(np.int64).view(np.uint64).tolist(), counts["n"].tolist()))
-    corpus = times.pop(0, 0)
-    n = np.array([times.get(g, 0) for g in grams.tolist()], np.int64)
-    order = np.lexsort((at, n, owner))
-    rank = np.empty(len(n), np.int64)
-    rank[order] = np.arange(len(n)) - np.searchsorted(owner[order], owner[order])
-    keep = (rank < params.least_seeds) | (n <= params.rare_share * corpus)
-    return items, grams[keep], owner[keep], at[keep]
-
-
 def contaminate(docs: DataFrame, benchmark: DataFrame, hits: str = "hits", text: str = "text", item_text: str = "text", item_id: str = "item_id", params: DecontamParams = DecontamParams()) -> DataFrame:
     """``docs`` with an array of the benchmark items found in each text. No shuffle of texts."""
     spark = small_batches(docs.sparkSession)
@@ -211,7 +209,7 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, hits: str = "hits", text:
     for items in _blocks(benchmark, item_text, item_id, params):
         if not items:
             continue
-        shared = spark.sparkContext.broadcast(choose_seeds(docs, text, items, params))
+        shared = spark.sparkContext.broadcast((items, *item_grams(items, params.n)))
         name = fresh(out, "found")
         out = _scan(out, shared, out.columns.index(text), name, params)
         made.append(name)
