@@ -55,6 +55,32 @@ def test_links_and_components_match_brute_force(spark):
     assert nndescent.near_duplicates(df.limit(0), Store(spark)).count() == 0
 
 
+def isolated_pairs(n, size=64, cosine=0.905):
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    one, other = unit(rng.standard_normal((n, size))), rng.standard_normal((n, size))
+    other = unit(other - (other * one).sum(axis=1, keepdims=True) * one)
+    return one, cosine * one + np.sqrt(1 - cosine**2) * other
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>")
+
+
+def test_isolated_pairs_meet_however_many_vectors_there_are(spark):
+    df = vectors(spark, np.concatenate(isolated_pairs(2000)))
+    got = nndescent.near_duplicates(df, Store(spark), params=nndescent.DescentParams(run=4, rounds=0, attempts=1)).where("n_links = 1").count()
+    assert got >= 0.98 * 4000
+
+
+def test_a_large_group_does_not_hide_lost_pairs(spark):
+    one, other = isolated_pairs(300)
+    group = one[0] + 0.01 * np.random.default_rng(1).standard_normal((400, 64))
+    blind = nndescent.DescentParams(planes=1, run=20, rounds=1, attempts=1)
+    with pytest.raises(RuntimeError, match="audited recall"):
+        nndescent.near_duplicates(vectors(spark, np.concatenate([group, one[1:], other[1:]])), Store(spark), params=blind)
+
+
 # --- archives
 
 
