@@ -374,6 +374,17 @@ def test_scoring_bears_odd_rows_and_small_bounds(spark):
     assert unknown["score"] == pytest.approx(-len(EN) * math.log10(256)) and unknown["base_score"] == 0 and unknown["n_known"] == 0
 
 
+@pytest.mark.parametrize("order, bound", [(4, 40), (3, 200), (2, 30)])
+def test_scores_do_not_depend_on_the_bound_of_the_trie(spark, order, bound):
+    texts = [invented(i, 40) for i in range(20)] + [EN, DE, "", None, "Zürich " * 3, "a" * 300, "qqq zzz xyx", "ÿþ" * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    held = F.col("doc_id") % 3 == 1
+    small = ppm.PpmParams(order=order, max_entries=bound, block=64, flush=16)
+    got = {r["id"]: r["score"] for r in ppm.score(docs, held, Store(spark), params=small).collect()}
+    _, score = brute_ppm([t or "" for i, t in enumerate(texts) if i % 3 != 1], order)
+    assert got == pytest.approx({i: score(t or "") for i, t in enumerate(texts)}, abs=1e-9)
+
+
 # --- passages
 
 

@@ -7,8 +7,9 @@ after an escape, bytes of the longer context are excluded from the counts of the
 an exclusion leaves is a number for each context, computed once. Below order 0 the bytes never seen share evenly. Each
 step's probabilities sum to 1. A text starts in the context of ``order`` line feeds.
 
-The trie is broadcast, so it has a bound: ``max_entries`` for each order. Beyond it, contexts of the smallest totals are left
-out whole and their bytes coded by the next shorter context; counts themselves always cover all training rows.
+The trie is broadcast, so it has a bound: ``max_entries`` for each order, the contexts of smallest totals beyond it left out whole. What is broadcast
+is a head, not the model: bytes whose whole context it lacks are handed on, each text's distinct (context, byte) once, and scored from all counts in a
+shuffle by the last two bytes of the context. Scores don't depend on the bound.
 
 Word counts have no bound, so they aren't broadcast whole: the most frequent words, at most ``head_words``, are; the other
 words of each text are joined with their counts in a shuffle, where no key is frequent.
@@ -32,6 +33,7 @@ from .kernels import Table, row_counts, row_sums, word_bounds, word_hashes
 from .support import Store, pieces, record, ship, small_batches, text_buffers
 
 WORD, GRAM, ROWS = 0, 1, 2
+TAIL = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
 COUNT = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
 
 
@@ -127,8 +129,8 @@ def _least_kept(rows: DataFrame, total: str, entries: Column, bound: int) -> int
     return least
 
 
-def build_trie(counts: DataFrame, params: PpmParams) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order 0, 1, ...: keys (context and byte) and counts; contexts whole or not at all."""
+def build_trie(counts: DataFrame, params: PpmParams) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
+    """For each order 0, 1, ...: keys (context and byte) and counts, contexts whole or not at all; and whether all are there."""
     grams = counts.where(F.col("kind") == GRAM)
     levels, least = [], 1
     for order in range(params.order + 1):
@@ -144,7 +146,7 @@ def build_trie(counts: DataFrame, params: PpmParams) -> list[tuple[np.ndarray, n
         keys = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
         by = np.argsort(keys)
         levels.append((keys[by], got.column("n").to_numpy()[by].astype(np.float64)))
-    return levels
+    return levels, least <= 1
 
 
 class Trie:
@@ -214,15 +216,73 @@ class Trie:
         return out
 
 
-def score_texts(column, trie: Trie, params: PpmParams) -> np.ndarray:
-    """log10 probability of each text of a string array."""
+def distinct_in_rows(owner: np.ndarray, value: np.ndarray, rows: int) -> pa.Array:
+    """Each row's distinct values, with how often it has them."""
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(value)))
+    return pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(owner[at], np.arange(rows + 1)), pa.int32()),
+        pa.StructArray.from_arrays([pa.array(value[at].view(np.int64)), pa.array(times, pa.int64())], ["key", "n"])).cast(TAIL)
+
+
+def score_texts(column, trie: Trie, whole: bool, params: PpmParams) -> tuple[np.ndarray, pa.Array]:
+    """log10 probability of each text of a string array; without the bytes, given by text, whose context the trie lacks though training may have it."""
     data, bounds = text_buffers(column)
     out = np.zeros(len(bounds) - 1)
+    owners, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for first, keys in context_keys(data, bounds, params.order, params.block):
         logs = trie.score(keys)
+        if not whole:
+            far = np.flatnonzero(trie.contexts[trie.order].find(keys >> np.uint64(8)) < 0)
+            logs[far] = 0
+            owners.append(np.searchsorted(bounds, far + first, "right") - 1)
+            values.append(keys[far])
         cuts = np.clip(bounds - first, 0, len(keys))
         out += row_sums(logs, cuts)
-    return out
+    return out, distinct_in_rows(np.concatenate(owners), np.concatenate(values), len(out))
+
+
+def score_keys(counts: DataFrame, asked: DataFrame, shared, params: PpmParams) -> DataFrame:
+    """``(key, log)`` of each distinct ``asked(key)`` from all counts. Keys and counts that share the last two bytes of the context meet, as all contexts of
+    order 2 and more that a key may be coded in do; those of orders 0 and 1 are whole in the broadcast trie."""
+    part = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("part")
+    both = counts.where(F.col("kind") == GRAM).select(part, "key", "n").unionByName(asked.select("key").distinct().select(part, "key", F.lit(0).cast("long").alias("n")))
+    n = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    schema = pa.schema([("key", pa.int64()), ("log", pa.float64())])
+
+    def answer(keys, n):
+        grams, wanted = (keys[n > 0], n[n > 0].astype(np.float64)), keys[n == 0]
+        if not len(wanted):
+            return
+        levels = list(shared.value[0][:2])
+        for order in range(2, params.order + 1):
+            own, where = np.unique(grams[0] & np.uint64((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            levels.append((own, np.bincount(where, grams[1], len(own))))
+        trie = Trie(levels)
+        for s in range(0, len(wanted), 1 << 16):
+            some = wanted[s:s + (1 << 16)]
+            yield record(schema, some.view(np.int64), trie.score(some))
+
+    def run(batches):
+        """Parts follow one another; many small ones are answered at once."""
+        held, size = [], 0
+        for batch in batches:
+            parts, keys, n = (c.to_numpy() for c in batch.columns)
+            held.append((parts, keys.view(np.uint64), n))
+            size += len(keys)
+            if size >= params.flush:
+                parts, keys, n = (np.concatenate(c) for c in zip(*held))
+                end = int(np.searchsorted(parts, parts[-1]))  # the last part may go on
+                yield from answer(keys[:end], n[:end])
+                held, size = [(parts[end:], keys[end:], n[end:])], 0
+        if held:
+            yield from answer(*[np.concatenate(c) for c in zip(*held)][1:])
+
+    return both.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "key bigint, log double")
 
 
 def score(docs: DataFrame, held_out: Column, store: Store, id_col: str = "doc_id", text: str = "text", params: PpmParams = PpmParams()) -> DataFrame:
@@ -238,15 +298,15 @@ def score(docs: DataFrame, held_out: Column, store: Store, id_col: str = "doc_id
     distinct = sizes.get(WORD, (0, 0))[1] + (ends > 0)
     least = _least_kept(words, "n", F.lit(1), params.head_words)
     head = words.where(F.col("n") >= least).select("key", "n").toArrow()
+    levels, whole = build_trie(counts, params)
     shared = spark.sparkContext.broadcast((
-        build_trie(counts, params), head.column("key").to_numpy().astype(np.int64).view(np.uint64), np.log10(head.column("n").to_numpy() + 1.0)))
-    tail = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
+        levels, head.column("key").to_numpy().astype(np.int64).view(np.uint64), np.log10(head.column("n").to_numpy() + 1.0)))
 
     def run(batches):
         tables = shared.value
         levels, keys, logs = tables
         trie, known = Trie(levels), Table(keys)
-        schema = pa.schema([("row", pa.int64()), ("id", batch_type[0]), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", tail)])
+        schema = pa.schema([("row", pa.int64()), ("id", batch_type[0]), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", TAIL), ("far", TAIL)])
         for batch in pieces(batches, 3):
             data, bounds = text_buffers(batch.column(3))
             starts, ends_ = word_bounds(data, bounds)
@@ -258,31 +318,28 @@ def score(docs: DataFrame, held_out: Column, store: Store, id_col: str = "doc_id
             logsum[hit] = logs[place[hit]]
             # the other words of each text, each once
             far = np.flatnonzero(~hit)
-            owner = np.searchsorted(cuts, far, "right") - 1
-            order = np.lexsort((hashes[far], owner))
-            owner, value = owner[order], hashes[far][order]
-            new = np.ones(len(value), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(value)))
-            tails = pa.ListArray.from_arrays(
-                pa.array(np.searchsorted(owner[at], np.arange(batch.num_rows + 1)), pa.int32()),
-                pa.StructArray.from_arrays([pa.array(value[at].view(np.int64)), pa.array(times, pa.int64())], ["key", "n"]))
+            tails = distinct_in_rows(np.searchsorted(cuts, far, "right") - 1, hashes[far], batch.num_rows)
+            scores, grams = score_texts(batch.column(3), trie, whole, params)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(cuts) + 1, pa.int64()), pa.array(row_sums(hit, cuts), pa.int64()),
-                pa.array(row_sums(logsum, cuts)), pa.array(score_texts(batch.column(3), trie, params)), tails.cast(tail)], names=schema.names)
+                pa.array(row_sums(logsum, cuts)), pa.array(scores), tails, grams], names=schema.names)
 
     kind = rows.schema["id"].dataType
     batch_type = [pa.int64() if isinstance(kind, T.LongType) else pa.string()]
     made = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("held", T.BooleanType())]).simpleString()[7:-1].replace(":", " ")
     main = store.put(rows.select(F.monotonically_increasing_id().alias("row"), "id", "held", "text").mapInArrow(
-        run, f"{made}, n_tokens bigint, n_known bigint, base double, score double, tail array<struct<key:bigint,n:bigint>>"))
+        run, f"{made}, n_tokens bigint, n_known bigint, base double, score double, tail array<struct<key:bigint,n:bigint>>, far array<struct<key:bigint,n:bigint>>"))
     rare = main.select("row", F.explode("tail").alias("word")).select("row", "word.key", F.col("word.n").alias("times"))
     met = rare.join(words.where(F.col("n") < least).select("key", "n"), "key").groupBy("row").agg(
         F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     end = F.lit(float(np.log10(ends + 1.0)))
-    return main.drop("tail").join(met, "row", "left").select(
+    out = main.drop("tail", "far").join(met, "row", "left")
+    if not whole:
+        asked = main.select("row", F.explode("far").alias("gram")).select("row", "gram.key", F.col("gram.n").alias("times"))
+        logs = asked.join(store.put(score_keys(counts, asked, shared, params)), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("far"))
+        out = out.join(logs, "row", "left").withColumn("score", F.col("score") + F.coalesce("far", F.lit(0.0)))
+    return out.select(
         "id", F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + zero("more_known") + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + zero("more") + end - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1.0)))).alias("base_score"), "score")
