@@ -172,6 +172,14 @@ def test_conversations_read_back_as_they_were(spark):
     assert [r["conv_id"] for r in chat.report(df.limit(0), Store(spark)).collect()] == [-7]
 
 
+def test_the_report_ranks_branches_and_keeps_every_turn(spark, monkeypatch):
+    asked, rank = [], chat.rank_branches
+    monkeypatch.setattr(chat, "rank_branches", lambda rows, messages, params: asked.append(params.branches) or rank(rows, messages, params))
+    df = spark.createDataFrame([(c, t, "user", f"{c} {t}") for c in range(1, 6) for t in range(c)], "conv_id bigint, turn bigint, role string, text string")
+    got = {r["conv_id"]: r["n_turns"] for r in chat.report(df, Store(spark)).collect()}
+    assert asked == [1] and got == {-7: 2} | {c: c for c in range(1, 6)}
+
+
 def test_loss_spans_cover_assistants_texts(spark):
     rows = spark.createDataFrame([(1, t, "assistant" if t % 2 else "user", f"<|é{t}|>") for t in range(7)], "conv_id bigint, turn bigint, role string, text string")
     messages = chat.linear(rows)

@@ -121,7 +121,7 @@ def report(conversations: DataFrame, store: Store) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(own)
     messages = store.put(linear(rows))
-    formatted = store.put(format_trees(messages, store))
+    formatted = store.put(format_trees(messages, store, ChatParams(branches=1)))  # a linear conversation has one branch, so all of it stays
     back = formatted.select("tree", "formatted", read_turns(F.col("formatted")).alias("turns"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")
