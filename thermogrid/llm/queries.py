@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thermogrid.session import scratch_path
 
-from . import bpe, chat, decontam, lang_id, nndescent, passages, ppm, secret_scan, simhash, warc
+from . import bpe, chat, decontam, lang_id, merkle, nndescent, passages, ppm, secret_scan, simhash, spelling, url_filter, warc
 from .support import Store
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -74,6 +74,32 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+#: The rules that the query's contract names.
+URL_RULES = tuple(url_filter.Rule(*r) for r in (
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")))
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, Store(spark))
+
+
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = F.when(tampered, merkle.leaf_hash(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in LEAF]))
+    out = merkle.manifest(docs, LEAF, "lang", "doc_id", Store(spark), found)
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark)
+    words = store.put(spelling.words_of(table(spark, sf_dir, "documents")))
+    return spelling.variants(words, store).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_ppm": op1_ppm,
     "op2_nndescent": op2_nndescent,
@@ -85,6 +111,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_passages": op9_passages,
     "op10_language": op10_language,
+    "op11_urls": op11_urls,
+    "op12_merkle": op12_merkle,
+    "op13_spelling": op13_spelling,
 }
 
 SQL: dict[str, str] = {}
