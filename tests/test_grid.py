@@ -116,6 +116,36 @@ def test_position_equals_row_number_with_a_hot_hour(spark, unit):
     assert (want.groupby("series_id").id.transform("size") == want.n).all()
 
 
+@pytest.mark.parametrize("bound", [50, 7])
+def test_position_where_a_third_of_all_rows_lies_at_one_instant(spark, bound):
+    rng = random.Random(2)
+    rows = [("hot", START, i % 40, i) for i in range(400)]  # ties in the tie-break too
+    rows += [("hot", START + timedelta(seconds=rng.randint(-50, 50)), i, i) for i in range(200)]
+    rows += [(k, START + timedelta(minutes=rng.randint(0, 90)), i, i) for i, k in enumerate("abc" * 150)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp, id int, own int").repartition(6)
+    placed = with_position(df, ["id"], 60, "pos", "n", unit_rows=bound)
+    got = placed.toPandas()
+    assert sorted(got.columns) == sorted([*df.columns, "pos", "n"]) and len(got) == len(rows) and sorted(got.own) == sorted(r[3] for r in rows)
+    want = got.sort_values(["series_id", "pos"])
+    assert (want.groupby("series_id").cumcount() == want.pos).all()
+    ordered = want[["series_id", "ts", "id"]].apply(tuple, axis=1).tolist()
+    assert ordered == sorted(ordered)
+    assert (want.groupby("series_id").id.transform("size") == want.n).all()
+
+
+def test_cut_units_spread_one_instant_over_tasks(spark):
+    from thermogrid.operators.chunks import _cut_units
+
+    df = spark.range(40_000).selectExpr("'a' as series_id", "timestamp'2024-01-01' as ts", "cast(0 as bigint) as _unit", "id % 3 as id").repartition(8)
+    cut = _cut_units(df, ["id"])
+    assert sorted(r["_nth"] for r in cut.select("_nth").collect()) == list(range(40_000))
+    sizes = [r["n"] for r in cut.groupBy(F.floor(F.col("_nth") / 10_000).alias("quarter")).agg(F.count("*").alias("n")).collect()]
+    assert sizes == [10_000] * 4
+    parts = [f for f in cut.inputFiles() if f.endswith(".parquet")]
+    assert len(parts) >= 4  # the sampled ranges cut the instant
+
+
 def test_rows_are_exchanged_once_without_a_join(series):
     out = grid.reindex_and_fill(grid.bucket_mean(series([float(i) for i in range(60)], skip=range(10, 20))), chunk_hours=24)
     out.collect()

@@ -111,6 +111,31 @@ def test_replay_equals_stepping(spark, policy):
         assert [out[key, i] for i in range(1, len(values) + 1)] == pytest.approx([lr for lr, _ in walk(policy, values)], abs=1e-9)
 
 
+def shapes(rng, n=700):
+    """Metrics that fall steadily, stand still, jump about, and fall in steps; a run of one step."""
+    falling = [100.0 / (i + 1) + rng.uniform(0, 0.3) for i in range(n)]
+    return {"falling": falling, "noise": [rng.uniform(0, 2) for _ in range(n)], "flat": [1.0] * n, "short": [1.0],
+            "stairs": [10.0 - i // 90 + rng.uniform(0, 0.5) for i in range(n)], "gaps": [N if rng.random() < 0.3 else rng.gauss(5 - i / n, 1) for i in range(n)]}
+
+
+@pytest.mark.parametrize("policy", [
+    RatePolicy(patience=2, min_lr=0.01, initial_lr=0.1, restart_patience=3, cooldown=1), RatePolicy(patience=40, factor=0.3, initial_lr=0.1, restart_patience=0),
+    RatePolicy(policy="exponential_plateau", patience=5, initial_lr=0.1, restart_patience=7, mode="max"), RatePolicy(policy="step_plateau", patience=300, factor=0.3, initial_lr=0.1, restart_patience=400),
+])
+@pytest.mark.parametrize("rounds,head", [(5, 8), (0, 8), (1, 2)])
+def test_blocks_walked_side_by_side_equal_one_walk(spark, policy, rounds, head):
+    metrics = shapes(random.Random(11))
+    out = {}
+    for r in rate_policy.replay(runs(spark, metrics), policy, block_steps=60, rounds=rounds, head=head).collect():
+        out[r.run_id, r.step] = (r.metric, r.lr, r.best, r.stale, r.resting, r.decays, r.event)
+    assert len(out) == sum(map(len, metrics.values()))
+    for key, values in metrics.items():
+        state = start(policy)
+        for i, m in enumerate(values, 1):
+            state = advance(policy, state, m, i)
+            assert out[key, i] == (m, state.lr, state.best, state.stale, state.resting, state.decays, state.event), (key, i)
+
+
 def test_best_over_runs(spark):
     df = spark.createDataFrame([("a", 0.0), ("b", 0.7), ("c", 0.4), ("d", N)], "model string, best_val_mae double")
     assert tuple(history.best_over_runs(df).first()) == (4, 0.4, "c")

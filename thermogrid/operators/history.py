@@ -6,7 +6,7 @@ steps with carried summaries, so a run with very many steps does not end up in o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN = "run_id"
@@ -18,19 +18,12 @@ OVERFIT_MIN_STEPS = 6
 OVERFIT_RATIO = 1.25
 
 
-def _with_carry(history: DataFrame, block_steps: int, carried: dict[str, Column]) -> DataFrame:
-    """Add per-row block number and, for each name, an aggregate over all earlier blocks of the run.
+def _blocked(history: DataFrame, block_steps: int) -> DataFrame:
+    return history.withColumn("_block", F.floor(F.col(STEP) / block_steps))
 
-    ``carried`` maps a name to an aggregate (over a block) that is a minimum, so that the minimum of the
-    block values is the value for all of them.
-    """
-    blocked = history.withColumn("_block", F.floor(F.col(STEP) / block_steps))
-    blocks = blocked.groupBy(RUN, "_block").agg(*[c.alias(f"_in_{n}") for n, c in carried.items()])
-    earlier = Window.partitionBy(RUN).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    summary = blocks.select(
-        RUN, "_block", *[F.min(f"_in_{n}").over(earlier).alias(f"_past_{n}") for n in carried]
-    )
-    return blocked.join(summary, [RUN, "_block"])
+
+def _earlier() -> Window:
+    return Window.partitionBy(RUN).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _inside() -> Window:
@@ -38,14 +31,28 @@ def _inside() -> Window:
 
 
 def running_best(history: DataFrame, metric: str = "val_mae", block_steps: int = BLOCK_STEPS) -> DataFrame:
-    """Best metric so far, whether the step improved on it strictly, and the step of the best."""
-    key = F.when(F.col(metric).isNotNull(), F.struct(F.col(metric).alias("m"), F.col(STEP).alias("s")))
-    carried = _with_carry(history.withColumn("_key", key), block_steps, {"best": F.min("_key")})
+    """Best metric so far, whether the step improved on it strictly, and the step of the best.
+
+    A prefix scan in two levels on plain numbers: a step is a block's candidate if its metric is below all before it in the block.
+    The least metric and the last candidate of each block (its best) are hash aggregates, and carried over the blocks; a block whose best is below
+    all earlier ones hands on that step.
+    """
+    before = _inside().rowsBetween(Window.unboundedPreceding, -1)
     to_here = _inside().rowsBetween(Window.unboundedPreceding, 0)
-    best = F.least(F.min("_key").over(to_here), F.col("_past_best"))
-    return carried.withColumn("_best", best).select(
-        RUN, STEP, metric, F.col("_best.m").alias("best_so_far"), F.col("_best.s").alias("best_step"),
-        (F.col("_best.s") == F.col(STEP)).alias("improved"),
+    low = F.min(metric).over(before)
+    candidate = F.col(metric).isNotNull() & (low.isNull() | (F.col(metric) < low))
+    rows = _blocked(history, block_steps).select(RUN, STEP, metric, "_block", F.when(candidate, F.col(STEP)).alias("_candidate"))
+    blocks = rows.groupBy(RUN, "_block").agg(F.min(metric).alias("_low"), F.max("_candidate").alias("_at"))
+    past = F.min("_low").over(_earlier())
+    led = blocks.select(RUN, "_block", "_low", past.alias("_past"), F.when(past.isNull() | (F.col("_low") < past), F.col("_at")).alias("_lead"))
+    carry = led.select(RUN, "_block", "_past", F.max("_lead").over(_earlier()).alias("_past_at"))
+    joined = rows.join(carry, [RUN, "_block"])
+    ahead = F.col("_candidate").isNotNull() & (F.col("_past").isNull() | (F.col(metric) < F.col("_past")))
+    marked = joined.withColumn("_improved", F.when(ahead, F.col(STEP)))
+    best_step = F.coalesce(F.max("_improved").over(to_here), F.col("_past_at"))
+    best = F.least(F.min(metric).over(to_here), F.col("_past"))
+    return marked.withColumns({"best_so_far": best, "best_step": best_step}).select(
+        RUN, STEP, metric, "best_so_far", "best_step", (F.col("best_step") == F.col(STEP)).alias("improved")
     )
 
 
@@ -53,15 +60,17 @@ def overfit_flags(
     history: DataFrame, val_loss: str = "val_loss", train_loss: str = "train_loss", block_steps: int = BLOCK_STEPS
 ) -> DataFrame:
     """Steps at which validation loss has risen well above its minimum while training loss has fallen."""
-    first = F.min(F.struct(F.col(STEP).alias("s"), F.col(train_loss).alias("v")))
-    carried = _with_carry(history, block_steps, {"low": F.min(val_loss), "first": first, "start": F.min(STEP)})
+    rows = _blocked(history, block_steps).select(RUN, STEP, val_loss, train_loss, "_block")
+    blocks = rows.groupBy(RUN, "_block").agg(
+        F.min(val_loss).alias("_low"), F.min(STEP).alias("_start"), F.min_by(train_loss, STEP).alias("_opening"))
+    whole = Window.partitionBy(RUN).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carry = blocks.select(
+        RUN, "_block", F.min("_low").over(_earlier()).alias("_past_low"), F.first("_start").over(whole).alias("_start"), F.first("_opening").over(whole).alias("first_train_loss"))
     to_here = _inside().rowsBetween(Window.unboundedPreceding, 0)
-    opening = F.least(F.min(F.struct(F.col(STEP).alias("s"), F.col(train_loss).alias("v"))).over(to_here), F.col("_past_first"))
-    flagged = carried.select(
+    flagged = rows.join(carry, [RUN, "_block"]).select(
         RUN, STEP, val_loss, train_loss,
         F.least(F.min(val_loss).over(to_here), F.col("_past_low")).alias("lowest_val_loss"),
-        opening["v"].alias("first_train_loss"),
-        (F.col(STEP) - F.least(F.min(STEP).over(to_here), F.col("_past_start")) + 1).alias("steps_done"),
+        "first_train_loss", (F.col(STEP) - F.col("_start") + 1).alias("steps_done"),
     )
     overfit = (
         (F.col("steps_done") >= OVERFIT_MIN_STEPS)
