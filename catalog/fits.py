@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from thermogrid.models.boosting import HistogramBoosting
 from thermogrid.models.linear import GradientRidge, Ridge
 from thermogrid.models.restartable import RestartableLinear
 from thermogrid.models.trees import BoostedTrees
@@ -212,6 +213,64 @@ SQL["boosted_stumps"] = chain(
 ) + f"SELECT {r('v', 'discount')}, " + ", ".join(r(f"max(p) FILTER (target = '{t}')", n) for t, n in _HATS.items()) + " FROM hat GROUP BY v"
 
 
+# --- one ensemble in stages -----------------------------------------------------------------------------
+
+#: Three stages of a tree of depth two; the rate is halved after the second, as no error gains what the policy asks for.
+STAGED = dict(horizons=(1,), max_iter=3, stage_trees=1, max_depth=2, max_bins=256, learning_rate=0.5, features=["quantity", "discount"],
+              policy=RatePolicy(monitor="val_mae", patience=1, min_delta=1e9, factor=0.5, min_lr=1e-5))
+STAGE_RATES = (0.5, 0.5, 0.25)
+
+
+def _staged(spark, sf):
+    rows = _priced(spark, sf)
+    return rows, HistogramBoosting(**STAGED).fit(rows.where("not held"), rows.where("held"))
+
+
+@query
+def boosted_margin(spark, sf):
+    """The forecast of the whole ensemble at every pair of values of the features."""
+    rows, model = _staged(spark, sf)
+    return model.predict(rows.select("quantity", "discount").distinct()).select(
+        "quantity", "discount", F.col("pred_trees.yhat")[0].alias("y"), *[F.col(f"pred_trees.{s}").alias(s) for s in ("tmax", "tmin", "tavg")])
+
+
+@query
+def boosted_stages(spark, sf):
+    """Trees, held-out error and rate of each stage."""
+    return spark.createDataFrame(_staged(spark, sf)[1].history, "stage long, trees_fitted long, val_mae double, learning_rate double")
+
+
+def _grown(source, out, depth, rate, least=20):
+    """CTEs of one tree on what ``source`` (target, q, d, n, s, p) leaves over in its cells; ``out`` is the same with the tree taken off."""
+    steps, at = [f"{out}_0 AS (SELECT *, 0 AS node FROM {source})"], f"{out}_0"
+    for level in range(depth):
+        sides = " UNION ALL ".join(f"""SELECT target, node, '{f}' AS f, {f} AS v, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER a AS nt, sum(s) OVER a AS st
+          FROM (SELECT target, node, {f}, sum(n) AS n, sum(s) AS s FROM {at} GROUP BY target, node, {f} HAVING sum(n) > 0)
+          WINDOW w AS (PARTITION BY target, node ORDER BY {f}), a AS (PARTITION BY target, node)""" for f in "qd")
+        steps += [f"{out}_s{level} AS ({sides})",
+                  f"""{out}_b{level} AS (SELECT target, node, arg_max({{'f': f, 'v': v}}, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl)) AS b
+                    FROM {out}_s{level} WHERE nl >= {least} AND nt - nl >= {least} GROUP BY target, node)""",
+                  f"""{out}_{level + 1} AS (SELECT x.* EXCLUDE (node), 2 * node + CASE WHEN CASE WHEN b.f = 'q' THEN q ELSE d END > b.v THEN 2 ELSE 1 END AS node
+                    FROM {at} AS x JOIN {out}_b{level} USING (target, node))"""]
+        at = f"{out}_{level + 1}"
+    leaf = "sum(s) OVER l / sum(n) OVER l"
+    return [*steps, f"""{out} AS (SELECT target, q, d, n, s - {rate} * n * m AS s, p + {rate} * m AS p
+      FROM (SELECT *, {leaf} AS m FROM {at} WINDOW l AS (PARTITION BY target, node)))"""]
+
+
+_ENSEMBLE = [PRICED, "cells AS (" + " UNION ALL ".join(
+    f"""SELECT '{t}' AS target, quantity AS q, discount AS d, count(*) FILTER (NOT held) AS n, coalesce(sum({t}) FILTER (NOT held), 0) AS s
+    FROM priced GROUP BY quantity, discount""" for t in TARGETS) + ")",
+    "tree0 AS (SELECT target, q, d, n, s - n * m AS s, m AS p FROM (SELECT *, sum(s) OVER (PARTITION BY target) / sum(n) OVER (PARTITION BY target) AS m FROM cells))"]
+for _k, _rate in enumerate(STAGE_RATES):
+    _ENSEMBLE += _grown(f"tree{_k}", f"tree{_k + 1}", STAGED["max_depth"], _rate)
+SQL["boosted_margin"] = chain(*_ENSEMBLE) + f"SELECT {r('q', 'quantity')}, {r('d', 'discount')}, " + ", ".join(
+    r(f"max(p) FILTER (target = '{t}')", n) for t, n in _HATS.items()) + f" FROM tree{len(STAGE_RATES)} GROUP BY q, d"
+SQL["boosted_stages"] = chain(*_ENSEMBLE) + " UNION ALL ".join(
+    f"""SELECT CAST({k} AS BIGINT) AS stage, CAST({k} AS BIGINT) AS trees_fitted, {r('avg(abs(y - p))', 'val_mae')}, {r(str(_rate), 'learning_rate')}
+    FROM priced JOIN tree{k} ON quantity = q AND discount = d WHERE held AND target = 'y'""" for k, _rate in enumerate(STAGE_RATES, 1))
+
+
 # --- scaling, histories and run folders -----------------------------------------------------------------
 
 

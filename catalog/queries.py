@@ -15,7 +15,7 @@ from thermogrid.models.base import score
 from thermogrid.models.baselines import Climatology, Persistence
 from thermogrid.models.linear import GradientRidge, Ridge
 from thermogrid.models.restartable import LastStepLinear, RestartableLinear, last_step_rows
-from thermogrid.models.trees import BoostedTrees
+from thermogrid.models.boosting import HistogramBoosting
 from thermogrid.operators import chunks, clean, evaluate, features, grid, hist2d, history, profile, rate_policy, sliding, split
 from thermogrid.plans.prepare import station_subset as station_subset_of
 from thermogrid.schema import HORIZON, KEY, SUMMARY_TARGETS, TS, feature_names, target_names
@@ -649,7 +649,7 @@ def restartable_fit(spark, sf):
 @query
 def boosted_trees(spark, sf):
     train, val, test = _split_rows(spark, sf)
-    return _scored(BoostedTrees(max_iter=2, max_depth=3).fit(train, val), test)
+    return _scored(HistogramBoosting().fit(train, val), test)
 
 
 @query

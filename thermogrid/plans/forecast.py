@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 
 from ..models.base import ForecastModel, score
 from ..models.baselines import Climatology, Persistence
+from ..models.boosting import HistogramBoosting
 from ..models.linear import GradientRidge, LinearBase, Ridge
 from ..models.restartable import RestartableLinear
-from ..models.trees import BoostedTrees
 from ..operators.evaluate import evaluate, evaluation_export, leaderboard, long_predictions, metrics_report
 from ..operators.features import feature_matrix
 from ..operators.profile import split_profile, split_report
@@ -71,9 +71,9 @@ def fit_models(series: DataFrame, rows: DataFrame, params: JobParams, outputs: s
             fitted.append(model.fit(train, val, run_path=path, reset=mode == "reset"))
         elif name == "trees":
             if path and mode == "resume" and exists(spark, path):
-                fitted.append(BoostedTrees.load(path))
+                fitted.append(HistogramBoosting.load(path))
                 continue
-            model = BoostedTrees(params.tree_horizons, params.tree_iterations, policy=params.policy, **rate).fit(train, val)
+            model = HistogramBoosting(params.tree_horizons, params.tree_iterations, policy=params.policy, **rate).fit(train, val)
             if path:
                 model.save(path)
             fitted.append(model)

@@ -70,7 +70,16 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._thermogrid_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of :func:`materialise` whose readers have all run."""
+    path = getattr(df, "_thermogrid_path", None)
+    if path:
+        delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
