@@ -98,6 +98,24 @@ def test_station_columns_go_by_their_names(spark, tmp_path):
     assert audit == {"station_1": (3, 2), "station_2": (1, 0), "station_3": (1, 0)}
 
 
+def test_jobs_do_not_grow_with_the_files(spark, tmp_path):
+    names = list(readers.STATION_COLUMNS)
+    for i in range(60):
+        own = names[: 4 + i % 4] if i % 2 else names[::-1]
+        lines = ["", ",".join(f'"{c}"' if i % 3 == 0 else c for c in own), *[",".join(f"{i}.{j}" for _ in own) for j in range(i % 5)], "   ", "1,2,3", ",".join(own) if i == 7 else ""]
+        (tmp_path / f"weather_{i}.csv").write_bytes("\r\n".join(lines).encode("latin-1"))
+    jobs = {}
+    for pattern in ("weather_1.csv", "weather_*.csv"):
+        spark.sparkContext.setJobGroup(pattern, pattern)
+        found = {r.station_id: (r.n_lines, r.n_bad) for r in readers.audit_station_files(spark, f"{tmp_path}/{pattern}").collect()}
+        jobs[pattern] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(pattern))
+    spark.sparkContext.setJobGroup(None, None)
+    assert found == {f"station_{i}": (i % 5 + 1, 1) for i in range(60)}
+    assert jobs["weather_*.csv"] <= jobs["weather_1.csv"] + 1
+    raw = readers.read_station_files(spark, f"{tmp_path}/weather_*.csv").collect()
+    assert len(raw) == sum(i % 5 for i in range(60)) and all(r[names[0]] is not None and (r[names[6]] is None) == (int(r.station_id[8:]) % 4 < 3 and int(r.station_id[8:]) % 2 == 1) for r in raw)
+
+
 def test_station_preparation_and_window_model(spark, tmp_path):
     rows = [f"{t:%Y-%m-%d %H:%M:%S},{i % 3},{10 + i % 24},{40 + i % 7},{1000 + i % 5},{(i * 37) % 360},{i % 4}" for i, t in enumerate(hours(200))]
     station_file(tmp_path / "weather_1.csv", rows)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +15,9 @@ from ..functions import (
     is_plain_number, null_if_nan, parse_celsius, parse_encoded, parse_timestamp, wind_components,
 )
 from ..operators.clean import clean_series, combine_sources
+from ..operators.scalars import attach
 from ..schema import CHUNK_HOURS, CLEANING_BOUNDS, FILL_LIMIT, KEY, MEASURES, TS, Bounds
-from ..session import use_utc
+from ..session import materialise, use_utc
 from .paths import exists, matching
 
 # Column names in the three kinds of observation files, first match wins.
@@ -161,33 +163,59 @@ def load_observations(
     return combine_sources(frames, bounds, limit, chunk_hours)
 
 
+_FIRST = pa.schema([("file", pa.string()), ("header", pa.string())])
+
+
+def _first_lines(lines: DataFrame) -> DataFrame:
+    """``(file, header)``: each file's first line that isn't blank. The part of a file that begins it is read by one task, in order."""
+    def run(batches):
+        last = None
+        for batch in batches:
+            out = []
+            for file, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if file != last:
+                    out.append((file, line))
+                    last = file
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], schema=_FIRST)
+
+    return lines.where("start = 0").select("file", "line").mapInArrow(run, "file string, header string")
+
+
 def _station_lines(spark: SparkSession, pattern: str) -> DataFrame:
     """All lines of the station files, each by the header of its own file, with ``bad_line`` set where the cells don't fit it.
 
-    Files are grouped by header line; a group is one read, by name, and columns that a group lacks are missing. Only first
-    lines are read to form the groups. Lines are parsed whole whatever columns are asked for, so every projection
-    has the same rows.
+    One distributed read finds the first line of every file; only the different headers reach the driver, which looks up the places of the
+    columns in them. A second read parses all lines, those of a file with its header's number of cells and places, in one
+    plan: jobs and plan don't grow with the files. Columns that a header lacks are missing, as are those that it has twice; lines equal to their
+    file's header are headers. Lines are parsed whole whatever columns are asked for, so every projection has the same rows.
     """
     use_utc(spark)
     text = T.StringType()
     wanted = [*STATION_COLUMNS, "station_id", "bad_line"]
-    groups: dict[tuple[str, ...], list[str]] = {}
-    paths = matching(spark, pattern)
-    with ThreadPoolExecutor(8) as pool:
-        for path, names in zip(paths, pool.map(lambda p: tuple(read_text_csv(spark, p, charset=STATION_CHARSET).columns), paths)):
-            groups.setdefault(names, []).append(path)
-    out = spark.createDataFrame([], T.StructType([T.StructField(c, text) for c in wanted]))
-    for names, files in groups.items():
-        schema = T.StructType([T.StructField(n, text) for n in (*names, "bad_line")])
-        lines = (
-            spark.read.schema(schema).option("header", True).option("encoding", STATION_CHARSET).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "bad_line").option("columnPruning", False).csv(files)
-        )
-        kept = [F.col(f"`{c}`") for c in STATION_COLUMNS if c in names]
-        # always true: the reader wants a cell to be asked for beside the line itself
-        bad = F.when(F.coalesce(F.length(F.col(f"`{names[0]}`")), F.lit(0)) >= 0, F.col("bad_line")).alias("bad_line") if names else F.lit(None).cast(text).alias("bad_line")
-        out = out.unionByName(lines.select(*kept, station_of(F.col("_metadata.file_name")).alias("station_id"), bad), allowMissingColumns=True)
-    return out
+    if not matching(spark, pattern):
+        return spark.createDataFrame([], T.StructType([T.StructField(c, text) for c in wanted]))
+    raw = spark.read.text(pattern).select(
+        F.decode(F.col("value").cast("binary"), STATION_CHARSET).alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start")).where("trim(line) <> ''")
+    firsts = materialise(_first_lines(raw))
+    headers = [r["header"] for r in firsts.select("header").distinct().collect()]
+    layouts = []
+    for header in headers:
+        names = next(csv.reader([header]))
+        layouts.append((header, len(names), [names.index(c) + 1 if names.count(c) == 1 else 0 for c in STATION_COLUMNS]))
+    layout = spark.createDataFrame(layouts, "header string, width int, places array<int>")
+    lines = attach(raw, firsts.join(layout, "header"), ["file"]).where("line <> header")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad_line"}
+    parsed = F.lit(None).cast("struct<cells:array<string>,bad_line:string>")
+    for width in sorted({w for _, w, _ in layouts}):
+        one = F.from_csv("line", ", ".join([*[f"c{i} string" for i in range(width)], "bad_line string"]), options)
+        lines = lines.withColumn(f"_w{width}", F.when(F.col("width") == width, one))
+        cells = F.struct(F.array(*[F.col(f"_w{width}.c{i}") for i in range(width)]).alias("cells"), F.col(f"_w{width}.bad_line").alias("bad_line"))
+        parsed = F.when(F.col("width") == width, cells).otherwise(parsed)
+    at = lambda i: F.when(F.col("places")[i] > 0, F.get(F.col("_p.cells"), F.col("places")[i] - 1))
+    return lines.withColumn("_p", parsed).select(
+        *[at(i).alias(c) for i, c in enumerate(STATION_COLUMNS)], station_of(F.col("name")).alias("station_id"), F.col("_p.bad_line").alias("bad_line"))
 
 
 def read_station_files(spark: SparkSession, pattern: str) -> DataFrame:
