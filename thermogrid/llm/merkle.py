@@ -268,7 +268,7 @@ def manifest(docs: DataFrame, columns: Sequence[str], group: str, order: str, st
     proved, subroots = grown(rows, ["key"], store, params, "key", "found")
     named = store.put(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("group"), F.col("top").alias("leaf")))
     upper, root = grown(named, ["group"], store, params, "group")
-    upper = store.put(upper.crossJoin(F.broadcast(root.select(F.col("top").alias("root")).limit(1))).select(
+    upper = store.put(upper.join(root.withColumnRenamed("top", "root"), "tree").select(
         F.col("group").alias("tree"), F.col("leaf").alias("subroot"), "root", F.col("at").alias("upper_at"), F.col("proof").alias("upper_proof")))
     whole = proved.join(upper, "tree").select("key", "leaf", "subroot", "root", "at", F.col("proof"), "upper_at", "upper_proof", "found")
     kind = pa.list_(pa.string())

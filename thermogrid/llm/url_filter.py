@@ -32,7 +32,6 @@ LINK = r"""(?i)<a\s[^<>]*?\bhref\s*=\s*["']?([^"'\s<>]+)"""
 TARGET = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 ALLOW, BLOCK = "allow", "block"
 TRUST, DISTRUST = 0, 1
-RANKS = "kind int, host string, seed double, shares int, rank double"
 
 
 @dataclass(frozen=True)
@@ -132,7 +131,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, store: Store, params: UrlParam
         sent = ranks.where("shares > 0 and rank > 0").select("kind", "host", "rank", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
         come = sent.join(flow, ["kind", "host", "share"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("rank") * F.col("weight")).alias("come"))
         rank = F.col("seed") * (1 - params.damping + params.damping * again) + params.damping * F.coalesce("come", F.lit(0.0))
-        after = store.put(ranks.withColumnRenamed("rank", "before").join(come, ["kind", "host"], "left").select("kind", "host", "seed", "shares", rank.alias("rank"), "before"))
+        after = store.put(ranks.select("kind", "host", "seed", "shares", F.col("rank").alias("before")).join(come, ["kind", "host"], "left").select("kind", "host", "seed", "shares", rank.alias("rank"), "before"))
         moved = max((r["moved"] for r in after.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("moved")).collect()), default=0.0)
         store.drop(ranks)
         ranks = after
