@@ -153,6 +153,29 @@ def test_all_paths_of_a_tree_ranked_and_formatted(spark):
     assert [text[s["start"]:s["end"]] for s in best[0]["loss_spans"]] == ["a", "d"]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 5])
+def test_cycles_end_and_lie_on_no_path(spark, size):
+    rows = [("c", i, (i + 1) % size, "user", "x", 0.0) for i in range(size)] + [("c", 100, 0, "user", "below", 0.0), ("c", 101, 100, "user", "leaf", 0.0)]
+    rows += [("c", 200 + i, 199 + i if i else None, "user", "good", 0.0) for i in range(11)] + [("t", i, i - 1 if i else None, "user", "long", 0.0) for i in range(40)]
+    found = chat.paths(spark.createDataFrame(rows + rows[:3], MESSAGES), Store(spark)).collect()
+    assert len(found) == 51 and {(r["tree"], r["leaf"]) for r in found} == {("c", 210), ("t", 39)}
+    assert {(r["node"], r["distance"]) for r in found if r["tree"] == "t"} == {(i, 39 - i) for i in range(40)}
+
+
+def test_the_loss_is_read_through_the_mask(spark):
+    rng = random.Random(5)
+    texts = ["\\<|ü" * rng.randint(0, 3000) + str(t) for t in range(9)]
+    rows = spark.createDataFrame([(1, t, "assistant" if t % 2 else "user", x) for t, x in enumerate(texts)], "conv_id bigint, turn bigint, role string, text string")
+    formatted = chat.format_trees(chat.linear(rows), Store(spark))
+    loss = lambda df: chat.digests(df).first()
+    whole = loss(formatted)
+    said = "".join(texts[1::2])
+    assert (whole["loss_chars"], whole["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    moved = loss(formatted.withColumn("loss_spans", F.expr("transform(loss_spans, s -> named_struct('start', s.start, 'end', s.end - 1))")))
+    assert moved["loss_sha256"] != whole["loss_sha256"] and moved["turns_sha256"] == whole["turns_sha256"] and moved["loss_chars"] == len(said) - 4
+    assert loss(formatted.withColumn("loss_spans", F.slice("loss_spans", 1, 0)))["loss_chars"] == 0
+
+
 def test_conversations_read_back_as_they_were(spark):
     rng = random.Random(2)
     bits = ["\\", "<|", "<|end|>\n", "<|turn|>", "<|text|>", "<", "|", "\n", "ü", "ok", "\\|", "<\\|"]

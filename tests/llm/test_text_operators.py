@@ -254,6 +254,47 @@ def test_base_spans_match_brute_force_and_models_add(spark):
     assert masked[7] == "key [SECRET] end" and masked[5] is None and masked[8] == texts[8] and hexes[0] not in masked[0] and "AKIAA" not in masked[1]
     assert masked[0].startswith('é password = "[SECRET]"')
     assert secret_scan.redact(odd_docs(spark), table).columns == odd_docs(spark).columns
+
+
+def test_masked_texts_hold_no_character_of_a_secret(spark):
+    """Prefixes, overlaps, repeats and neighbours of secrets, at places on both sides of a block's end."""
+    rng = random.Random(21)
+    draw = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    table = [0.0] * (secret_scan.CODES ** 2)
+    for a in range(48, 123):
+        for b in range(48, 123):
+            table[a * secret_scan.CODES + b] = 2.0  # every long run is random to this model
+    rows = []
+    for i in range(60):
+        one = draw(30)
+        secrets = [one, one + draw(14), one[:24], "AKIA" + "A1B2" * 6, "deadbeef" * 5, draw(12) + "deadbeef" * 4 + draw(9)]
+        text = "é" * rng.choice([0, 4000, 4060, 4090, 8150])
+        for s in rng.choices(secrets, k=12):
+            text += rng.choice([" plain ", "\n", " ü, ", " token: "]) + s
+        text += " token:token:abcdefgh end"
+        rows.append((i, text + " " + one, secrets))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(df, table).collect()}
+    spans = {r["doc_id"]: r for r in secret_scan.scan(df, table, touching=True).collect()}
+    for i, text, secrets in rows:
+        hidden = np.zeros(len(text), bool)
+        for s in [*spans[i]["base"], *spans[i]["random"]]:
+            low = s["start"] if s["kind"] else s["end"] - len(re.search(secret_scan.ASSIGN.replace("\\x20", " "), s["value"]).group(2))
+            hidden[low:s["end"]] = True
+        want, k = "", 0
+        while k < len(text):
+            if not hidden[k]:
+                want += text[k]
+                k += 1
+                continue
+            want += secret_scan.MASK
+            while k < len(text) and hidden[k]:
+                k += 1
+        got = masked[i].replace(secret_scan.MASK * 2, secret_scan.MASK)
+        assert got == want.replace(secret_scan.MASK * 2, secret_scan.MASK)
+        left = masked[i].replace(secret_scan.MASK, " ")
+        assert not any(s[k:k + 6] in left for s in secrets for k in range(len(s) - 5)), i
+        assert masked[i].count("token:token:abcdefgh end") == 1  # the short match uses up the second word, as for the spans
     assert secret_scan.report(empty_docs(spark), secret_scan.train(secret_scan.labelled_samples(empty_docs(spark)))).count() == 0
 
 

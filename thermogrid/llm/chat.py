@@ -3,14 +3,15 @@
 Messages ``(tree, node, parent, role, text, score)`` are nodes of reply trees; a node without parent, or whose parent isn't in its tree, is a
 root. Iterative self-joins enumerate the path from each leaf to its root: a round joins every path so far with the nodes' ancestors at twice the
 distance of the round before, so a path of n turns takes log2(n) rounds, and rows are never more than the paths' own. Branches are
-ranked by the sum of their scores; the best ``branches`` of a tree, or all, are formatted.
+ranked by the sum of their scores; the best ``branches`` of a tree, or all, are formatted. Nodes that lie on a cycle of parents, or below one, reach no
+root: their jumps never end, which a round that loses no node shows, and they lie on no path.
 
 Template: ``<|turn|>role<|text|>text<|end|>`` and a line feed for each turn. Inside roles and texts a backslash is doubled and a backslash is put
 between ``<`` and ``|``, so no control string can occur there, and reading removes exactly what writing put in. The loss mask covers assistants' texts.
 
 DataFrame functions only. A conversation is one value in the end, so its turns meet in one task; only ids take part in the
-iteration. Defined results: null role or text counts as empty, null score as 0; turns of equal number come by role, then text; nodes on
-a cycle lie on no path; null conversation ids are one conversation of null id; an empty table gives an empty result.
+iteration. Defined results: null role or text counts as empty, null score as 0; turns of equal number come by role, then text; of messages with the
+same number in a tree the least parent counts, and each is a turn; null conversation ids are one conversation of null id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .support import Store
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 LOSS_ROLE = "assistant"
+BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -40,30 +42,45 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\|])", "$1")
 
 
+def _jumps(up: DataFrame, store: Store, rounds: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Each node's ancestor at distance 1, 2, 4, ... of ``up(tree, node, above)``, and the nodes that have one at any distance: those on a cycle or below one.
+
+    A round that leaves as many nodes as it found has left out the last one that reaches a root, as depths have no gaps.
+    """
+    steps, left = [up], up.count()
+    for _ in range(rounds):
+        if not left:
+            return steps[:-1], None
+        last = steps[-1]
+        onward = last.select("tree", "node", F.col("above").alias("middle")).join(
+            last.select("tree", F.col("node").alias("middle"), "above"), ["tree", "middle"]).select("tree", "node", "above")
+        onward = store.put(onward)
+        now = onward.count()
+        if now == left:
+            return steps, onward.select("tree", "node")
+        steps, left = [*steps, onward], now
+    raise RuntimeError(f"a path is longer than {rounds} doublings reach")
+
+
 def paths(messages: DataFrame, store: Store, params: ChatParams = ChatParams()) -> DataFrame:
     """``(tree, leaf, node, distance)`` for every node on every root-to-leaf path; distance counts from the leaf."""
-    ids = store.put(messages.select("tree", "node", "parent"))
+    ids = store.put(messages.groupBy("tree", "node").agg(F.min("parent").alias("parent")))
     real = ids.select("tree", F.col("node").alias("parent"))
     up = store.put(ids.where("parent is not null").join(real, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("above")))
+    steps, endless = _jumps(up, store, params.rounds)
     leaves = ids.join(up.select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    if endless is not None:
+        leaves = leaves.join(endless, ["tree", "node"], "left_anti")
     found = store.put(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance")))
-    steps, step = up, 1
-    for _ in range(params.rounds):
-        if steps.isEmpty():
-            return found
-        further = found.join(steps, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("distance") + step).alias("distance"))
+    for k, step in enumerate(steps):
+        # of leaves that reach a root, every ancestor does
+        further = found.join(step, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))
         longer = store.put(found.unionByName(further))
-        onward = steps.select("tree", "node", F.col("above").alias("middle")).join(
-            steps.select("tree", F.col("node").alias("middle"), "above"), ["tree", "middle"]).select("tree", "node", "above")
-        onward = store.put(onward.where("node <> above"))
         store.drop(found)
-        if steps is not up:
-            store.drop(steps)
-        found, steps, step = longer, onward, step * 2
-        if step > 1 and steps.isEmpty():
-            break
-    ended = found.join(up.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "leaf").distinct()
-    return found.join(ended, ["tree", "leaf"], "left_semi")
+        if k:
+            store.drop(step)
+        found = longer
+    return found
 
 
 def rank_branches(path_rows: DataFrame, messages: DataFrame, params: ChatParams = ChatParams()) -> DataFrame:
@@ -122,10 +139,27 @@ def report(conversations: DataFrame, store: Store) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(own)
     messages = store.put(linear(rows))
     formatted = store.put(format_trees(messages, store, ChatParams(branches=1)))  # a linear conversation has one branch, so all of it stays
-    back = formatted.select("tree", "formatted", read_turns(F.col("formatted")).alias("turns"))
+    return digests(formatted)
+
+
+def masked_text(formatted: Column, spans: Column) -> Column:
+    """The text under the mask, escapes removed. The conversation is cut into blocks first, so that a span far behind costs no walk from the start."""
+    blocks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def under(block: Column, k: Column) -> Column:
+        low, high = k * BLOCK, (k + 1) * BLOCK
+        inside = F.filter(spans, lambda s: (s["start"] < high) & (s["end"] > low))
+        return F.array_join(F.transform(inside, lambda s: F.substr(
+            block, (F.greatest(s["start"] - low, F.lit(0)) + 1).cast("int"), (F.least(s["end"], high) - F.greatest(s["start"], low)).cast("int"))), "")
+
+    return unescape(F.array_join(F.transform(blocks, under), ""))
+
+
+def digests(formatted: DataFrame) -> DataFrame:
+    """What ``formatted(tree, formatted, loss_spans)`` reads back as: the turns from the text, the loss from the text under its spans."""
+    back = formatted.select("tree", "formatted", read_turns(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")
     return back.select(
         F.when(F.col("tree") != "-", F.col("tree").try_cast("long")).alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+        F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

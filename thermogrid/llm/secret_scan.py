@@ -7,7 +7,8 @@ the other words as ordinary, from a bounded share of the rows.
 
 DataFrame functions only: text stays in the JVM. Positions are code points, ends exclusive. Defined results: null text
 counts as empty and has no spans; repeated rows are scanned one by one; an empty table gives an empty result, and models without samples
-leave the patterns alone to decide; other columns, whatever their names, pass through :func:`scan` untouched.
+leave the patterns alone to decide; texts of any length are scanned whole; other columns pass through :func:`scan` untouched, but one that
+has the name of an output is replaced (``base`` and ``extra`` name them).
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ QUICK = {"access": "AKIA[A-Z0-9]{16,}+", "hex": "[0-9a-f]{24,}+"}
 TOKEN = "[A-Za-z0-9+/_=-]"
 MASK = "[SECRET]"
 CODES = 128
+BLOCK = 4096  # code points of a text that are masked at once
 
 
 @dataclass(frozen=True)
@@ -139,9 +141,9 @@ def train(labelled: DataFrame, params: SecretParams = SecretParams()) -> list[fl
     return table
 
 
-def scan(df: DataFrame, table: list[float], text: str = "text", base: str = "base", extra: str = "random", params: SecretParams = SecretParams()) -> DataFrame:
-    """``df`` with two more columns, arrays of (start, kind, end, value): the patterns' spans, and the runs that the models call random
-    and no pattern's span touches."""
+def scan(df: DataFrame, table: list[float], text: str = "text", base: str = "base", extra: str = "random", params: SecretParams = SecretParams(), touching: bool = False) -> DataFrame:
+    """``df`` with two more columns, arrays of (start, kind, end, value): the patterns' spans, and the runs that the models call random,
+    those that a pattern's span touches only with ``touching``."""
     df = base_spans(df, text, base)
     pattern = f"(?<!{TOKEN}){TOKEN}{{{params.least_length},}}+"
     found, between, good, spans, ratio = (fresh(df, n) for n in ("found", "between", "good", "spans", "ratio"))
@@ -158,6 +160,8 @@ def scan(df: DataFrame, table: list[float], text: str = "text", base: str = "bas
     df = df.withColumn(good, F.when(F.size(found) > 0, decide))
     df = df.withColumn(between, F.expr(f"case when size({found}) > 0 then split({text}, {_literal(pattern)}, -1) end"))
     df = _spans(df, 3, found, between, good, spans).drop(found, between, good)
+    if touching:
+        return df.withColumnRenamed(spans, extra) if extra not in df.columns else df.withColumn(extra, F.col(spans)).drop(spans)
     free = f"filter({spans}, r -> not exists({base}, b -> b.start < r.end and r.start < b.end))"
     return df.withColumn(extra, F.expr(f"case when size({spans}) > 0 then {free} else {spans} end")).drop(spans)
 
@@ -179,13 +183,37 @@ def report(docs: DataFrame, table: list[float], id_col: str = "doc_id", text: st
     )
 
 
+def mask_spans(text: Column, spans: Column) -> Column:
+    """``text`` with :data:`MASK` in place of each island of ``spans`` (start, end), which are sorted by start and may overlap.
+
+    The text is cut into blocks first, so that a span far behind costs no walk from the start; the block in which an island begins gets the mask.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def clean(block: Column, k: Column) -> Column:
+        low, high = k * BLOCK, (k + 1) * BLOCK
+
+        def add(acc: Column, s: Column) -> Column:
+            start, end = s["start"] - low, F.least(s["end"], high) - low
+            gap = F.substr(block, acc["at"] + 1, F.greatest(start - acc["at"], F.lit(0)))
+            begins = (start >= acc["at"]) & (start >= 0)
+            return F.struct(F.greatest(acc["at"], end).cast("int").alias("at"), F.concat(acc["out"], F.when(begins, F.concat(gap, F.lit(MASK))).otherwise(F.lit(""))).alias("out"))
+
+        inside = F.filter(spans, lambda s: (s["start"] < high) & (s["end"] > low))
+        first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return F.aggregate(inside, first, add, lambda acc: F.concat(acc["out"], F.substr(block, acc["at"] + 1)))
+
+    return F.array_join(F.transform(blocks, clean), "")
+
+
 def redact(docs: DataFrame, table: list[float], text: str = "text", params: SecretParams = SecretParams()) -> DataFrame:
-    """``docs`` with the value of every secret masked; columns as given. Texts without secrets, nulls included, stay as they are."""
+    """``docs`` with every secret masked; columns as given. Texts without secrets, nulls included, stay as they are.
+
+    What is masked are stretches of the text: the value of each assignment, whole keys and hex runs, and whole runs that the models call random, also
+    where one lies in another or touches it.
+    """
     base, extra = fresh(docs, "base"), fresh(docs, "random")
-    rows = scan(docs, table, text, base, extra, params)
-    head, value = ASSIGN.removeprefix("(?i)").removesuffix("+)").rsplit("(", 1)
-    clean = F.regexp_replace(text, f"(?i)({head}){value}{{{LEAST['assign']},}}", f"$1{MASK}")
-    for pattern in QUICK.values():
-        clean = F.regexp_replace(clean, pattern, MASK)
-    masked = F.aggregate(F.array_distinct(F.transform(extra, lambda s: s["value"])), clean, lambda t, v: F.replace(t, v, F.lit(MASK)))
-    return rows.withColumn(text, F.when(F.size(base) + F.size(extra) > 0, masked).otherwise(F.col(text))).select(*docs.columns)
+    rows = scan(docs, table, text, base, extra, params, touching=True)
+    value = lambda s: F.when(s["kind"] == 0, s["end"] - F.length(F.regexp_extract(s["value"], ASSIGN, 2))).otherwise(s["start"])
+    spans = F.array_sort(F.transform(F.concat(base, extra), lambda s: F.struct(value(s).alias("start"), s["end"].alias("end"))))
+    return rows.withColumn(text, F.when(F.size(base) + F.size(extra) > 0, mask_spans(F.col(text), spans)).otherwise(F.col(text))).select(*docs.columns)
