@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import DE, DOCS, EN, WORDS, empty_docs, lower, odd_docs
 from thermogrid.llm import bpe, decontam, kernels, lang_id, passages, ppm, secret_scan, simhash
+from thermogrid.llm import queries
 from thermogrid.llm.queries import vocabulary
 from thermogrid.llm.support import Store
 
@@ -471,3 +472,96 @@ def test_repeated_passages_are_found_and_clean_texts_left(spark):
     assert passages.repeated_passages(empty_docs(spark), Store(spark)).count() == 0
     odd = {(r["id"], r["n_rows"]) for r in passages.repeated_passages(odd_docs(spark), Store(spark)).collect()}
     assert all(i in (6,) for i, _ in odd)
+
+
+VOCABULARY = [f"w{i}" for i in range(3000)]
+
+
+def passage_pair(rng, words, edits, core=()):
+    """A passage and an edited copy that are similar as a whole; ``core`` stands in the middle of both."""
+    while True:
+        one = rng.choices(VOCABULARY, k=words)
+        one[words // 2:words // 2 + len(core)] = core
+        two = list(one)
+        for _ in range(edits):
+            at, kind = rng.randrange(len(two)), rng.randrange(3)
+            if kind == 0:
+                two[at] = rng.choice(VOCABULARY)
+            elif kind == 1:
+                two.insert(at, rng.choice(VOCABULARY))
+            else:
+                del two[at]
+        x, y = ({tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (one, two))
+        if min(len(x), len(y)) >= 46 and len(x & y) / len(x | y) >= 0.8 and (not core or " ".join(core) in " ".join(two)):
+            return one, two
+
+
+@pytest.mark.parametrize("words,edits", [(50, 0), (50, 1), (60, 1), (75, 2), (120, 3), (300, 6)])
+def test_similar_stretches_are_found_among_other_words(words, edits):
+    rng, params = random.Random(words), passages.PassageParams()
+    tokens = lambda t: passages.text_tokens(pa.array([" ".join(t)]), 5)[0]
+    for _ in range(60):
+        one, two = passage_pair(rng, words, edits)
+        a, b = (tokens(rng.choices(VOCABULARY, k=rng.randint(0, 60)) + p + rng.choices(VOCABULARY, k=rng.randint(0, 60))) for p in (one, two))
+        found = passages.verify(a, b, params)
+        assert found
+        for i, j, u, v, like in found:
+            x, y = set(a[i:j].tolist()), set(b[u:v].tolist())
+            assert min(j - i, v - u) >= params.width and like == len(x & y) / len(x | y) >= params.similarity
+        assert not passages.verify(tokens(rng.choices(VOCABULARY, k=150)), b, params)
+
+
+def test_two_passages_in_other_order_are_both_found():
+    rng, params = random.Random(5), passages.PassageParams()
+    tokens = lambda t: passages.text_tokens(pa.array([" ".join(t)]), 5)[0]
+    (one, two), (three, four) = passage_pair(rng, 80, 2), passage_pair(rng, 60, 1)
+    a, b = tokens(one + rng.choices(VOCABULARY, k=30) + three), tokens(four + rng.choices(VOCABULARY, k=45) + two)
+    assert len(passages.verify(a, b, params)) == 2
+
+
+def test_edited_passages_are_found_in_hot_buckets_too(spark):
+    """Recall of edited passages, alone and where a third of the texts share the shingle in their middle."""
+    rng = random.Random(9)
+    core, rows, kinds = rng.choices(VOCABULARY, k=5), [], {}
+    for hot in (False, True):
+        for words, edits in ((60, 1), (75, 2), (120, 3)):
+            for _ in range(40):
+                for text in passage_pair(rng, words, edits, core if hot else ()):
+                    kinds[len(rows)] = (hot, words)
+                    rows.append((len(rows), " ".join(rng.choices(VOCABULARY, k=rng.randint(0, 80)) + text + rng.choices(VOCABULARY, k=rng.randint(0, 80)))))
+    heads = [(10_000 + i, " ".join(rng.choices(VOCABULARY, k=60) + core + rng.choices(VOCABULARY, k=60))) for i in range(150)]
+    docs = spark.createDataFrame(rows + heads, "doc_id bigint, text string")
+    got = {r["id"]: r for r in passages.passage_report(docs, Store(spark)).collect()}
+    assert len(got) == len(rows) + len(heads)
+    found = Counter(kinds[i] for i in range(0, len(rows), 2) if got[i]["repeated"] and {p["class_id"] for p in got[i]["passages"]} & {p["class_id"] for p in got[i + 1]["passages"] or ()})
+    assert all(found[k] >= 38 for k in set(kinds.values())), found
+    for i, _ in heads:
+        assert not got[i]["repeated"] and got[i]["class_id"] == i and got[i]["n_passages"] == 0 and got[i]["passages"] is None
+
+
+def test_passage_query_against_all_exact_repeats(spark):
+    """Every document that shares 50 words in a row with another is in the result; every other one in it shares nearly as much."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = {r["doc_id"]: [lower(w) for w in WORDS.findall(r["text"] or "")] for r in docs.collect()}
+    holders, shingles = defaultdict(set), defaultdict(set)
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            holders[tuple(w[k:k + 50])].add(i)
+        for k in range(len(w) - 4):
+            shingles[tuple(w[k:k + 5])].add(i)
+    exact = {i for h in holders.values() if len(h) > 1 for i in h}
+    got = {r["doc_id"]: r for r in queries.op9_passages(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(words)
+    repeated = {i for i, r in got.items() if r["repeated"]}
+    assert exact and exact <= repeated
+    for i in repeated - exact:
+        shared = Counter(j for k in range(len(words[i]) - 4) for j in shingles[tuple(words[i][k:k + 5])] if j != i)
+        assert max(shared.values()) >= 37  # 0.8 of 46 on both sides
+    for r in got.values():
+        assert r["repeated"] == (r["n_passages"] > 0) and (not r["repeated"] or r["class_id"] == min(p["class_id"] for p in r["passages"]))
+
+
+def test_passage_report_bears_odd_rows_and_an_empty_table(spark):
+    got = passages.passage_report(odd_docs(spark), Store(spark)).collect()
+    assert len(got) == odd_docs(spark).count() and {r["id"] for r in got if r["repeated"]} <= {6}
+    assert passages.passage_report(empty_docs(spark), Store(spark)).count() == 0

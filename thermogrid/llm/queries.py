@@ -63,7 +63,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(table(spark, sf_dir, "documents"), Store(spark)).withColumnRenamed("id", "doc_id")
+    return passages.passage_report(table(spark, sf_dir, "documents"), Store(spark)).withColumnRenamed("id", "doc_id")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
