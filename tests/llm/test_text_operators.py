@@ -197,7 +197,7 @@ def test_copies_and_edited_copies_are_found_and_clean_texts_left(spark):
 def test_benchmark_blocks_give_the_same(spark):
     bench = spark.createDataFrame([(i, invented(200 + i, 20)) for i in range(9)], "item_id bigint, text string")
     docs = bench.selectExpr("item_id as doc_id", "text")
-    params = decontam.DecontamParams(block_items=2)
+    params = decontam.DecontamParams(broadcast_words=5)
     assert {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, bench, params=params).collect()} == {(i, i) for i in range(9)}
 
 
@@ -213,6 +213,65 @@ def test_excerpts_of_an_item_that_leaked_a_thousand_times_are_found(spark):
     assert all(got[i] >= 0.6 for i in (1000, 1001, 1002)) and got[1003] >= 0.5
 
 
+def plain_score(item, words, p):
+    """Smith-Waterman of two word lists, as a share of the item's own score."""
+    best, before = 0.0, [0.0] * (len(words) + 1)
+    for w in item:
+        now = [0.0]
+        for k, x in enumerate(words):
+            now.append(max(0.0, before[k] + (p.match if w == x else p.mismatch), before[k + 1] + p.gap, now[k] + p.gap))
+        best, before = max(best, *now), now
+    return best / (p.match * len(item))
+
+
+def leaky(rng, items):
+    """Texts with whole, cut, reordered and edited items, some item in a third of all."""
+    texts = []
+    for i in range(90):
+        item = list(items[0] if i % 3 == 0 else rng.choice(items))
+        low = rng.randrange(max(len(item) // 2, 1))
+        item = item[low:low + max(rng.randint(len(item) // 2, len(item)), 1)]
+        for _ in range(rng.randint(0, 4)):
+            item[rng.randrange(len(item))] = "other"
+        texts.append(" ".join(invented(500 + i, rng.randint(0, 40)).split() + item + invented(900 + i, rng.randint(0, 40)).split()))
+    return texts
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_every_pair_that_shares_three_words_is_aligned_in_memory_and_by_joins(spark, bound):
+    """Against Smith-Waterman of all texts with all items: what shares three words in a row and scores enough, with its score."""
+    rng, params = random.Random(14), decontam.DecontamParams(broadcast_words=bound, share_hits=7)
+    items = [invented(700 + i, rng.randint(6, 30)).split() for i in range(12)] + [["two", "words"], ["one"]]
+    texts = leaky(rng, items) + ["just two words here", "and one", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("row", F.lit("x")).withColumn("hits", F.lit(1))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(0, " ".join(items[0])), (99, None)], "item_id bigint, text string")
+    out = decontam.contaminate(docs, bench, params=params)
+    assert out.columns == ["doc_id", "text", "row", "hits"]
+    rows = out.collect()
+    assert len(rows) == len(texts)
+    got = {(r["doc_id"], h["item_id"]): h["score"] for r in rows for h in r["hits"]}
+    score, sure = {}, set()
+    for d, text in enumerate(texts):
+        words = re.findall("[a-z0-9]+", (text or "").lower())
+        runs = lambda w, n: {tuple(w[k:k + n]) for k in range(len(w) - n + 1)}
+        for i, item in enumerate(items):
+            score[d, i], n = plain_score(item, words, params), min(3, len(item))
+            if runs(words, n) & runs(item, n) and score[d, i] >= params.least_score:
+                sure.add((d, i))
+    assert sure <= set(got) and len(sure) > 40 and all(score[k] >= params.least_score and abs(got[k] - score[k]) < 1e-9 for k in got)
+    assert sum(len(r["hits"]) for r in rows) == len(got) + sum(k[1] == 0 for k in got)  # the item that is there twice is reported twice
+
+
+def test_the_rarest_grams_of_every_stretch_are_seeds():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, stretch = int(rng.integers(1, 12)), int(rng.integers(1, 5))
+        counts, grams = rng.integers(0, 4, n), rng.permutation(n).astype(np.uint64)
+        key = [(c == 0, c, g) for c, g in zip(counts.tolist(), grams.tolist())]
+        want = {min(range(k, min(k + stretch, n)), key=key.__getitem__) for k in range(max(n - stretch + 1, 1))}
+        assert set(decontam.rarest(counts, grams, stretch).tolist()) == want
+
+
 def test_stretches_that_are_left_out_could_not_reach_the_score(monkeypatch):
     monkeypatch.setattr(decontam, "GATHERED", 64)
     rng, params = random.Random(8), decontam.DecontamParams()
