@@ -278,7 +278,7 @@ def test_stretches_that_are_left_out_could_not_reach_the_score(monkeypatch):
     items = [(i, np.array([rng.randint(1, 30) for _ in range(12)], np.uint64)) for i in range(8)]
     rows = [np.array([w for _ in range(6) for w in (items[rng.randrange(8)][1][rng.randrange(6):rng.randrange(6, 13)].tolist() + [rng.randint(1, 40)])], np.uint64) for _ in range(40)]
     bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    seeds = decontam.Seeds(items, *decontam.item_grams(items, 3))
+    seeds = decontam.Seeds(items, *decontam.item_grams(items, params.n))
     found = decontam.find(np.concatenate(rows), bounds, seeds, params)
     monkeypatch.setattr(decontam.Seeds, "shared_words", lambda self, words, item, low, high: self.size_of[item])
     assert found == decontam.find(np.concatenate(rows), bounds, seeds, params) and sum(map(len, found)) > 10
