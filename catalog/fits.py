@@ -77,6 +77,23 @@ def _solved():
 SQL["ridge_weights"] = SQL["model_files"] = _solved()
 
 
+@query
+def collinear_weights(spark, sf):
+    """Least squares on two columns that differ by 1e-7 of a third: what the first's unit brings, and the third's."""
+    rows = _priced(spark, sf).where("not held").selectExpr("*", "quantity + 1e-7 * (discount * 100) as near")
+    model = Ridge(0.0, ["quantity", "near"], ["y"]).fit(rows)
+    w = {t: model.weights[:, i] for i, t in enumerate(TARGETS)}
+    return spark.createDataFrame([(t, round(float(v[1] + v[2]), 4), round(float(v[2] * 1e-7), 4)) for t, v in w.items()], "target string, both double, apart double")
+
+
+_APART = [PRICED, "near AS (SELECT *, (quantity + CAST(1e-7 AS DOUBLE) * (discount * 100) - quantity) / CAST(1e-7 AS DOUBLE) AS c FROM priced WHERE NOT held)",
+          "m AS (SELECT avg(quantity) AS ma, avg(c) AS mc FROM near)",
+          "p AS (SELECT sum((quantity - ma) * (quantity - ma)) AS aa, sum((quantity - ma) * (c - mc)) AS ac, sum((c - mc) * (c - mc)) AS cc FROM near, m)",
+          "s AS (" + " UNION ALL ".join(f"SELECT '{t}' AS target, sum((quantity - ma) * {t}) AS ay, sum((c - mc) * {t}) AS cy FROM near, m" for t in TARGETS) + ")"]
+SQL["collinear_weights"] = chain(*_APART) + f"""SELECT target, {r('round((ay * cc - cy * ac) / (aa * cc - ac * ac), 4)', 'both')},
+  {r('round((cy * aa - ay * ac) / (aa * cc - ac * ac), 4)', 'apart')} FROM s, p"""
+
+
 # --- gradient steps -------------------------------------------------------------------------------------
 
 GRADIENT = dict(alpha=0.01, max_epochs=8, steps_per_epoch=2, block=3)

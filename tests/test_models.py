@@ -8,7 +8,7 @@ from conftest import START, SERIES, hours
 from thermogrid.models.base import score
 from thermogrid.models.baselines import Climatology, Persistence
 from thermogrid.models.linear import GradientRidge, Ridge
-from thermogrid.models.moments import absolute_errors, cross_products
+from thermogrid.models.moments import absolute_errors, cross_products, triangle
 from thermogrid.models.restartable import LastStepLinear, RestartableLinear, last_step_rows
 from thermogrid.operators import evaluate, features, sliding, split
 from thermogrid.models.trees import BoostedTrees, stage_sizes
@@ -205,3 +205,29 @@ def test_rate_counts_for_the_first_tree_of_later_stages(series):
         assert [h["trees_fitted"] for h in model.history] == [5, 10] and model.rates == [rate, rate]
         mae[rate] = [h["val_mae"] for h in model.history]
     assert mae[0.1][1] != pytest.approx(mae[1.0][1], rel=1e-6)
+
+
+def test_columns_that_differ_by_a_ten_millionth_are_told_apart(spark):
+    rng = np.random.default_rng(3)
+    a, c = rng.uniform(0, 50, 4000), rng.uniform(0, 1, 4000)
+    b = a + 1e-7 * c
+    apart = (b - a) / 1e-7
+    y = 2 * a + 3 * apart + 1000
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "y": y, "target_tmax": y, "target_tmin": -y, "target_tavg": y / 2})).repartition(7)
+    model = Ridge(0.0, ["a", "b"], ["y"]).fit(df)
+    for k, scale in enumerate((1, 1, -1, 0.5)):
+        w = model.weights[:, k]
+        assert w[1] + w[2] == pytest.approx(2 * scale, rel=1e-6) and w[2] * 1e-7 == pytest.approx(3 * scale, rel=1e-6)
+
+
+def test_triangle_is_that_of_all_rows_in_whatever_parts(spark):
+    rng = np.random.default_rng(4)
+    z = rng.normal(5, 2, (300, 4))
+    z[:, 3] = 7.0
+    for parts, rows in ((1, 300), (9, 300), (4, 2)):
+        df = spark.createDataFrame(pd.DataFrame(z[:rows], columns=list("abcd"))).repartition(parts)
+        r, shift = triangle(df, list("abcd"))
+        block = np.column_stack([np.ones(rows), z[:rows] - shift])
+        assert r.shape == (5, 5) and np.allclose(r.T @ r, block.T @ block, atol=1e-9) and np.allclose(shift, z[:rows].mean(axis=0))
+    with pytest.raises(ValueError):
+        triangle(df.limit(0), list("abcd"))

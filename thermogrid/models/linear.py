@@ -1,7 +1,7 @@
-"""Ridge and gradient-trained linear models, fitted from cross-products.
+"""Ridge and gradient-trained linear models.
 
-The data is read once for the cross-products. Solving, gradient steps and squared losses then need no data
-at all. Mean absolute error does need rows: it is computed for many epochs in one pass.
+Ridge is solved from the triangle of a QR decomposition over all rows, gradient steps go by cross-products; both are read off the data
+in two passes. Solving, steps and squared losses then need no data at all. Mean absolute error does need rows: it is computed for many epochs in one pass.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.rate_policy import RatePolicy, advance, start
 from ..schema import SUMMARY_TARGETS, feature_names, target_names
 from .base import prediction, with_prediction
-from .moments import absolute_errors, affine, cross_products
+from .moments import absolute_errors, affine, cross_products, triangle
 
 WEIGHTS_SCHEMA = "model string, target string, term string, weight double"
 
@@ -92,10 +92,15 @@ class Problem:
         squares = np.einsum("ij,ij->j", w, self.xx @ w) - 2 * np.einsum("ij,ij->j", w, self.xy) + self.yy
         return float(squares.sum() / (self.n * len(self.yy)))
 
-    def ridge(self, alpha: float) -> np.ndarray:
-        penalty = alpha * np.eye(len(self.xx))
-        penalty[0, 0] = 0.0
-        return np.linalg.solve(self.xx + penalty, self.xy)
+
+
+def ridge_weights(r: np.ndarray, n_x: int, scaling: Scaling, alpha: float) -> np.ndarray:
+    """Weights on scaled data (first row: intercept) from the triangle of the rows: least squares of it with the penalty's rows below."""
+    scaled = r @ scaling.change().T
+    penalty = np.sqrt(alpha) * np.eye(n_x + 1)
+    penalty[0, 0] = 0.0
+    left, right = np.vstack([scaled[:, :n_x + 1], penalty]), np.vstack([scaled[:, n_x + 1:], np.zeros((n_x + 1, r.shape[1] - n_x - 1))])
+    return np.linalg.lstsq(left, right, rcond=1e-13)[0]
 
 
 class LinearBase:
@@ -148,7 +153,7 @@ class LinearBase:
 
 
 class Ridge(LinearBase):
-    """Closed-form ridge on standardised features and targets, all 24 + 3 targets from one solve."""
+    """Closed-form ridge on standardised features and targets, all 24 + 3 targets from one solve; nearly equal features are told apart."""
 
     name = "ridge"
     summary_from_hours = False
@@ -161,10 +166,10 @@ class Ridge(LinearBase):
         return cross_products(_with_split(train, val), [*self.features, *self.targets, *SUMMARY_TARGETS], "_part")
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> Ridge:
-        moments, shift = self._moments(train, None)
+        r, shift = triangle(train, [*self.features, *self.targets, *SUMMARY_TARGETS])
         n_x = len(self.features)
-        scaling = Scaling.fit(moments["train"], n_x, [len(self.targets), 1, 1, 1], shift)
-        self.weights = scaling.raw_weights(Problem(moments["train"], n_x, scaling).ridge(self.alpha))
+        scaling = Scaling.fit(r.T @ r, n_x, [len(self.targets), 1, 1, 1], shift)
+        self.weights = scaling.raw_weights(ridge_weights(r, n_x, scaling, self.alpha))
         return self
 
 

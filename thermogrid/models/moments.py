@@ -14,6 +14,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def column_means(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return np.array([0.0 if m is None else m for m in means])
+
+
+def triangle(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``R`` of the QR decomposition of ``[1, *columns - shift]`` over all rows, and the ``shift``: the columns' means.
+
+    Cross-products square the condition number, so columns that differ by 1e-7 can't be told apart in them; ``R`` keeps it. Each task
+    folds its batches into one triangle (``R`` of the triangle so far on top of the batch), and triangles are folded likewise, first in as many groups
+    as there are shuffle partitions, then those. A triangle's size is fixed by the number of columns. Reads ``df`` twice.
+    """
+    size = len(columns) + 1
+    shift = column_means(df, columns)
+    groups = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def told(group: int, r: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"part": pa.array([group], pa.int64()), "r": pa.array([np.ascontiguousarray(r).tobytes()], pa.binary())})
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, size))
+        for batch in batches:
+            if batch.num_rows:
+                values = [batch.column(i).to_numpy(zero_copy_only=False).astype(float) - shift[i] for i in range(size - 1)]
+                r = np.linalg.qr(np.vstack([r, np.column_stack([np.ones(batch.num_rows), *values])]), mode="r")
+        if len(r):
+            yield told(0, r)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, size))
+        for batch in batches:
+            for raw in batch.column(1).to_pylist():
+                r = np.linalg.qr(np.vstack([r, np.frombuffer(raw, float).reshape(-1, size)]), mode="r")
+        if len(r):
+            yield told(0, r)
+
+    schema = "part long, r binary"
+    parts = df.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(own, schema).withColumn("part", F.spark_partition_id().cast("long"))
+    few = parts.repartition(groups, F.pmod("part", F.lit(groups))).mapInArrow(folded, schema)
+    found = few.repartition(1).mapInArrow(folded, schema).collect()
+    if not found:
+        raise ValueError("no rows to fit")
+    r = np.frombuffer(found[0]["r"], float).reshape(-1, size)
+    return np.vstack([r, np.zeros((size - len(r), size))]) if len(r) < size else r, shift
+
+
 def cross_products(df: DataFrame, columns: Sequence[str], split: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """``{split value: symmetric matrix}`` over ``[1, *columns - shift]``, and the ``shift``: the columns' means over all rows.
 
@@ -22,8 +68,7 @@ def cross_products(df: DataFrame, columns: Sequence[str], split: str) -> tuple[d
     split; triangles are then added cell by cell in a grouped aggregate. Reads ``df`` twice.
     """
     size = len(columns) + 1
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    shift = np.array([0.0 if m is None else m for m in means])
+    shift = column_means(df, columns)
     upper = np.triu_indices(size)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
