@@ -13,12 +13,13 @@ from thermogrid.models.restartable import RestartableLinear
 from thermogrid.models.trees import BoostedTrees
 from thermogrid.operators import history, split
 from thermogrid.operators.rate_policy import RatePolicy
+from thermogrid.plans.forecast import JobParams, run_forecast, training_records
 from thermogrid.schema import KEY
 from thermogrid.session import materialise, scratch_path
 from thermogrid.sources import readers, writers
 
-from .inputs import observations, table
-from .oracle import OBS, PARTS, PLACED, SCALER, SQL, chain, r
+from .inputs import CHUNK_HOURS, DATES, clean_grid, observations, table
+from .oracle import OBS, PARTS, PLACED, SCALER, SCORES, SQL, chain, r
 from .queries import WINDOW, _history, query
 
 ALPHA = 2.0
@@ -139,6 +140,20 @@ def restartable_epochs(spark, sf):
     return model.history_table(spark)
 
 
+#: The rate is halved after every epoch but the first, as no loss gains what the policy asks for.
+FALLING = {**RUN, "policy": RatePolicy(patience=1, min_delta=1e9, factor=0.5, min_lr=1e-9)}
+
+
+@query
+def restartable_rates(spark, sf):
+    """Two jobs of two blocks while the rate falls: the second goes on from the first's weights, optimiser and policy."""
+    rows, path = _priced(spark, sf), scratch_path(spark)
+    for reset in (True, False):
+        model = RestartableLinear(features=["quantity"], targets=["y"], **FALLING)
+        model.fit(rows.where("not held"), rows.where("held"), run_path=path, reset=reset)
+    return model.history_table(spark)
+
+
 def _adam(names, slopes, lr):
     """Select list of one Adam step: ``slopes`` are SQL of each weight's slope, ``t`` the steps done."""
     out = []
@@ -163,6 +178,11 @@ SELECT CAST((t + 5) // 10 AS INTEGER) AS iteration, CAST(t // 5 AS INTEGER) AS e
 FROM steps, z WHERE t > 0 AND t % 5 = 0 GROUP BY t"""
 
 
+_RATE = f"({RUN['learning_rate']} * pow(CAST(0.5 AS DOUBLE), greatest(t // 5 - 1, 0)))"
+SQL["restartable_rates"] = SQL["restartable_epochs"].replace(_adam(["w"], ["(xx * w - xy) / n"], RUN["learning_rate"]), _adam(["w"], ["(xx * w - xy) / n"], _RATE)).replace(
+    r(str(RUN["learning_rate"]), "lr"), r(_RATE.replace("t // 5", "(t // 5 - 1)"), "lr"))
+
+
 # --- last step of sliding windows -----------------------------------------------------------------------
 
 
@@ -334,6 +354,45 @@ SELECT model, CAST(count(*) AS INTEGER) AS steps, CAST(count(*) FILTER (n % 2 =
   {r('sum(n / 10)', 'lr_sum')} FROM k GROUP BY model"""
 
 
+@query
+def job_histories(spark, sf):
+    """What a job writes of all models that learn step by step, read back: each model's steps with errors and rates."""
+    rows, path = _priced(spark, sf), scratch_path(spark)
+    train, held = rows.where("not held"), rows.where("held")
+    steepest = GradientRidge(policy=STEADY, features=["quantity"], targets=["y"], **GRADIENT).fit(train, held)
+    blocks = RestartableLinear(features=["quantity"], targets=["y"], **{**RUN, "max_iters": 4}).fit(train, held)
+    trees = HistogramBoosting(**STAGED).fit(train, held)
+    writers.write_histories(training_records([steepest, blocks, trees], spark), path)
+    back = readers.read_histories(spark, path, {})
+    stages = history.stage_rows(back).select("model", F.col("stage").alias("step"), "val_mae", "learning_rate")
+    epochs = history.epoch_rows(back).select("model", F.col("epoch").alias("step"), "val_mae", F.coalesce("lr", "learning_rate").alias("learning_rate"))
+    return epochs.unionByName(stages)
+
+
+def _within(name, columns):
+    return f"SELECT {columns} FROM ({SQL[name]})"
+
+
+SQL["job_histories"] = " UNION ALL ".join([
+    _within("gradient_epochs", "'ridge_gradient' AS model, epoch AS step, val_mae, learning_rate"), _within("restartable_epochs", "'linear' AS model, epoch AS step, val_mae, lr AS learning_rate"),
+    _within("boosted_stages", "'trees' AS model, CAST(stage AS INTEGER) AS step, val_mae, learning_rate")])
+
+
+@query
+def stage_flags(spark, sf):
+    """Whole jobs with one model and with two chosen: the scores of what each ran."""
+    series = materialise(clean_grid(spark, sf))
+    jobs = {"one": ("persistence",), "two": ("persistence", "climatology")}
+    out = [run_forecast(series, JobParams(models=models, dates=DATES, chunk_hours=CHUNK_HOURS))["scores"].select(F.lit(job).alias("job"), "model", "rows", "mae", "rmse", "acc_1")
+           for job, models in jobs.items()]
+    return out[0].unionByName(out[1])
+
+
+_SCORED = chain(*[c.replace(f"ts >= TIMESTAMP '{DATES.val_start}'", f"ts >= TIMESTAMP '{DATES.test_start}'") for c in SCORES])
+SQL["stage_flags"] = _SCORED + f"""SELECT job, model, rows, {r('mae')}, {r('rmse')}, {r('acc_1')} FROM scores, (SELECT unnest(['one', 'two']) AS job)
+WHERE job = 'two' OR model = 'persistence'"""
+
+
 @query
 def run_modes(spark, sf):
     """A run folder from new over half written to resumed and reset: the mode found, and the rows of state there."""

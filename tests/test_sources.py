@@ -203,3 +203,34 @@ def test_describe_table(spark):
     out = prepare.describe_table(df)
     assert out["columns"].count() == 2 and out["missing"].first().variable == "name" and out["histograms"].count() == 30
     assert df.where(F.col("k") > 5).count() == 0
+
+
+def test_a_job_that_dies_leaves_the_run_before_it(spark, series, tmp_path, monkeypatch):
+    import math
+    temp = [12 + 6 * math.sin(2 * math.pi * i / 24) + (i * 7919 % 13) / 10 for i in range(600)]
+    params = forecast.JobParams(models=("persistence", "linear"), dates=SplitDates("2024-01-18", "2024-01-21"), epochs_per_iter=1, max_iters=1, target_mae=0.0)
+    out = str(tmp_path / "run")
+    forecast.run_forecast(series(temp), params, out)
+    listed = {r["name"]: r["bytes"] for r in writers.read_manifest(spark, out).collect()}
+    assert any(n.startswith("runs/linear/blocks/") for n in listed) and all((tmp_path / "run" / n).stat().st_size == size for n, size in listed.items())
+    epochs = lambda: len(readers.read_histories(spark, f"{out}/training_histories", {}).first()["epochs"])
+    for name in ("feature_matrix", "evaluate", "write_histories", "finish_run"):
+        with monkeypatch.context() as patch:
+            patch.setattr(forecast, name, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                forecast.run_forecast(series(temp), params, out)
+        assert epochs() == 1 and {r["name"] for r in writers.read_manifest(spark, out).collect()} == set(listed)
+    (tmp_path / "run").rename(tmp_path / "run.before")  # dies between the renames, once with and once without a whole new run
+    forecast.run_forecast(series(temp), params, out)
+    assert epochs() == 2 and not (tmp_path / "run.before").exists() and not (tmp_path / "run.next").exists()
+    (tmp_path / "run").rename(tmp_path / "run.next")
+    writers.recover_run(spark, out)
+    assert epochs() == 2
+    # a reset is a new run beside the old one too
+    fresh = writers.begin_run(spark, out, "reset")
+    writers.write_json(spark.range(1), f"{fresh}/only")
+    assert epochs() == 2
+    writers.finish_run(spark, out)
+    assert [n for n in paths.matching(spark, f"{out}/*") if not n.endswith(("only", "manifest.json"))] == []
+    with pytest.raises(ValueError):
+        writers.begin_run(spark, out, "other")

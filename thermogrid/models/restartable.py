@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import OVERFIT_MIN_STEPS, OVERFIT_RATIO
-from ..operators.rate_policy import RatePolicy, advance, start
+from ..operators.rate_policy import RatePolicy, RateState, advance, start
 from ..sources.paths import exists
 from .linear import Adam, LinearBase, Problem, Scaling, _with_split
 from .moments import absolute_errors, cross_products
@@ -23,7 +23,8 @@ EPOCHS_SCHEMA = (
 BLOCKS_SCHEMA = (
     "iteration int, epochs_run int, val_mae double, best_val_mae double, best_epoch int, status string, "
     "weights array<array<double>>, best_weights array<array<double>>, optimiser_steps int, "
-    "optimiser_mean array<array<double>>, optimiser_square array<array<double>>"
+    "optimiser_mean array<array<double>>, optimiser_square array<array<double>>, "
+    "policy_state struct<lr:double,best:double,stale:int,at_floor:int,resting:int,decays:int>"
 )
 
 
@@ -75,8 +76,8 @@ class RestartableLinear(LinearBase):
         best_weights = past["best_weights"] if past else weights
         first_iteration = past["iteration"] + 1 if past else 1
 
-        # A resumed run goes on with the optimiser's stored moments; its policy starts afresh at the given rate.
-        optimiser, state = past["optimiser"] if past else Adam(weights.shape), start(self.policy)
+        # A resumed run goes on with the optimiser's stored moments and the whole state of the policy.
+        optimiser, state = (past["optimiser"], past["policy_state"] or start(self.policy)) if past else (Adam(weights.shape), start(self.policy))
         self.status, self.rate_events, self.blocks = "In Progress", [], []
         for iteration in range(first_iteration, first_iteration + self.max_iters):
             block, done = [], len(epochs)
@@ -100,7 +101,8 @@ class RestartableLinear(LinearBase):
             self.blocks.append((iteration, len(epochs), float(val_mae[-1]), best_mae, best_epoch, status))
             if run_path:
                 marker = (*self.blocks[-1], weights.tolist(), best_weights.tolist(),
-                          optimiser.count, optimiser.mean.tolist(), optimiser.square.tolist())
+                          optimiser.count, optimiser.mean.tolist(), optimiser.square.tolist(),
+                          (state.lr, state.best, state.stale, state.at_floor, state.resting, state.decays))
                 self._write(spark, run_path, rows, marker, "append")
             if status != "continue":
                 break
@@ -140,7 +142,7 @@ class RestartableLinear(LinearBase):
         optimiser.count = row["optimiser_steps"]
         optimiser.mean, optimiser.square = np.array(row["optimiser_mean"]), np.array(row["optimiser_square"])
         return {
-            "optimiser": optimiser, "epochs": [tuple(r) for r in published.orderBy("epoch").collect()],
+            "optimiser": optimiser, "policy_state": RateState(**row["policy_state"].asDict()) if row["policy_state"] else None, "epochs": [tuple(r) for r in published.orderBy("epoch").collect()],
             "weights": np.array(row["weights"]), "best_weights": np.array(row["best_weights"]),
             "best_val_mae": row["best_val_mae"], "best_epoch": row["best_epoch"], "iteration": row["iteration"],
         }

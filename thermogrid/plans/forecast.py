@@ -23,7 +23,7 @@ from ..schema import CHUNK_HOURS, HORIZON, PROFILE_BOUNDS, TS, Bounds, SplitDate
 from ..session import materialise
 from ..sources.paths import exists
 from ..sources.readers import HISTORY_SCHEMA
-from ..sources.writers import choose_mode, prepare_outputs, write_histories, write_json
+from ..sources.writers import begin_run, choose_mode, finish_run, recover_run, write_histories, write_json
 
 # Run state of each model in the output folder.
 STATE = {"ridge": "models/ridge", "ridge_gradient": "models/ridge_gradient", "linear": "runs/linear", "trees": "models/trees"}
@@ -141,13 +141,17 @@ def _watched(model: ForecastModel) -> str:
 def run_forecast(series: DataFrame, params: JobParams = JobParams(), outputs: str | None = None) -> dict[str, DataFrame]:
     """Whole job on a cleaned hourly series. With ``outputs`` also writes models and reports there.
 
+    A run is written beside the folder and takes its place when it is whole, so a job that dies leaves the run before it readable.
+
     Series, features and predictions have several readers, so each is written once to the shared folder.
     """
     spark = series.sparkSession
-    mode = "reset"
-    if outputs:
-        mode = choose_mode(spark, outputs, [STATE[m] for m in params.models if m in STATE])
-        prepare_outputs(spark, outputs, mode)
+    mode, folder = "reset", outputs
+    if folder:
+        state = [STATE[m] for m in params.models if m in STATE]
+        recover_run(spark, folder)
+        mode = choose_mode(spark, folder, state)
+        outputs = begin_run(spark, folder, mode, state)
     series = materialise(series)
     rows = materialise(time_split(feature_matrix(series, chunk_hours=params.chunk_hours), params.dates))
     profile = split_profile(rows, bounds=params.profile_bounds)
@@ -164,4 +168,5 @@ def run_forecast(series: DataFrame, params: JobParams = JobParams(), outputs: st
         write_json(metrics_report(scores), f"{outputs}/model_metrics")
         write_json(evaluation_export(predictions, params.sample_size, len(models)), f"{outputs}/test_predictions")
         write_histories(training_records(models, spark), f"{outputs}/training_histories")
+        finish_run(spark, folder)
     return out

@@ -29,3 +29,32 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
     fs, where = _file_system(spark, path)
     if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(to)):
         raise OSError(f"can't rename {path} to {to}")
+
+
+def copy(spark: SparkSession, path: str, to: str) -> None:
+    """Copy a file or folder within its file system."""
+    fs, where = _file_system(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(target.getParent())
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, where, fs, target, False, spark._jsc.hadoopConfiguration()):
+        raise OSError(f"can't copy {path} to {to}")
+
+
+def files_below(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Relative name and size of every file of a folder, sorted."""
+    fs, where = _file_system(spark, path)
+    root, found = fs.makeQualified(where).toString().rstrip("/"), []
+    listed = fs.listFiles(where, True)
+    while listed.hasNext():
+        status = listed.next()
+        found.append((status.getPath().toString().removeprefix(root + "/"), status.getLen()))
+    return sorted(found)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, where = _file_system(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators.hist2d import GRID_SIZE, frames
 from ..schema import KEY, TS
-from .paths import delete, exists
+from .paths import copy, delete, exists, files_below, rename, write_text
+
+MANIFEST = "manifest.json"
 
 
 def write_series(df: DataFrame, path: str, by_year: bool = True) -> None:
@@ -66,6 +69,53 @@ def write_frames(cells: DataFrame, bounds: DataFrame, path: str, size: int = GRI
     write_json(bounds.select(F.lit(size).alias("grid_size"), "*"), f"{path}/meta")
 
 
+def _next_to(outputs: str) -> tuple[str, str]:
+    """Where a run is written, and where the one before is kept for the moment of the swap."""
+    return f"{outputs.rstrip('/')}.next", f"{outputs.rstrip('/')}.before"
+
+
+def recover_run(spark: SparkSession, outputs: str) -> None:
+    """Bring a run folder back to its last finished run, wherever an earlier job died. Jobs call it before they look at the folder."""
+    coming, before = _next_to(outputs)
+    if not exists(spark, outputs):
+        if exists(spark, f"{coming}/{MANIFEST}"):  # died between the two renames: the new run is whole
+            rename(spark, coming, outputs)
+        elif exists(spark, before):
+            rename(spark, before, outputs)
+    for left in (coming, before):
+        if exists(spark, left):
+            delete(spark, left)
+
+
+def begin_run(spark: SparkSession, outputs: str, mode: str, state: Iterable[str] = ()) -> str:
+    """The folder that a new run is written to. Of the finished run, a resumed one takes over ``state``; the old folder stays as it is."""
+    if mode not in ("reset", "resume"):
+        raise ValueError(f"unknown mode {mode!r}")
+    coming, _ = _next_to(outputs)
+    if exists(spark, coming):
+        delete(spark, coming)
+    for name in state if mode == "resume" else ():
+        copy(spark, f"{outputs}/{name}", f"{coming}/{name}")
+    return coming
+
+
+def finish_run(spark: SparkSession, outputs: str) -> None:
+    """Make the run that :func:`begin_run` opened the finished one: its manifest (all files and sizes) is written last, then the folders are swapped by renames."""
+    coming, before = _next_to(outputs)
+    files = [{"name": n, "bytes": size} for n, size in files_below(spark, coming) if not n.rsplit("/", 1)[-1].startswith(("_", "."))]
+    write_text(spark, f"{coming}/{MANIFEST}", json.dumps({"files": files}))
+    if exists(spark, outputs):
+        rename(spark, outputs, before)
+    rename(spark, coming, outputs)
+    if exists(spark, before):
+        delete(spark, before)
+
+
+def read_manifest(spark: SparkSession, outputs: str) -> DataFrame:
+    """``(name, bytes)`` of the files of a finished run."""
+    return spark.read.schema("files array<struct<name:string,bytes:long>>").json(f"{outputs}/{MANIFEST}").selectExpr("inline(files)")
+
+
 def choose_mode(spark: SparkSession, outputs: str, required: Iterable[str]) -> str:
     """``reset`` for a new folder, ``resume`` where all state of an earlier run is there.
 
