@@ -128,6 +128,49 @@ def test_members_without_sizes_and_plain_files_are_read(tmp_path):
     assert [len(r[-1]) for r in warc.read_plain(io.BytesIO(b"".join(records)), [("=", "record_id", "urn:page:2")], True)] == [50_000]
 
 
+def test_foreign_and_broken_archives_give_defined_rows(spark, tmp_path):
+    import gzip
+    import io
+
+    def raw(fields, block=b"body"):
+        return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n" + block + b"\r\n\r\n"
+
+    sha = hashlib.sha1(b"body")
+    import base64
+    b32 = base64.b32encode(sha.digest()).decode()
+    records = [
+        raw([("WARC-Type", "response"), ("WARC-Target-URI", "http://a/\\u00zz/é"), ("WARC-Payload-Digest", "sha1:" + b32.lower()), ("Content-Length", 4)]),
+        raw([("warc-type", "resource"), ("WARC-Payload-Digest", "SHA1:" + sha.hexdigest().upper()), ("content-length", "4"), ("WARC-Date", "2020\r\n -01")]),
+        raw([("WARC-Type", "response"), ("WARC-Payload-Digest", "sha1:" + "1" * 32), ("Content-Length", 37)], b"HTTP/1.1 200 OK\r\nContent-Length: x\r\n\r\n"[:37]),
+        raw([("WARC-Type", "metadata"), ("WARC-Payload-Digest", "md5:zz"), ("Content-Length", "-4")]),
+        raw([("WARC-Type", "metadata"), ("no colon", "")]),
+        b"nothing of the kind\r\n\r\n",
+    ]
+    rows = list(warc.read_members(io.BufferedReader(io.BytesIO(b"".join(gzip.compress(r) for r in records))), [], True))
+    names = [c.split()[0] for c in warc.SCHEMA.split(", ")]
+    got = [dict(zip(names, r)) for r in rows]
+    assert [g["warc_type"] for g in got] == ["response", "resource", "response", "metadata", "metadata"]
+    assert got[0]["target_uri"] == "http://a/\\u00zz/é" and got[0]["payload_digest"] == got[1]["payload_digest"] == sha.hexdigest() and got[1]["date"] == "2020 -01"
+    assert got[2]["payload_digest"] == "sha1:" + "1" * 32 and [g["content_length"] for g in got] == [4, 4, 37, None, None]
+    assert [g["payload"] for g in got] == [b"body", b"body", b"", b"body", b"body"]
+    plain = [dict(zip(names, r)) for r in warc.read_plain(io.BytesIO(b"junk\r\n" + b"".join(records)), [], True)]
+    assert [(g["warc_type"], g["payload"]) for g in plain] == [("response", b"body"), ("resource", b"body"), ("response", b""), ("metadata", None)]
+    whole = gzip.compress(records[0])
+    for broken in (whole + gzip.compress(records[1])[:30], whole + b"\x1f\x8b\x08" + b"garbage" * 9, whole + b"no gzip here, just text", whole[:-20]):
+        assert len(list(warc.read_members(io.BufferedReader(io.BytesIO(broken)), [], True))) in (0, 1) and (broken == whole[:-20] or len(list(warc.read_members(io.BufferedReader(io.BytesIO(broken)), [], True))) == 1)
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    df = warc.read(spark, str(tmp_path))
+    assert df.count() == 5 and df.where("content_length > 3").count() == 3 and df.where("target_uri like 'http%'").count() == 1
+
+
+def test_urls_of_all_kinds_come_back(spark):
+    urls = ["http://a/\\u0041\\x", " leading", "trailing ", "tab\tin", "nul\x00", "\u2028line", "é\r\nWARC-Type: x", "\x85", "emoji 😀", "", "a  b", " é "]
+    path = scratch_path(spark)
+    warc.write(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("html", F.lit("x")), path, Store(spark))
+    got = {r["record_id"]: r["target_uri"] for r in warc.read(spark, path, payload=False).collect()}
+    assert [got[f"urn:page:{i}"] for i in range(len(urls))] == urls
+
+
 def test_parts_of_tasks_that_failed_are_never_seen(tmp_path, pages, spark):
     path = str(tmp_path / "a")
     warc.write(pages, path, Store(spark))

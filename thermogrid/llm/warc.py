@@ -10,7 +10,11 @@ a task inflates just the start of a member, parses the header, and steps over th
 
 Records of equal payloads of at least ``least_revisit`` bytes are written once: that of the largest page is a
 response, the others revisit it. Defined results: null html is an empty payload, null url an empty one; rows that share the largest page id and the payload are each a response; null page ids are responses unless another page has their payload, and read back as null;
-empty tables write no record; other columns, whatever their names, are not looked at.
+empty tables write no record; other columns, whatever their names, are not looked at; payloads of any length are written whole.
+
+Foreign archives: header values are read as UTF-8 and not decoded further; digests become lower-case hex where they are SHA-1 in base 32 or 16; a
+missing or malformed length is null, and its block is what its member holds; members and lines that begin no record are stepped over; a file that breaks
+off, or goes on as something else, gives the records before that.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ SCHEMA = "warc_type string, record_id string, target_uri string, date string, re
 #: Names of the format.
 FIELDS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "content_length": "Content-Length"}
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+ESCAPED = "X-Target-URI-Escapes"  # a field of our own
 DATE = "2024-01-01T00:00:00Z"
 HEAD_BYTES = 2048
 BATCH_BYTES = 4 << 20
@@ -58,36 +63,64 @@ def member(block: bytes, level: int) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(block), len(block) & 0xFFFFFFFF)
 
 
+def _plain(url: str) -> bool:
+    """Whether a header line can hold the url as it is."""
+    return url == url.strip() and all(ord(c) >= 32 and ord(c) != 127 for c in url) and "\x85" not in url
+
+
 def record_bytes(record_id: str, url: str, payload: bytes, size: int, digest: str, refers_to: str | None) -> bytes:
-    """One response, or one revisit without payload; ``digest`` is hexadecimal."""
+    """One response, or one revisit without payload; ``digest`` is hexadecimal. A url that a line can't hold is escaped, and the record says so."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to else http + payload
+    plain = _plain(url)
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {url.encode('unicode_escape').decode()}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
+        f"WARC-Target-URI: {url if plain else url.encode('unicode_escape').decode().replace(' ', chr(92) + 'x20')}", *([] if plain else [f"{ESCAPED}: unicode"]),
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         *([f"WARC-Profile: {IDENTICAL}", f"WARC-Refers-To: <{refers_to}>"] if refers_to else []),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_header(head: bytes) -> dict:
-    names = {v.lower(): k for k, v in FIELDS.items()}
-    out: dict = dict.fromkeys(FIELDS)
+def _sha1(value: str) -> str:
+    """A SHA-1 digest as lower-case hex, be it given in base 32 or 16, in whatever case; anything else as it is."""
+    algorithm, _, digest = value.partition(":")
+    if algorithm.lower() == "sha1":
+        try:
+            if len(digest) == 32:
+                return base64.b32decode(digest.upper()).hex()
+            if len(digest) == 40:
+                return bytes.fromhex(digest).hex()
+        except ValueError:
+            pass
+    return value
+
+
+def parse_header(head: bytes) -> dict | None:
+    """The fields of a record's header, null where they are missing or aren't what the format asks for; None if it is no record's."""
+    if not head.startswith(b"WARC/"):
+        return None
+    names = {v.lower(): k for k, v in FIELDS.items()} | {ESCAPED.lower(): "escaped"}
+    found: dict = {}
+    last = None
     for line in head.split(b"\r\n")[1:]:
-        name, _, value = line.decode("utf-8", "replace").partition(":")
-        key, value = names.get(name.strip().lower()), value.strip()
-        if key == "content_length":
-            out[key] = int(value)
-        elif key in ("record_id", "refers_to"):
-            out[key] = value.strip("<>")
-        elif key == "target_uri":
-            out[key] = value.encode().decode("unicode_escape")
-        elif key == "payload_digest":
-            algorithm, _, digest = value.partition(":")
-            out[key] = base64.b32decode(digest).hex() if algorithm == "sha1" and len(digest) == 32 else value
-        elif key:
-            out[key] = value
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and last:  # a value may go on in the next line
+            found[last] = f"{found[last]} {text.strip()}"
+            continue
+        name, mark, value = text.partition(":")
+        last = names.get(name.strip().lower()) if mark else None
+        if last:
+            found[last] = value.strip()
+    out: dict = {k: found.get(k) for k in FIELDS}
+    for key in ("record_id", "refers_to"):
+        out[key] = out[key] and out[key].strip("<>")
+    if out["target_uri"] is not None and "escaped" in found:
+        out["target_uri"] = out["target_uri"].encode("ascii", "backslashreplace").decode("unicode_escape")
+    out["payload_digest"] = out["payload_digest"] and _sha1(out["payload_digest"])
+    length = out["content_length"]
+    out["content_length"] = int(length) if length and length.isascii() and length.isdigit() and len(length) < 19 else None
     return out
 
 
@@ -106,18 +139,18 @@ def finish(header: dict, block: bytes | None) -> tuple:
     payload, size = None, None
     if block is not None:
         head, mark, body = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
-        lengths = [int(line.split(b":", 1)[1]) for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:")]
-        size = lengths[0] if lengths else len(body)
+        lengths = [line.split(b":", 1)[1].strip() for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:")]
+        size = int(lengths[0]) if lengths and lengths[0].isdigit() and len(lengths[0]) < 19 else len(body)
         payload = None if header["warc_type"] == "revisit" else body
     return (*(header[k] for k in FIELDS if k != "content_length"), header["content_length"], size, payload)
 
 
 def read_members(f, tests: list, payload: bool):
-    """Rows of a gzip file, member by member; ``f`` can seek."""
+    """Rows of a gzip file, member by member; ``f`` can seek. What follows a member that is broken off or no gzip can't be found and is left out."""
     while True:
         start = f.tell()
         fixed = f.read(12)
-        if len(fixed) < 12:
+        if len(fixed) < 12 or fixed[:2] != b"\x1f\x8b":
             return
         size = None
         if fixed[3] == 4:
@@ -125,57 +158,78 @@ def read_members(f, tests: list, payload: bool):
             at = 0
             while at + 4 <= len(extra):
                 name, length = struct.unpack_from("<2sH", extra, at)
-                if name == b"sl":
+                if name == b"sl" and length >= 4 and at + 8 <= len(extra):
                     size = struct.unpack_from("<I", extra, at + 4)[0]
                 at += 4 + length
         f.seek(start)
-        inflate = zlib.decompressobj(31)
-        raw = f.read(min(HEAD_BYTES, size) if size else HEAD_BYTES)
-        plain = inflate.decompress(raw, HEAD_BYTES)
-        while b"\r\n\r\n" not in plain and not inflate.eof:
-            more = inflate.unconsumed_tail or f.read(HEAD_BYTES)
+        try:
+            row = _member(f, start, size, tests, payload)
+        except zlib.error:
+            return
+        if row is False:
+            return
+        if row:
+            yield row
+
+
+def _member(f, start: int, size: int | None, tests: list, payload: bool) -> tuple | None | bool:
+    """The row of the member at ``start``, None if it isn't wanted, False if the file ends in its header; leaves ``f`` behind the member."""
+    inflate = zlib.decompressobj(31)
+    raw = f.read(min(HEAD_BYTES, size) if size else HEAD_BYTES)
+    plain = inflate.decompress(raw, HEAD_BYTES)
+    while b"\r\n\r\n" not in plain and not inflate.eof:
+        more = inflate.unconsumed_tail or f.read(HEAD_BYTES)
+        if not more:
+            return False
+        plain += inflate.decompress(more, HEAD_BYTES)
+    head, _, rest = plain.partition(b"\r\n\r\n")
+    header = parse_header(head)
+    take = header is not None and wanted(header, tests)
+    reads = take and (payload or header["warc_type"] == "revisit")
+    whole = reads and header["content_length"] is None  # without a length the block is what the member holds
+    need = (1 << 62 if whole else header["content_length"]) if reads else 0
+    parts, got = [rest], len(rest)
+    if need > got or size is None:
+        while not inflate.eof:
+            more = inflate.unconsumed_tail or f.read(max(0, start + size - f.tell()) if size else 1 << 16)
             if not more:
-                return
-            plain += inflate.decompress(more, HEAD_BYTES)
-        head, _, rest = plain.partition(b"\r\n\r\n")
-        header = parse_header(head)
-        take = wanted(header, tests)
-        need = header["content_length"] if take and (payload or header["warc_type"] == "revisit") else 0
-        parts, got = [rest], len(rest)
-        if need > got or size is None:
-            while not inflate.eof:
-                more = inflate.unconsumed_tail or f.read(max(0, start + size - f.tell()) if size else 1 << 16)
-                if not more:
-                    break
-                part = inflate.decompress(more, 1 << 20)
-                if got < need:
-                    parts.append(part)
-                got += len(part)
-        if size is None:
-            f.seek(f.tell() - len(inflate.unused_data))
-        else:
-            f.seek(start + size)  # the rest of the member stays undecoded
-        if take:
-            yield finish(header, b"".join(parts)[:need] if need else None)
+                break
+            part = inflate.decompress(more, 1 << 20)
+            if got < need:
+                parts.append(part)
+            got += len(part)
+    if size is None:
+        f.seek(f.tell() - len(inflate.unused_data))
+    else:
+        f.seek(start + size)  # the rest of the member stays undecoded
+    if not take:
+        return None
+    block = b"".join(parts)[:need] if need else None
+    return finish(header, block.removesuffix(b"\r\n\r\n") if whole else block)
 
 
 def read_plain(f, tests: list, payload: bool):
-    """Rows of an uncompressed file."""
+    """Rows of an uncompressed file. Lines that begin no record are stepped over; what follows a record without a length can't be found and is left out."""
     while True:
         head = b""
         for line in iter(f.readline, b""):
             if line == b"\r\n" and head:
                 break
-            head += line if line != b"\r\n" else b""
+            if head or line.startswith(b"WARC/"):
+                head += line
         if not head:
             return
         header = parse_header(head.rstrip(b"\r\n"))
-        take = wanted(header, tests)
+        take, length = wanted(header, tests), header["content_length"]
+        if length is None:
+            if take:
+                yield finish(header, None)
+            return
         if take and (payload or header["warc_type"] == "revisit"):
-            block = f.read(header["content_length"])
+            block = f.read(length)
         else:
             block = None
-            f.seek(header["content_length"], io.SEEK_CUR)
+            f.seek(length, io.SEEK_CUR)
         if take:
             yield finish(header, block)
 
