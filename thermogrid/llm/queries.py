@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, one an operator, over whole tables; and the SQL of those that SQL can express."""
+"""The registered queries of this subpackage, one an operator, over whole tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thermogrid.session import scratch_path
 
 from . import bpe, chat, decontam, lang_id, merkle, nndescent, passages, ppm, secret_scan, simhash, spelling, url_filter, warc
+from .oracle import SQL  # noqa: F401  (of those that SQL can express)
 from .support import Store
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -115,5 +116,3 @@ QUERIES = {
     "op12_merkle": op12_merkle,
     "op13_spelling": op13_spelling,
 }
-
-SQL: dict[str, str] = {}
