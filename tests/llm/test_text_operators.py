@@ -280,7 +280,7 @@ def test_stretches_that_are_left_out_could_not_reach_the_score(monkeypatch):
     bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     seeds = decontam.Seeds(items, *decontam.item_grams(items, params.n))
     found = decontam.find(np.concatenate(rows), bounds, seeds, params)
-    monkeypatch.setattr(decontam.Seeds, "shared_words", lambda self, words, item, low, high: self.size_of[item])
+    monkeypatch.setattr(decontam.Seeds, "most", lambda self, words, item, low, high, params: self.size_of[item])
     assert found == decontam.find(np.concatenate(rows), bounds, seeds, params) and sum(map(len, found)) > 10
 
 

@@ -4,7 +4,7 @@ Words are runs of letters and digits (any non-ASCII byte counts as a letter), A-
 corpus is counted over all texts. Of every ``stretch`` n-grams in a row of an item the rarest that occurs is a seed (of equal ones that of the least hash), so seeds lie
 in every part of an item however often it or parts of it have leaked: a text that shares ``stretch + n - 1`` words in a row with an item (three) holds a
 seed of it. Each hit of a seed names a stretch of the text on its diagonal, and touching stretches are joined.
-A stretch with fewer words of the item than ``least_score`` needs can't reach it and is left out.
+A stretch no part of which holds enough words of the item among others, counted as errors, can't reach ``least_score`` and is left out.
 Local alignment of the item with the others, over words, gives a score from 0 to 1 (1: the whole item, word by word). Substituted,
 inserted and missing words only lower it. A pair is reported from ``least_score`` on.
 
@@ -96,9 +96,10 @@ class Seeds:
         """Lengths of the n-grams: items of fewer words than ``n`` are n-grams of their own length."""
         return sorted({params.n} | {int(k) for k in np.unique(self.size_of) if 0 < k < params.n})
 
-    def shared_words(self, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """How many words of each stretch are words of its item."""
-        out = np.zeros(len(item), np.int64)
+    def most(self, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, params: DecontamParams) -> np.ndarray:
+        """What an alignment of each stretch can score at most: the greatest sum of a part of it, words of its item counted as matches, others as errors."""
+        out = np.zeros(len(item))
+        error = max(params.mismatch, params.gap)
         sizes = high - low
         total = np.cumsum(sizes)
         first = 0
@@ -108,8 +109,12 @@ class Seeds:
             ends = np.cumsum(size)
             at = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(low[first:last], size)
             known = self.words.find(_words_of(words[at], np.repeat(item[first:last], size))) >= 0
-            sums = np.concatenate([[0], np.cumsum(known)])
-            out[first:last] = sums[ends] - sums[ends - size]
+            sums = np.concatenate([[0], np.cumsum(np.where(known, params.match, error))])
+            # a place before each stretch's first word and one behind each of its words; strides keep minima inside a stretch
+            place = np.arange(ends[-1] + len(size)) - np.repeat(np.arange(len(size)), size + 1)
+            level = sums[place] - np.repeat(np.arange(len(size)), size + 1) * (4.0 * ends[-1] * (params.match - error) + 1)
+            rise = level - np.minimum.accumulate(level)
+            out[first:last] = np.maximum.reduceat(rise, np.cumsum(size + 1) - size - 1)
             first = last
         return out
 
@@ -179,8 +184,7 @@ def find(words: np.ndarray, bounds: np.ndarray, seeds: Seeds, params: DecontamPa
     first = np.flatnonzero(group)
     row, item, low = row[first], item[first], low[first]
     high, count = np.maximum.reduceat(high, first), np.diff(np.append(first, len(group)))
-    # a score takes at most the stretch's words that the item has
-    able = params.match * seeds.shared_words(words, item, low, high) >= params.least_score * params.match * size[item]
+    able = seeds.most(words, item, low, high, params) >= params.least_score * params.match * size[item] - 1e-3
     row, item, low, high, count = row[able], item[able], low[able], high[able], count[able]
     best: dict[tuple[int, int], tuple] = {}
     for i in np.unique(item):
