@@ -29,11 +29,11 @@ def groups():
     }
 
 
-@pytest.mark.parametrize("parts", [2, 8, 64])
-def test_quantiles_are_exact(spark, parts):
+@pytest.mark.parametrize("parts,direct", [(2, 0), (8, 0), (64, 0), (64, 1 << 24)])
+def test_quantiles_are_exact(spark, parts, direct):
     data = groups()
     shares = {"q25": 0.25, "median": 0.5, "q75": 0.75, "low": 0.0, "high": 1.0, "p99": 0.99}
-    out = quantiles.exact_quantiles(long(spark, data | {"none": [N]}), ["variable"], "value", shares, parts).collect()
+    out = quantiles.exact_quantiles(long(spark, data | {"none": [N]}), ["variable"], "value", shares, parts, direct=direct).collect()
     assert {r.variable for r in out} == set(data)
     for r in out:
         for name, p in shares.items():
@@ -42,8 +42,9 @@ def test_quantiles_are_exact(spark, parts):
 
 def test_quantiles_without_groups(spark):
     values = [3.0, 1.0, 2.0, N]
-    row = quantiles.exact_quantiles(long(spark, {"x": values}), [], "value", {"median": 0.5}).first()
-    assert (row.n, row["median"]) == (3, 2.0)
+    for direct in (0, 100):
+        row = quantiles.exact_quantiles(long(spark, {"x": values}), [], "value", {"median": 0.5}, direct=direct).first()
+        assert (row.n, row["median"]) == (3, 2.0)
 
 
 def test_column_stats_equal_numpy(spark):
@@ -67,7 +68,7 @@ def test_no_part_over_the_bound(spark):
     rows = rows.unionByName(spark.range(n // 2).select(F.lit("y").alias("variable"), F.lit(3.0).alias("value")))
     shares = {"q25": 0.25, "median": 0.5, "q75": 0.75}
     heads = session.materialise(rows.groupBy("variable").agg(F.count("value").alias("n"), quantiles.cut_points("value").alias("_cuts")))
-    live, cells = quantiles.sorted_cells(rows, heads, ["variable"], "value", shares, 64, bound)
+    live, cells = quantiles.sorted_cells(rows, heads, ["variable"], "value", shares, 64, bound, 0)
     sizes = [r["count"] for r in live.groupBy("variable", "_cell").count().collect()]
     assert max(sizes) <= bound and cells.count() == len(sizes)
     got = {r.variable: tuple(r)[1:] for r in quantiles.quantiles_of_groups(rows, heads, ["variable"], "value", shares, bound=bound).collect()}

@@ -2,7 +2,8 @@
 
 Spark's ``percentile`` holds every distinct value of a group in one task. Here approximate quantiles cut each group into
 parts, a map-side count of the parts tells which of them hold a wanted rank, and only the values of those are exchanged. A part
-with more distinct values than one task should sort is cut again. Cuts decide only how work is spread: ranks come from exact counts.
+with more distinct values than one task should sort is cut again. Where the counts of the first pass show that there is little to exchange, all
+values are, in one step. Cuts decide only how work is spread: ranks come from exact counts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .scalars import attach_row
 PARTS = 64
 #: Distinct values that one task sorts at most.
 BOUND = 1 << 20
+#: Values of all groups together up to which they are exchanged at once, if no group has more than ``BOUND``.
+DIRECT = 1 << 24
 
 
 def cut_points(value: str, parts: int = PARTS) -> Column:
@@ -28,7 +31,7 @@ def cut_points(value: str, parts: int = PARTS) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], parts: int = PARTS, bound: int = BOUND
+    df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], parts: int = PARTS, bound: int = BOUND, direct: int = DIRECT
 ) -> DataFrame:
     """One row per group with ``n`` and each named quantile, linear between the two nearest ranks.
 
@@ -36,16 +39,16 @@ def exact_quantiles(
     without values are absent. ``df`` is read three times: pass a table, or rows that were written out.
     """
     heads = materialise(df.groupBy(*by).agg(F.count(value).alias("n"), cut_points(value, parts).alias("_cuts")))
-    return quantiles_of_groups(df, heads, by, value, shares, parts, bound)
+    return quantiles_of_groups(df, heads, by, value, shares, parts, bound, direct)
 
 
 def quantiles_of_groups(
     df: DataFrame, heads: DataFrame, by: Sequence[str], value: str, shares: dict[str, float],
-    parts: int = PARTS, bound: int = BOUND,
+    parts: int = PARTS, bound: int = BOUND, direct: int = DIRECT,
 ) -> DataFrame:
     """Exact quantiles where a written table ``heads`` has ``n`` and ``_cuts`` (see :func:`cut_points`) of each group already."""
     by = list(by)
-    live, cells = sorted_cells(df, heads, by, value, shares, parts, bound)
+    live, cells = sorted_cells(df, heads, by, value, shares, parts, bound, direct)
     inside = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
         live.join(cells, [*by, "_cell"])
@@ -66,7 +69,7 @@ def quantiles_of_groups(
 
 
 def sorted_cells(
-    df: DataFrame, heads: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], parts: int, bound: int
+    df: DataFrame, heads: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], parts: int, bound: int, direct: int = DIRECT
 ) -> tuple[DataFrame, DataFrame]:
     """``(*by, _cell, _v, _c)``: counted values of the cells that hold a wanted rank, at most ``bound`` of them in a cell;
     and ``(*by, _cell, n, _from, _ranks)``: how many values precede a cell, and the ranks in it."""
@@ -77,6 +80,10 @@ def sorted_cells(
     ])))
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.lit(1).cast("long").alias("_c"))
     cells = heads.where("n > 0").select(*by, "n", "_cuts", F.lit(0).cast("long").alias("_from"), ranks.alias("_ranks"))
+    sizes = heads.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    if (sizes["most"] or 0) <= bound and (sizes["all"] or 0) <= direct:  # a group is one cell
+        whole = rows.groupBy(*by, "_v").agg(F.sum("_c").alias("_c")).withColumn("_cell", F.lit(0).cast("long"))
+        return whole, cells.withColumn("_cell", F.lit(0).cast("long")).drop("_cuts")
     live, cells = _narrow(rows, cells, by, [], parts)
     while _largest(live, by) > bound:
         # values are distinct within a group by now, so every round makes the largest cell smaller
