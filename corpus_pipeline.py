@@ -2,6 +2,10 @@
 
 Each stage takes what its predecessor kept, written and read again. All but the last return the columns of
 ``documents``; texts that a stage changes have a new ``n_chars``.
+
+Defined results: rows that repeat and rows of equal id go through the stages one by one, but for near-duplicates, where one row of a group stays; null ids,
+sources and counts are kept as they are; texts of any length are taken whole; columns beyond those of ``documents``, whatever their names, pass the first four stages
+untouched; an empty table gives an empty one at each stage.
 """
 
 from __future__ import annotations
@@ -18,7 +22,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised; the model learns from the given labels, as in the operator's query."""
+    """Keep documents whose language is recognised; the model learns from the given labels, as in the operator's query.
+
+    Null and empty texts, and those without a letter, have no language and go; a null ``lang`` labels nothing; without any label no language is known and all go.
+    """
     held = lang_id.fold(F.col("doc_id"), 4) == 2
     model = lang_id.train(docs.where(~held), key=F.xxhash64("doc_id"))
     names = [fresh(docs, n) for n in ("lang_pred", "lang_score", "lang_rejected")]
@@ -27,25 +34,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: that of the smallest id."""
+    """Keep one document of each group of near-duplicates: that of the smallest id, one row of it if the id repeats. Null and empty texts are one group."""
     return simhash.keep_one(docs, Store(spark))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item or an edited copy of one."""
+    """Drop documents that hold a benchmark item or an edited copy of one. Null and empty texts and items match nothing; without items all stay."""
     hits = fresh(docs, "hits")
     out = decontam.contaminate(docs, table(spark, sf_dir, "benchmark"), hits)
     return out.where(F.size(hits) == 0).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask secrets in the texts; every document stays."""
+    """Mask secrets in the texts; every document stays. A null text stays null."""
     out = secret_scan.redact(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document; a null text has none."""
     out = bpe.encode(docs.select("doc_id", "text", "lang", "source"), vocabulary())
     return out.withColumn("n_tokens", F.size("ids").cast("long"))
 

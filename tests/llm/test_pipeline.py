@@ -1,8 +1,8 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.helpers import odd_docs
-from thermogrid.llm.queries import QUERIES, vocabulary
+from tests.llm.helpers import empty_docs, odd_docs
+from thermogrid.llm.queries import QUERIES, SQL, vocabulary
 from thermogrid.llm import bpe
 
 SF = "/root/testdata/sf0.001"
@@ -47,5 +47,36 @@ def test_stages_bear_odd_rows(spark):
     assert out.where(F.col("text") == "x" if "text" in out.columns else F.lit(False)).count() == 0
 
 
-def test_ten_queries_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
+
+
+def test_an_empty_table_goes_through_every_stage(spark):
+    out = empty_docs(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        columns = out.columns
+        path = corpus_pipeline.scratch_path(spark)
+        stage(spark, out, SF).write.parquet(path)
+        out = spark.read.parquet(path)
+        assert out.count() == 0 and (name == "tokenize" or out.columns == columns)
+
+
+def test_clashing_columns_pass_untouched(spark):
+    out = odd_docs(spark).withColumn("score", F.lit(2.5)).withColumn("base", F.lit("b"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        columns = out.columns
+        path = corpus_pipeline.scratch_path(spark)
+        stage(spark, out, SF).write.parquet(path)
+        out = spark.read.parquet(path)
+        assert out.columns == columns and out.where("score <> 2.5 or base <> 'b'").count() == 0, name
+
+
+def test_languages_of_held_out_documents_are_recognised(spark):
+    """No SQL states a trained model: accuracy on rows that it hasn't learnt from, and the rows without letters."""
+    lang = {r["doc_id"]: (r["lang"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = QUERIES["op10_language"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(lang)
+    judged = [r for r in rows if r["held_out"] and lang[r["doc_id"]][0] is not None and r["lang_pred"] != "und"]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]][0] for r in judged) >= 0.97 * len(judged) > 100
+    for r in rows:
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in lang[r["doc_id"]][1] or "")) and 0 <= r["score"] <= 1

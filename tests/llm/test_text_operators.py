@@ -338,9 +338,12 @@ def test_masked_texts_hold_no_character_of_a_secret(spark):
     spans = {r["doc_id"]: r for r in secret_scan.scan(df, table, touching=True).collect()}
     for i, text, secrets in rows:
         hidden = np.zeros(len(text), bool)
-        for s in [*spans[i]["base"], *spans[i]["random"]]:
-            low = s["start"] if s["kind"] else s["end"] - len(re.search(secret_scan.ASSIGN.replace("\\x20", " "), s["value"]).group(2))
-            hidden[low:s["end"]] = True
+        for s in [*spans[i]["random"], *spans[i]["base"]]:
+            hidden[s["start"]:s["end"]] = True
+        for s in spans[i]["base"]:
+            if s["kind"] == 0:  # names stay
+                low = s["end"] - len(re.search(secret_scan.ASSIGN.replace("\\x20", " "), s["value"]).group(2))
+                hidden[s["start"]:low] = [any(o["kind"] and o["start"] <= k < o["end"] for o in spans[i]["base"]) for k in range(s["start"], low)]
         want, k = "", 0
         while k < len(text):
             if not hidden[k]:

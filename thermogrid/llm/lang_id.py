@@ -169,7 +169,7 @@ def predict_texts(model: LangModel, texts: list[str | None]) -> tuple[list[str],
 def train(labelled: DataFrame, text: str = "text", label: str = "lang", params: LangParams = LangParams(), key: Column | None = None) -> LangModel:
     """Fit on about ``rows_per_label`` rows a label, taken by a hash; counting and sampling run on Spark.
 
-    Only hashed n-grams of the sampled rows reach the driver: at most ``grams_per_row`` each.
+    Only hashed n-grams of the sampled rows reach the driver: at most ``grams_per_row`` each, drawn from all blocks of the text.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
@@ -193,7 +193,10 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", params:
                 for block in blocks:
                     found = gram_buckets(block, params.orders, params.bits)
                     parts.append(rng.choice(found, min(len(found), max(1, params.grams_per_row // len(blocks))), replace=False))
-                grams.append(np.concatenate(parts)[:params.grams_per_row].astype(np.int32) if parts else np.zeros(0, np.int32))
+                pool = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                if len(pool) > params.grams_per_row:  # more blocks than n-grams: some of all of them
+                    pool = rng.choice(pool, params.grams_per_row, replace=False)
+                grams.append(pool.astype(np.int32))
             yield record(schema, batch.column(1), batch.column(2), pa.array(grams, pa.list_(pa.int32())))
 
     drawn = sample.mapInArrow(draw, "label string, key bigint, grams array<int>").toPandas().sort_values(["key", "label"], kind="stable")

@@ -209,11 +209,21 @@ def mask_spans(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, table: list[float], text: str = "text", params: SecretParams = SecretParams()) -> DataFrame:
     """``docs`` with every secret masked; columns as given. Texts without secrets, nulls included, stay as they are.
 
-    What is masked are stretches of the text: the value of each assignment, whole keys and hex runs, and whole runs that the models call random, also
-    where one lies in another or touches it.
+    What is masked are stretches of the text: the value of each assignment, whole keys and hex runs, and whole runs that the models call random but for the
+    names that values are assigned to, also where one lies in another or touches it.
     """
     base, extra = fresh(docs, "base"), fresh(docs, "random")
     rows = scan(docs, table, text, base, extra, params, touching=True)
     value = lambda s: F.when(s["kind"] == 0, s["end"] - F.length(F.regexp_extract(s["value"], ASSIGN, 2))).otherwise(s["start"])
-    spans = F.array_sort(F.transform(F.concat(base, extra), lambda s: F.struct(value(s).alias("start"), s["end"].alias("end"))))
+    part = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    heads = F.transform(F.filter(base, lambda s: s["kind"] == 0), lambda s: part(s["start"], value(s)))
+
+    def around(run: Column) -> Column:
+        """A random run without the names and signs of assignments in it."""
+        inside = F.filter(heads, lambda h: (h["start"] < run["end"]) & (h["end"] > run["start"]))
+        starts, ends = F.concat(F.array(run["start"]), F.transform(inside, lambda h: h["end"])), F.concat(F.transform(inside, lambda h: h["start"]), F.array(run["end"]))
+        return F.zip_with(starts, ends, part)
+
+    parts = F.concat(F.transform(base, lambda s: part(value(s), s["end"])), F.flatten(F.transform(extra, around)))
+    spans = F.array_sort(F.filter(parts, lambda s: s["start"] < s["end"]))
     return rows.withColumn(text, F.when(F.size(base) + F.size(extra) > 0, mask_spans(F.col(text), spans)).otherwise(F.col(text))).select(*docs.columns)
