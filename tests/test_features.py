@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -84,6 +85,23 @@ def test_odd_widths_use_direct_frames(series):
     np.testing.assert_allclose(out.temp_roll_std_5h, past.rolling(5, min_periods=2).std())
 
 
+@pytest.mark.parametrize("widths", [(1, 97), (3, 200), (150,), (2, 100, 101, 190)])
+def test_wide_windows_are_put_together_whatever_the_widths(series, widths):
+    rng = np.random.default_rng(len(widths))
+    temp = [None if rng.random() < 0.2 else float(v) for v in rng.normal(10, 5, 420)]
+    df = features.rolling_features(series(temp), widths=widths, chunk_hours=210)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    frames = {int(w) for w in re.findall(r"RowFrame, -(\d+), -1\)", plan) if int(w) > 1}
+    assert all(w <= features.READ_WIDTH for w in frames)
+    out, past = df.toPandas().sort_values("ts"), pd.Series(temp, dtype=float).shift(1)
+    for w in widths:
+        rolled = past.rolling(w, min_periods=max(1, w // 2))
+        np.testing.assert_allclose(out[f"temp_roll_mean_{w}h"], rolled.mean())
+        np.testing.assert_allclose(out[f"temp_roll_max_{w}h"], rolled.max())
+        if w > 1:
+            np.testing.assert_allclose(out[f"temp_roll_std_{w}h"], past.rolling(w, min_periods=max(2, w // 2)).std(), atol=1e-9)
+
+
 def test_halo_must_fit_in_a_chunk(series):
     with pytest.raises(ValueError):
         with_halo(series([1.0]), 168, 24, 100)

@@ -14,6 +14,8 @@ from .chunks import CHUNK, CORE, drop_halo, with_halo
 # Expressions are SQL text here: a feature row has about 100 columns, and building each of them through
 # Python column objects costs more than running the job on a small table.
 _OVER = f"over (partition by {KEY}, {CHUNK} order by {TS})"
+MOST_PIECES = 8
+READ_WIDTH = 64  # hours that a window read row by row covers at most
 _STATE = ("n", "mean", "m2", "lo", "hi", "dn", "dmean")
 
 
@@ -40,16 +42,6 @@ def _direct_state(width: int) -> list[str]:
     ]
 
 
-def _pieces(width: int, ready: Sequence[int]) -> list[tuple[int, int]] | None:
-    """``width`` hours as ready windows laid end to end: (window, hours further back), or None."""
-    out, left = [], width
-    for size in sorted(ready, reverse=True):
-        while size <= left:
-            out.append((size, width - left))
-            left -= size
-    return out if left == 0 and len(out) <= 8 else None
-
-
 def _join_pieces(df: DataFrame, w: int, pieces: list[tuple[int, int]]) -> DataFrame:
     """State of a wide window from the states of narrower ones, by the parallel variance formula."""
     kept, each = df.columns, range(len(pieces))
@@ -81,17 +73,40 @@ def _rolling_exprs(w: int) -> list[str]:
     return out + [f"if(_dn{w} >= {max(1, w // 2)}, _dmean{w}, null) as dew_roll_mean_{w}h"]
 
 
+def _with_width(df: DataFrame, width: int, ready: list[int]) -> DataFrame:
+    """Add the state of one width, and to ``ready`` what was built on the way."""
+    if width in ready:
+        return df
+    narrower = [r for r in ready if r < width]
+    if not narrower and width <= READ_WIDTH:
+        df = df.selectExpr("*", *_direct_state(width))
+    else:
+        if not narrower:
+            df = _with_width(df, READ_WIDTH // 4, ready)
+            narrower = [READ_WIDTH // 4]
+        size = max(narrower)
+        while width // size > MOST_PIECES:
+            if 2 * size not in ready:
+                df = _join_pieces(df, 2 * size, [(size, 0), (size, size)])
+                ready.append(2 * size)
+            size *= 2
+        count, rest = divmod(width, size)
+        if rest:
+            df = _with_width(df, rest, ready)
+        df = _join_pieces(df, width, [(size, i * size) for i in range(count)] + [(rest, count * size)] * bool(rest))
+    ready.append(width)
+    return df
+
+
 def _with_rolling_state(df: DataFrame, widths: Sequence[int]) -> DataFrame:
     """Window states of every width.
 
-    Only the narrowest (and any width that others do not add up to) is read row by row. A wide window is
-    put together from a few narrow ones, so its cost does not grow with its width.
+    Only narrow windows are read row by row: the narrowest, and what others leave of a width. A wide window is put together from a
+    few narrower ones, which are doubled where it would take too many, so its cost does not grow with its width.
     """
     ready: list[int] = []
     for width in sorted(widths):
-        pieces = _pieces(width, ready)
-        df = _join_pieces(df, width, pieces) if pieces else df.selectExpr("*", *_direct_state(width))
-        ready.append(width)
+        df = _with_width(df, width, ready)
     return df
 
 
