@@ -29,6 +29,7 @@ CHUNK_HOURS = 2048
 class Bounds:
     """Closed ranges outside of which a reading counts as a sensor fault."""
 
+    # The ranges of the cleaning step.
     temp_min: float = -15.0
     temp_max: float = 42.0
     dew_min: float = -30.0
@@ -39,6 +40,7 @@ class Bounds:
 
 
 CLEANING_BOUNDS = Bounds()
+# The ranges of the profiling step.
 PROFILE_BOUNDS = Bounds(temp_min=-30.0, temp_max=50.0, dew_min=-40.0, dew_max=40.0)
 
 
@@ -46,6 +48,7 @@ PROFILE_BOUNDS = Bounds(temp_min=-30.0, temp_max=50.0, dew_min=-40.0, dew_max=40
 class SplitDates:
     """First instant of the validation and of the test period."""
 
+    # Fixed values.
     val_start: str = "2025-01-01"
     test_start: str = "2026-01-01"
 
