@@ -79,7 +79,7 @@ def test_trust_and_distrust_match_dense_matrices(spark, share):
         host = "h0.org" if i % 3 == 0 else rng.choice(hosts)  # a third of all pages on one host
         rows.append((i, f"https://{host}/{rng.choice(['en', 'es', 'fr', 'x'])}/{i}", page(rng.choices(hosts, k=rng.randint(0, 4)))))
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    params = url_filter.UrlParams(tolerance=1e-6, rounds=90, share_edges=share, least=0.05)
+    params = url_filter.UrlParams(tolerance=1e-5, rounds=60, share_edges=share, least=0.05)
     rules = [url_filter.Rule(*r) for r in RULES]
     edges = [(r["src"], r["dst"], r["links"]) for r in url_filter.host_edges(df).collect()]
     expected = collections.Counter()
@@ -96,7 +96,7 @@ def test_trust_and_distrust_match_dense_matrices(spark, share):
     own = set()
     for i, url, _ in rows:
         host = parts(url)[0]
-        assert abs(got[i]["trust"] - trust[host]) < 1e-4 and abs(got[i]["distrust"] - distrust[host]) < 1e-4
+        assert abs(got[i]["trust"] - trust[host]) < 2e-3 and abs(got[i]["distrust"] - distrust[host]) < 2e-3
         rule, verdict = rule_of(*parts(url))
         method = "block" if distrust[host] >= 0.05 and distrust[host] > trust[host] else "allow"
         assert (got[i]["rule"], got[i]["verdict"]) == (rule, verdict or method)
