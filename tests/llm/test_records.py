@@ -73,6 +73,15 @@ def test_isolated_pairs_meet_however_many_vectors_there_are(spark):
     assert got >= 0.98 * 4000
 
 
+def test_pairs_that_lists_and_runs_leave_out_are_found_exactly(spark):
+    rows = np.concatenate([*isolated_pairs(200), np.ones((3, 5 * 64)).reshape(-1, 64)])
+    blind = nndescent.DescentParams(tables=1, least_miss=0.999, run=4, rounds=0, attempts=1, least_recall=0.0)
+    got = nndescent.near_duplicates(vectors(spark, rows), Store(spark), params=blind)
+    assert got.where("audit_recall < 1").count() == len(rows)
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()} == (
+        {(i, 1, i % 200) for i in range(400)} | {(i, 14, 400) for i in range(400, 415)})
+
+
 def test_a_large_group_does_not_hide_lost_pairs(spark):
     one, other = isolated_pairs(300)
     group = one[0] + 0.01 * np.random.default_rng(1).standard_normal((400, 64))

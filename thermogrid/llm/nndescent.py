@@ -13,7 +13,10 @@ block, so a group of thousands of near copies yields all its links while the lis
 Recall is audited: vectors drawn by hash, the same number without a link, of small and of large components, are compared with all vectors. The recall of
 a vector is the share of its links that the graph has; the audited recall is the mean over vectors with links, and over those with few links if that is
 less, each vector weighted by what it stands for, so that a large group doesn't hide lost pairs. Below ``least_recall`` the search is repeated with new tables, whose
-links are added; if the recall isn't reached after ``attempts``, the job fails. The measured recall is a column of the result.
+links are added; if the recall isn't reached after ``attempts``, the job fails. The measured recall of the search is a column of the result.
+
+What lists, runs and rounds leave out is then found exactly: vectors of different components are compared, all with all, group by group over tasks of bounded memory.
+Two components that hold a link between them become one, whose pairs are all counted. This check is quadratic in the distinct vectors.
 
 Cosines are in double precision. Defined results: vectors that are null, zero, or hold null or non-finite components
 link with nothing, and neither do vectors of different lengths; repeated rows of one id are vectors of their own that link; null ids never are a component's name unless
@@ -52,6 +55,7 @@ class DescentParams:
     few: int = 16  # links of a vector, or members of a component, that count as few
     least_recall: float = 0.98
     attempts: int = 8
+    group_bytes: int = 1 << 24  # of vectors in a group of the exact check; a task holds two
     seed: int = 11
 
 
@@ -281,6 +285,58 @@ def audit(distinct: DataFrame, labels: DataFrame, store: Store, params: DescentP
     return min(means, default=1.0)
 
 
+def missed_components(distinct: DataFrame, labels: DataFrame, total: int, params: DescentParams) -> DataFrame:
+    """Pairs ``(a, b, cosine)`` of components' labels that have a link between them: every pair of vectors is compared, each pair of groups in one task.
+
+    Products are taken in single precision with room for its rounding; what comes near the threshold is taken again in double.
+    """
+    n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    longest = distinct.agg(F.max("size")).first()[0] or 0
+    groups = max(int(np.ceil(total * longest / params.group_bytes)), int(np.ceil(np.sqrt(2 * n))))
+    mine = distinct.join(labels, "node", "left").select(
+        "size", F.coalesce("label", "node").alias("label"), "unit", F.pmod(F.xxhash64("node", F.lit(params.seed)), F.lit(groups)).cast("int").alias("group"))
+    first = mine.select("size", F.col("group").alias("x"), F.explode(F.sequence("group", F.lit(groups - 1))).alias("y"), F.lit(0).alias("side"), "label", "unit")
+    second = mine.where("group > 0").select("size", F.explode(F.sequence(F.lit(0), F.col("group") - 1)).alias("x"), F.col("group").alias("y"), F.lit(1).alias("side"), "label", "unit")
+    dealt = first.unionByName(second).repartition(n, "size", "x", "y").sortWithinPartitions("size", "x", "y", "side")
+
+    def compare(held):
+        labels, side = (np.array([h[i] for h in held], np.int64) for i in (1, 0))
+        rows = np.frombuffer(b"".join(h[2] for h in held), np.float64).reshape(len(held), -1)
+        rough, room = rows.astype(np.float32), 2.0**-22 * (rows.shape[1] + 4)
+        own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(other):
+            other = own
+        found = {}
+        for s in range(0, len(own), 1024):
+            for t in range(0, len(other), 4096):
+                at, to = own[s:s + 1024], other[t:t + 4096]
+                i, j = np.nonzero(rough[at] @ rough[to].T >= params.threshold - room)
+                i, j = at[i], to[j]
+                apart = labels[i] != labels[j]
+                i, j = i[apart], j[apart]
+                for part in range(0, len(i), 1 << 16):
+                    u, v = i[part:part + (1 << 16)], j[part:part + (1 << 16)]
+                    cosine = np.einsum("ij,ij->i", rows[u], rows[v])
+                    near = cosine >= params.threshold
+                    for a, b, c in zip(labels[u[near]].tolist(), labels[v[near]].tolist(), cosine[near].tolist()):
+                        found[min(a, b), max(a, b)] = c
+        return record(PAIRS, [a for a, _ in found], [b for _, b in found], list(found.values()))
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            for size, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (size, x, y) != key:
+                    if held:
+                        yield compare(held)
+                    held, key = [], (size, x, y)
+                held.append(row)
+        if held:
+            yield compare(held)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+
+
 def near_duplicates(vectors: DataFrame, store: Store, id_col: str = "vec_id", vec_col: str = "embedding", params: DescentParams = DescentParams()) -> DataFrame:
     """One row per vector: id, links, component (smallest id), whether it is kept, and the audited recall."""
     small_batches(vectors.sparkSession)
@@ -314,6 +370,9 @@ def near_duplicates(vectors: DataFrame, store: Store, id_col: str = "vec_id", ve
             break
     if recall < params.least_recall:
         raise RuntimeError(f"audited recall {recall:.4f} of links is below {params.least_recall} after {params.attempts} attempts of {tables} tables")
+    missed = store.put(missed_components(distinct, labels, total, params))
+    if not missed.isEmpty():
+        labels = components(links.unionByName(missed), store)
     members = distinct.join(labels, "node").select("label", "node", "copies", "unit")
     counts = count_within(members, params)
     named = distinct.select("node", "copies").join(labels, "node", "left").join(counts, "node", "left").select(
