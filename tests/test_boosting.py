@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from thermogrid.models import boosting
 from thermogrid.models.boosting import HistogramBoosting, best_split
 from thermogrid.operators.rate_policy import RatePolicy
 from thermogrid.schema import SUMMARY_TARGETS
@@ -104,3 +105,17 @@ def test_constant_targets_and_empty_features(spark):
     model = HistogramBoosting(horizons=(1, 24), max_iter=2, max_depth=2, features=["a", "b", "c"]).fit(df, df)
     assert model.history[-1]["val_mae"] == 0.0
     assert {round(r[0], 9) for r in model.predict(df).select(F.col("pred_trees.tavg")).collect()} == {7.0}
+
+
+def test_residual_rows_travel_in_blocks():
+    rng = np.random.default_rng(2)
+    bins, left = rng.integers(0, 33, (1000, 2)).astype(np.uint8), rng.standard_normal((1000, 3))
+    batch = boosting._packed(bins, left)
+    assert batch.num_rows < 20
+    each = len(batch.column(0)[0].as_py()) // 2
+    for first in (0, 3):
+        parts = list(boosting._rows(batch.slice(first), 2, 3))
+        assert (np.concatenate([p[0] for p in parts]) == bins[first * each:]).all() and (np.concatenate([p[1] for p in parts]) == left[first * each:]).all()
+    assert list(boosting._rows(boosting._packed(bins[:0], left[:0]), 2, 3)) == []
+    (back,) = boosting._rows(boosting._packed(bins[:, :0], left), 0, 3)
+    assert back[0].shape == (1000, 0) and (back[1] == left).all()

@@ -1,7 +1,7 @@
 """Boosted trees that continue one ensemble: a table of residuals, updated stage by stage, and split histograms added up over tasks.
 
 All targets grow their trees side by side, a level a job. Features are binned once; a row is then its bins and, for each target, what the
-ensemble so far leaves over. A task adds up residuals and counts by (target, node, feature, bin); the sums of a node meet in one task, which
+ensemble so far leaves over, and the table holds rows in blocks. A task adds up residuals and counts by (target, node, feature, bin); the sums of a node meet in one task, which
 chooses the split, so only splits reach the driver. Trees start at the target's mean and count at the rate that the policy
 allowed in their stage. After a stage its trees are taken off the residuals in a new table: no tree is ever scored on training rows again, and
 the validation error is the mean of a like table's absolute values.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,8 @@ from ..session import drop_table, materialise
 from .base import prediction, with_prediction
 from .trees import stage_sizes
 
+BLOCK_BYTES = 4096
+SLICE_ROWS = 1 << 15
 ROW = pa.schema([("bins", pa.binary()), ("residuals", pa.binary())])
 NODE_SUMS = pa.schema([("target", pa.int32()), ("node", pa.int32()), ("sums", pa.binary())])
 SPLIT = pa.schema([("target", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("bin", pa.int32()), ("left", pa.float64()), ("right", pa.float64())])
@@ -75,16 +78,30 @@ def _matrix(batch: pa.RecordBatch, first: int, last: int) -> np.ndarray:
     return np.stack(columns, axis=1) if columns else np.zeros((batch.num_rows, 0))
 
 
-def _rows(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bins and residuals of a batch of the residual table."""
-    n = batch.num_rows
-    take = lambda column, kind: np.frombuffer(b"".join(column.to_pylist()), kind).reshape(n, -1)
-    return take(batch.column(0), np.uint8).reshape(n, features), take(batch.column(1), np.float64)
+def _bytes(column: pa.Array) -> np.ndarray:
+    """What the rows of a binary array hold, in one piece."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, bounds, data = column.buffers()
+    bounds = np.frombuffer(bounds, kind, len(column) + 1 + column.offset)[column.offset:]
+    return np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
+def _rows(batch: pa.RecordBatch, features: int, targets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bins and residuals of a batch of the residual table, some thousands of training rows at a time."""
+    left = _bytes(batch.column(1)).view(np.float64).reshape(-1, targets)
+    bins = _bytes(batch.column(0)).reshape(len(left), features)
+    for first in range(0, len(left), SLICE_ROWS):
+        yield bins[first:first + SLICE_ROWS], left[first:first + SLICE_ROWS]
 
 
 def _packed(bins: np.ndarray, residuals: np.ndarray) -> pa.RecordBatch:
-    raw = lambda m: pa.array([r.tobytes() for r in np.ascontiguousarray(m)], pa.binary())
-    return pa.RecordBatch.from_arrays([raw(bins), raw(residuals)], schema=ROW)
+    """Training rows as rows of the residual table, each a block of about ``BLOCK_BYTES``: rows one by one cost more to hand over than to add up."""
+    sizes = [m.shape[1] * m.itemsize for m in (bins, residuals)]
+    each = max(BLOCK_BYTES // sum(sizes), 1)
+    ends = np.minimum(np.arange(-(-len(bins) // each) + 1) * each, len(bins))
+    raw = lambda m, size: pa.Array.from_buffers(
+        pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(m))])
+    return pa.RecordBatch.from_arrays([raw(m, size) for m, size in zip((bins, residuals), sizes)], schema=ROW)
 
 
 def best_split(sums: np.ndarray, least_rows: int) -> tuple[int, int, float, float] | None:
@@ -158,14 +175,11 @@ class HistogramBoosting:
 
     def _less(self, table: DataFrame, grown: list[tuple[Tree, float]]) -> DataFrame:
         """The residual table after a stage's trees."""
-        p, depth = len(self.features), self.max_depth
+        p, depth, targets = len(self.features), self.max_depth, len(self.targets)
 
         def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    bins, left = _rows(batch, p)
-                    left = left - sum(rate * tree.score(bins, depth) for tree, rate in grown)
-                    yield _packed(bins, left)
+            for bins, left in (part for batch in batches for part in _rows(batch, p, targets)):
+                yield _packed(bins, left - sum(rate * tree.score(bins, depth) for tree, rate in grown))
 
         out = materialise(table.mapInArrow(run, "bins binary, residuals binary"))
         drop_table(table)
@@ -181,20 +195,24 @@ class HistogramBoosting:
             open_ = tree.feature[:, above] >= 0
 
         def add(batches):
-            sums = np.zeros((targets, 2, width * p * bins_of))
-            offset = np.arange(p) * bins_of
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                bins, left = _rows(batch, p)
-                left = left - sum((rate * t.score(bins, depth) for t, rate in grown), np.zeros(left.shape))
-                cell = bins + offset
+            sums = np.zeros((targets, 2, width, p, bins_of))
+            for bins, left in (part for batch in batches for part in _rows(batch, p, targets)):
+                if grown:
+                    left = left - sum(rate * t.score(bins, depth) for t, rate in grown)
+                cells = np.ascontiguousarray(bins.T).astype(np.int64)
+                whole = [np.bincount(c, minlength=bins_of) for c in cells] if not level else []  # one node: the same counts for all targets
                 for t in range(targets):
-                    node = tree.reach(bins, t, level) - first
-                    here = np.flatnonzero(node >= 0)
-                    at = (node[here, None] * (p * bins_of) + cell[here]).ravel()
-                    sums[t, 0] += np.bincount(at, np.repeat(left[here, t], p), sums.shape[2])
-                    sums[t, 1] += np.bincount(at, minlength=sums.shape[2])
+                    mine, at = np.ascontiguousarray(left[:, t]), cells
+                    if level:
+                        node = tree.reach(bins, t, level) - first
+                        here = np.flatnonzero(node >= 0)
+                        if len(here) < len(node):
+                            node, mine, at = node[here], mine[here], cells[:, here]
+                        node *= bins_of
+                    for j in range(p):
+                        cell = node + at[j] if level else at[j]
+                        sums[t, 0, :, j] += np.bincount(cell, mine, width * bins_of).reshape(width, bins_of)
+                        sums[t, 1, :, j] += whole[j] if not level else np.bincount(cell, minlength=width * bins_of).reshape(width, bins_of)
             for t in range(targets):
                 by_node = sums[t].reshape(2, width, p * bins_of)
                 nodes = [n for n in range(width) if open_[t, n] and by_node[1, n].any()]
@@ -270,13 +288,12 @@ class HistogramBoosting:
 
     def _error(self, table: DataFrame) -> float:
         """Mean absolute residual over the fitted hours, or over the daily values if no hour is fitted."""
-        p, hours = len(self.features), len(self.horizons) or len(self.targets)
+        p, targets, hours = len(self.features), len(self.targets), len(self.horizons) or len(self.targets)
 
         def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    part = np.abs(_rows(batch, p)[1][:, :hours])
-                    yield pa.RecordBatch.from_arrays([pa.array([float(part.sum())]), pa.array([part.size], pa.int64())], names=["total", "n"])
+            for _, left in (part for batch in batches for part in _rows(batch, p, targets)):
+                part = np.abs(left[:, :hours])
+                yield pa.RecordBatch.from_arrays([pa.array([float(part.sum())]), pa.array([part.size], pa.int64())], names=["total", "n"])
 
         found = table.mapInArrow(run, "total double, n bigint").agg((F.sum("total") / F.sum("n")).alias("mae")).first()
         return float(found["mae"] or 0.0)

@@ -14,6 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def labelled(column: pa.Array) -> list[tuple[str | None, np.ndarray | slice]]:
+    """Each label of a batch and its rows; all rows at once where there is one label."""
+    found = column.dictionary_encode()
+    codes, names = found.indices.fill_null(-1).to_numpy(zero_copy_only=False), [*found.dictionary.to_pylist(), None]
+    own = np.flatnonzero(np.bincount(codes + 1, minlength=len(names))) - 1
+    return [(names[code], slice(None) if len(own) == 1 else codes == code) for code in own]
+
+
 def column_means(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     return np.array([0.0 if m is None else m for m in means])
@@ -78,9 +86,8 @@ def cross_products(df: DataFrame, columns: Sequence[str], split: str) -> tuple[d
                 np.ones(batch.num_rows),
                 *[batch.column(i).to_numpy(zero_copy_only=False) - shift[i - 1] for i in range(1, size)],
             ])
-            labels = np.asarray(batch.column(0).to_pylist(), dtype=object)
-            for label in set(labels.tolist()):
-                part = block[labels == label]
+            for label, mine in labelled(batch.column(0)):
+                part = block[mine]
                 sums[label] = sums.get(label, 0.0) + part.T @ part
         for label, total in sums.items():
             yield pa.RecordBatch.from_pydict({
@@ -122,12 +129,11 @@ def absolute_errors(
             column = lambda i: batch.column(i).to_numpy(zero_copy_only=False)
             inputs = np.column_stack([np.ones(batch.num_rows), *[column(1 + i) for i in range(len(x))]])
             actual = np.column_stack([column(1 + len(x) + i) for i in range(n_y)])
-            labels = np.asarray(batch.column(0).to_pylist(), dtype=object)
             guess = (inputs @ stacked).reshape(len(inputs), n_maps, n_y)
             error = np.abs(guess - actual[:, None, :]).sum(axis=2)
-            for label in set(labels.tolist()):
-                mine = labels == label
-                row = np.append(error[mine].sum(axis=0), mine.sum() * n_y)
+            for label, mine in labelled(batch.column(0)):
+                part = error[mine]
+                row = np.append(part.sum(axis=0), len(part) * n_y)
                 totals[label] = totals.get(label, 0.0) + row
         for label, row in totals.items():
             yield pa.RecordBatch.from_pydict({
