@@ -91,10 +91,12 @@ def wind_parts(spark, sf):
 def diurnal(spark, sf):
     day = diurnal_profile(F.col("temp"), F.col("dew"))
     profiles = observations(spark, sf).select("event_id", day.alias("day"))
-    return profiles.select(
+    # figures of the day first: beside the generator they would be worked out for each of its hours
+    days = profiles.select(
         "event_id", F.array_max("day").alias("tmax"), F.array_min("day").alias("tmin"),
-        (F.aggregate("day", F.lit(0.0), lambda a, v: a + v) / HORIZON).alias("tavg"), F.posexplode("day").alias("step", "temp"),
+        (F.aggregate("day", F.lit(0.0), lambda a, v: a + v) / HORIZON).alias("tavg"), "day",
     )
+    return days.select("event_id", "tmax", "tmin", "tavg", F.posexplode("day").alias("step", "temp"))
 
 
 @query

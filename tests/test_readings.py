@@ -69,3 +69,10 @@ def test_wind_and_diurnal(spark):
     assert a == pytest.approx(0.0, abs=1e-12) and b == pytest.approx(1.0)
     (day,), = evaluate(spark, [diurnal_profile(F.lit(15.0), F.lit(8.0))], [(1.0,)], "d double")
     assert day == pytest.approx([15 + 4.5 * math.sin((h - 9) * math.pi / 12) - 1.05 for h in range(1, 25)], abs=0.0501)
+
+
+def test_figures_of_a_day_are_worked_out_before_its_hours(spark):
+    from catalog.queries import REGISTRY
+
+    plan = REGISTRY["diurnal"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("array_max(") and "transform(" not in plan

@@ -81,6 +81,6 @@ def wind_components(direction: Column) -> tuple[Column, Column]:
 
 def diurnal_profile(temp: Column, dew: Column, horizon: int = 24) -> Column:
     """Sine-shaped day around ``temp``, lowered by dryness; one decimal, hours 1..horizon."""
-    hours = F.sequence(F.lit(1), F.lit(horizon))
-    wave = lambda h: F.sin((h - F.lit(9)) * F.lit(2.0) * F.lit(math.pi) / F.lit(24.0))
-    return F.transform(hours, lambda h: F.round(temp + wave(h) * F.lit(4.5) - (temp - dew) * F.lit(0.15), 1))
+    # an expression an hour, whose wave is a constant: no lambda is called row by row
+    wave = lambda h: F.sin((F.lit(h) - F.lit(9)) * F.lit(2.0) * F.lit(math.pi) / F.lit(24.0))
+    return F.array(*[F.round(temp + wave(h) * F.lit(4.5) - (temp - dew) * F.lit(0.15), 1) for h in range(1, horizon + 1)])
