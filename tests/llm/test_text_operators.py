@@ -627,3 +627,13 @@ def test_passage_report_bears_odd_rows_and_an_empty_table(spark):
     got = passages.passage_report(odd_docs(spark), Store(spark)).collect()
     assert len(got) == odd_docs(spark).count() and {r["id"] for r in got if r["repeated"]} <= {6}
     assert passages.passage_report(empty_docs(spark), Store(spark)).count() == 0
+
+
+def test_short_words_merge_as_the_queue_does(monkeypatch):
+    from thermogrid.llm.queries import vocabulary
+
+    tables, rng = vocabulary(), random.Random(4)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for letters in ("ab", "etaoinshr", "aé漢 0'") for _ in range(200)]
+    scanned = list(map(bpe.Codec(tables).merge, [w.encode() for w in words]))
+    monkeypatch.setattr(bpe, "SCANNED_LENGTH", 0)
+    assert scanned == list(map(bpe.Codec(tables).merge, [w.encode() for w in words]))

@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a public vocabulary file.
 
-A text is cut at the vocabulary's special strings, then into words by the vocabulary's pattern. A word's bytes are symbols of a
-doubly linked list; a priority queue holds the rank and place of each pair that merges, lowest rank first, leftmost on ties. A popped
+A text is cut at the vocabulary's special strings, then into words by the vocabulary's pattern. The pairs of a short word are scanned for the lowest rank until none
+merges. A longer word's bytes are symbols of a doubly linked list; a priority queue holds the rank and place of each pair that merges, lowest rank first, leftmost on ties. A popped
 entry whose symbols have changed meanwhile is stale and skipped. So a word of n bytes takes O(n log n), also if a text is one word. Results of short
 words are remembered, in a memory of bounded size, as the words of a language repeat. Decoding
 concatenates vocabulary strings and reads the bytes as UTF-8, invalid ones replaced.
@@ -16,6 +16,7 @@ import hashlib
 import json
 import sys
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .support import pieces, ship, small_batches
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 REMEMBERED = 150_000  # results in each of the newer and older halves of a memory
 REMEMBERED_LENGTH = 64
+SCANNED_LENGTH = 48  # bytes of a word whose pairs are scanned for the lowest rank, which is faster than a queue while they are few
+NO_RANK = 1 << 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -70,6 +73,8 @@ class Codec:
         ranks, left, right, made, alphabet = self.ranks, self.left, self.right, self.made, self.alphabet
         symbols = [alphabet[b] for b in word]
         n = len(symbols)
+        if n <= SCANNED_LENGTH:
+            return self._scanned(symbols)
         queue = []
         a = symbols[0]
         for i in range(1, n):
@@ -103,10 +108,28 @@ class Codec:
                     heappush(queue, rank << 40 | back)
         return [s for s in symbols if s >= 0]
 
+    def _scanned(self, symbols: list[int]) -> list[int]:
+        """As the queue does: the lowest rank first, leftmost on ties."""
+        rank_of, made = self.ranks.get, self.made
+        pairs = [rank_of(a << 20 | b, NO_RANK) for a, b in zip(symbols, symbols[1:])]
+        while pairs:
+            rank = min(pairs)
+            if rank == NO_RANK:
+                break
+            at = pairs.index(rank)
+            new = symbols[at] = made[rank]
+            del symbols[at + 1], pairs[at]
+            if at < len(pairs):
+                pairs[at] = rank_of(new << 20 | symbols[at + 1], NO_RANK)
+            if at:
+                pairs[at - 1] = rank_of(symbols[at - 1] << 20 | new, NO_RANK)
+        return symbols
+
     def _remember(self, word: str) -> bytes:
         ids = self.older[0].get(word)
         if ids is None:
-            ids = np.array(self.merge(word.encode()), "<u4").tobytes()
+            found = self.merge(word.encode())
+            ids = pack(f"<{len(found)}I", *found)
         if len(word) <= REMEMBERED_LENGTH:
             if len(self.memory) >= REMEMBERED:
                 self.older[0].clear()
