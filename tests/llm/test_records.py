@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thermogrid.llm import chat, graph, nndescent, warc
-from thermogrid.llm.support import Store
+from thermogrid.llm.support import CLEANUP, Store
 from thermogrid.session import scratch_path
 
 # --- components
@@ -260,3 +260,19 @@ def test_loss_spans_cover_assistants_texts(spark):
     messages = chat.linear(rows)
     r = chat.format_trees(messages, Store(spark)).first()
     assert [r["formatted"][s["start"]:s["end"]] for s in r["loss_spans"]] == [f"<\\|é{t}|>" for t in (1, 3, 5)]
+
+
+def test_shuffles_of_a_stored_table_are_deleted(spark):
+    seen, before = [], spark.conf.get(CLEANUP, None)
+    rows = spark.range(20).groupBy((F.col("id") % 3).alias("k")).count()
+    real = type(rows).write
+
+    class Watched(type(rows)):
+        @property
+        def write(self):
+            seen.append(spark.conf.get(CLEANUP, None))
+            return real.fget(self)
+
+    rows.__class__ = Watched
+    assert Store(spark).put(rows).count() == 3
+    assert seen == ["true"] and spark.conf.get(CLEANUP, None) == before
