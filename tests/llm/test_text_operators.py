@@ -623,6 +623,24 @@ def test_passage_query_against_all_exact_repeats(spark):
         assert r["repeated"] == (r["n_passages"] > 0) and (not r["repeated"] or r["class_id"] == min(p["class_id"] for p in r["passages"]))
 
 
+def test_texts_and_their_spans_meet_where_joins_shuffle(spark):
+    """Each side's partitions are merged in its own way, as on tables too large to broadcast: every span gets its tokens all the same."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(VOCABULARY, k=400))) for i in range(240)], "text_id bigint, text string")
+    spans = spark.createDataFrame([(i, 10 + i % 5, 70) for i in range(200)], "text_id bigint, low bigint, high bigint")
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = passages.take_tokens(docs, spans, passages.PassageParams()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["text_id"], r["low"], len(r["tokens"]) // 8) for r in got) == [(i, 10 + i % 5, 61 - i % 5) for i in range(200)]
+
+
 def test_passage_report_bears_odd_rows_and_an_empty_table(spark):
     got = passages.passage_report(odd_docs(spark), Store(spark)).collect()
     assert len(got) == odd_docs(spark).count() and {r["id"] for r in got if r["repeated"]} <= {6}
