@@ -437,10 +437,7 @@ def missing_pct(spark, sf):
 
 @query
 def column_docs(spark, sf):
-    out = None
-    for name in PROFILE_TABLES:
-        docs = profile.document_columns(table(spark, sf, name)).withColumn("source", F.lit(name))
-        out = docs if out is None else out.unionByName(docs)
+    out = profile.document_tables({name: table(spark, sf, name) for name in PROFILE_TABLES})
     number = lambda c: F.when(F.col("kind") == "numeric", F.col(c).try_cast("double"))
     date = lambda c: F.when(F.col("kind") == "date", F.col(c))
     return out.select(

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.queries import REGISTRY
 from conftest import column
 from thermogrid import session
 from thermogrid.operators import features, hist2d, profile, quantiles, split
@@ -148,6 +149,27 @@ def test_documentation_and_missing(spark):
     assert {r.variable for r in profile.document_columns(df.limit(0)).collect()} == set(df.columns)
 
 
+def test_tables_are_described_together(spark):
+    """Long values are listed whole, the rest of their list beside them; tables may share column names and have no rows."""
+    tail = "x" * 70
+    some = spark.createDataFrame([(1, f"b{tail}", "k"), (2, f"a{tail}", N), (3, "c", "j"), (4, "c", "k")], "k int, name string, tag string")
+    many = spark.createDataFrame([(f"{i}{tail}",) for i in range(12)], "name string")
+    found = profile.document_tables({"some": some, "many": many, "none": some.limit(0), "numbers": some.select("k")}).collect()
+    docs = {(r.source, r.variable): (r.kind, r.low, r.high, r.distinct, r.listed) for r in found}
+    text = lambda distinct, listed: ("text", N, N, distinct, listed)
+    assert len(found) == 8 and docs == {
+        ("some", "k"): ("numeric", "1.0", "4.0", N, N), ("some", "name"): text(3, f"a{tail}, b{tail}, c"), ("some", "tag"): text(2, "j, k"),
+        ("many", "name"): text(12, N), ("none", "k"): ("numeric", N, N, N, N), ("none", "name"): text(0, N), ("none", "tag"): text(0, N),
+        ("numbers", "k"): ("numeric", "1.0", "4.0", N, N),
+    }
+
+
+def test_descriptions_have_no_join_for_each_table(spark):
+    """The joins of all tables would lie in one task, each with its own buffers."""
+    plan = REGISTRY["column_docs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
+
+
 def test_sanity(spark):
     rows = [(date(2024, 1, d), hi, lo, m) for d, hi, lo, m in ((1, 5.0, 9.0, 7.0), (2, 50.0, -30.0, 60.0), (3, 5.0, 1.0, N))]
     df = spark.createDataFrame(rows, "DATE date, TMAX double, TMIN double, TAVG double")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,6 +192,12 @@ def missing_share(df: DataFrame) -> DataFrame:
     )
 
 
+def _kind(data_type: T.DataType) -> str:
+    if isinstance(data_type, T.NumericType):
+        return "numeric"
+    return "date" if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)) else "text"
+
+
 def document_columns(df: DataFrame, max_listed: int = MAX_LISTED_VALUES) -> DataFrame:
     """Type and content of each column: ``variable, kind, low, high, distinct, listed``.
 
@@ -198,52 +205,66 @@ def document_columns(df: DataFrame, max_listed: int = MAX_LISTED_VALUES) -> Data
     themselves (sorted, joined) where there are at most ``max_listed``; those lists are only collected
     after counting. Long values are counted by their digest, so that whole texts aren't exchanged.
     """
-    kind = {}
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.NumericType):
-            kind[f.name] = "numeric"
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            kind[f.name] = "date"
-        else:
-            kind[f.name] = "text"
-    ranged = [c for c, k in kind.items() if k != "text"]
-    texts = [c for c, k in kind.items() if k == "text"]
-    out = None
-    if ranged:
-        show = lambda c, e: F.date_format(e, "yyyy-MM-dd") if kind[c] == "date" else e.cast("double").cast("string")
-        row = df.agg(*[
-            F.struct(
-                F.lit(c).alias("variable"), F.lit(kind[c]).alias("kind"),
-                show(c, F.min(c)).alias("low"), show(c, F.max(c)).alias("high"),
-            ).alias(c) for c in ranged
-        ])
-        out = row.select(F.inline(F.array(*ranged))).select(
-            "*", F.lit(None).cast("long").alias("distinct"), F.lit(None).cast("string").alias("listed")
-        )
-    if texts:
-        cells = (
-            df.select(*[F.col(c).cast("string").alias(c) for c in texts]).unpivot([], texts, "variable", "value")
-            .where(F.col("value").isNotNull())
-        )
-        digest = F.when(F.length("value") > DIGEST_LENGTH, F.sha2(F.col("value").cast("binary"), 256)).otherwise(F.col("value"))
+    return document_tables({"": df}, max_listed).drop("source")
+
+
+def document_tables(tables: Mapping[str, DataFrame], max_listed: int = MAX_LISTED_VALUES) -> DataFrame:
+    """:func:`document_columns` of several tables, each row with its table's name as ``source``.
+
+    The cells of all tables are counted and listed together: with a plan for each table Spark lays the last, smallest
+    steps of all plans into one task, which then holds the buffers of every sort and map of every table.
+    """
+    by = ["source", "variable"]
+    parts, cells, names = [], [], []
+    for source, df in tables.items():
+        kind = {f.name: _kind(f.dataType) for f in df.schema.fields}
+        ranged = [c for c, k in kind.items() if k != "text"]
+        texts = [c for c, k in kind.items() if k == "text"]
+        if ranged:
+            show = lambda c, e: F.date_format(e, "yyyy-MM-dd") if kind[c] == "date" else e.cast("double").cast("string")
+            row = df.agg(*[
+                F.struct(
+                    F.lit(source).alias("source"), F.lit(c).alias("variable"), F.lit(kind[c]).alias("kind"),
+                    show(c, F.min(c)).alias("low"), show(c, F.max(c)).alias("high"),
+                ).alias(c) for c in ranged
+            ])
+            parts.append(row.select(F.inline(F.array(*ranged))).select(
+                "*", F.lit(None).cast("long").alias("distinct"), F.lit(None).cast("string").alias("listed")
+            ))
+        if texts:
+            cells.append(
+                df.select(*[F.col(c).cast("string").alias(c) for c in texts]).unpivot([], texts, "variable", "value")
+                .where(F.col("value").isNotNull()).select(F.lit(source).alias("source"), "variable", "value")
+            )
+            names += [F.struct(F.lit(source).alias("source"), F.lit(c).alias("variable")) for c in texts]
+    if cells:
+        cells = reduce(DataFrame.unionByName, cells)
+        long = F.length("value") > DIGEST_LENGTH
+        digest = F.when(long, F.sha2(F.col("value").cast("binary"), 256)).otherwise(F.col("value"))
         # a digest is longer than any value that stands for itself
-        values = cells.select("variable", digest.alias("value")).distinct()
-        # A global aggregate has one row even over no rows: every column is described.
-        listed_names = df.limit(0).agg(F.array(*[F.lit(c) for c in texts]).alias("_names"))
-        names = listed_names.select(F.explode("_names").alias("variable"))
-        sizes = values.groupBy("variable").agg(F.count(F.lit(1)).alias("distinct"))
-        # At most one row per column of the table.
-        short = F.broadcast(sizes.where(F.col("distinct") <= max_listed).select("variable"))
-        listed = (
-            cells.join(short, "variable").distinct().groupBy("variable")
-            .agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("listed"))
+        values = cells.select(*by, digest.alias("value")).distinct()
+        sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct"), F.count_if(long).alias("_long"))
+        # At most one row per column of the tables.
+        short = sizes.where(F.col("distinct") <= max_listed)
+        of_columns = lambda rows, columns: rows.join(F.broadcast(columns.select(*by)), by)
+        # Only long values are read again; where no short list has any, Spark leaves that pass out. Digests become null
+        # and aren't filtered, as a filter would move below the distinct values and make them differ from those counted.
+        listed = of_columns(values, short).withColumn("value", F.when(~long, F.col("value"))).unionByName(
+            of_columns(cells.where(long), short.where("_long > 0")).distinct()
         )
-        described = names.join(sizes, "variable", "left").join(listed, "variable", "left").select(
-            "variable", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("low"),
-            F.lit(None).cast("string").alias("high"), F.coalesce("distinct", F.lit(0)).alias("distinct"), "listed",
+        # Columns without values have no rows to count: every column is described.
+        every = cells.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*names)))
+        zero, none = F.lit(0).cast("long").alias("distinct"), F.lit(None).cast("string").alias("value")
+        counted = every.select(*by, zero).unionByName(sizes.select(*by, "distinct")).select("*", none)
+        found = counted.unionByName(listed.select("*", zero)).groupBy(*by).agg(
+            F.max("distinct").alias("distinct"), F.array_sort(F.collect_list("value")).alias("_values")
         )
-        out = described if out is None else out.unionByName(described)
-    return out
+        parts.append(found.select(
+            *by, F.lit("text").alias("kind"), F.lit(None).cast("string").alias("low"),
+            F.lit(None).cast("string").alias("high"), "distinct",
+            F.when(F.size("_values") > 0, F.array_join("_values", ", ")).alias("listed"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def daily_sanity(df: DataFrame, high: str = "TMAX", low: str = "TMIN", mean: str = "TAVG") -> DataFrame:
