@@ -601,6 +601,36 @@ def test_edited_passages_are_found_in_hot_buckets_too(spark):
         assert not got[i]["repeated"] and got[i]["class_id"] == i and got[i]["n_passages"] == 0 and got[i]["passages"] is None
 
 
+@pytest.mark.parametrize("seed,few", [(1, 64), (1, 8), (3, 8)])
+def test_every_pair_of_a_group_of_edited_copies_is_compared(spark, seed, few):
+    """Copies so edited that few pairs are similar anywhere, so that the first text of a bucket says nothing of the others; linked by a join or in blocks."""
+    rng, params = random.Random(seed), passages.PassageParams(few=few, block_texts=50)
+    base, texts = rng.choices(VOCABULARY, k=110), []
+    for _ in range(120):
+        texts.append(list(base))
+        for at in rng.sample(range(len(base)), 9):
+            texts[-1][at] = rng.choice(VOCABULARY)
+    texts = [" ".join(t) for t in texts]
+    tokens = [passages.text_tokens(pa.array([t]), 5)[0] for t in texts]
+    similar = {(i, j) for j in range(len(texts)) for i in range(j) if passages.verify(tokens[i], tokens[j], params)}
+    rows = passages.passage_report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), Store(spark), params=params).collect()
+    got = {r["id"]: r["class_id"] for r in rows}
+    assert len(similar) > 4 and {r["id"] for r in rows if r["repeated"]} == {i for pair in similar for i in pair}
+    assert all(got[i] == got[j] for i, j in similar)
+
+
+def test_windows_of_equal_minima_are_one_and_every_two_texts_of_a_bucket_are_linked(spark):
+    rng = random.Random(2)
+    shared = rng.choices(VOCABULARY, k=60)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(VOCABULARY, k=30) + shared + rng.choices(VOCABULARY, k=30))) for i in range(6)] + [(6, "same " * 300), (7, "same " * 400)], "text_id bigint, text string")
+    params = passages.PassageParams()
+    windows = passages.file_windows(docs, params)
+    assert windows.where("text_id > 5").count() == 2 * params.hashes
+    links = passages.link_windows(passages.meetings(windows), params).select("x", "y", "hash").distinct().collect()
+    pairs = Counter((r["x"], r["y"]) for r in links)
+    assert set(pairs) == {(i, j) for j in range(6) for i in range(j)} | {(6, 7)} and set(pairs.values()) == {params.hashes}
+
+
 def test_passage_query_against_all_exact_repeats(spark):
     """Every document that shares 50 words in a row with another is in the result; every other one in it shares nearly as much."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
